@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that are Python objects at one time; a batch itself may hold more.
 ROWS_AT_ONCE = 256
@@ -57,3 +58,43 @@ def durable(df: DataFrame) -> DataFrame:
         named = spark.conf.get("spark.checkpoint.dir", "")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-", dir=os.environ.get("TMPDIR")))
     return df.checkpoint(eager=True)
+
+
+def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+    """(node, label): the smallest node of each connected component, for every node of an edge (a, b).
+
+    Each round a node takes the smallest label among its own and its neighbours',
+    then the label's own label (pointer jumping), so a chain of n nodes needs
+    about log n rounds. The labels are written to the checkpoint folder after each.
+    """
+    both = durable(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    if both.isEmpty():
+        return both.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    while rounds:
+        heard = both.join(labels, both.b == labels.node).select(F.col("a").alias("node"), "label")
+        # the old label hears of the new one too, which keeps hubs' fans from being walked one by one
+        least = heard.unionByName(labels).groupBy("node").agg(F.min("label").alias("least"))
+        hooked = labels.join(least, "node").select(F.col("label").alias("node"), F.col("least").alias("label")).where("node <> label")
+        merged = least.withColumnRenamed("least", "label").unionByName(hooked).groupBy("node").agg(F.min("label").alias("label"))
+        up = merged.select(F.col("node").alias("label"), F.col("label").alias("upper"))
+        after = durable(merged.join(up, "label", "left").select("node", F.coalesce("upper", "label").alias("label")))
+        changed = after.join(labels.withColumnRenamed("label", "was"), "node").where("label <> was")
+        if changed.isEmpty():
+            return after
+        labels, rounds = after, rounds - 1
+    raise RuntimeError("components did not settle")
+
+
+class Codes(dict):
+    """Integers by word, made by ``make`` when first asked for; forgotten when there are too many."""
+
+    def __init__(self, make: Callable[[str], int], most: int = 1 << 19):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = x = self.make(word)
+        return x

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import html, licenses, pii, quality, tokens
+from . import decontaminate, html, licenses, mixing, neardup, pii, quality, tokens, urls
 
 QUERIES = {
     "op1_html_extraction": html.query,
     "op2_token_counts": tokens.query,
+    "op4_order_minhash": neardup.query,
+    "op5_poisson_mixing": mixing.query,
+    "op6_url_filters": urls.query,
     "op7_license_scan": licenses.query,
+    "op8_decontamination": decontaminate.query,
     "op9_pii": pii.query,
     "op10_quality_rules": quality.query,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_poisson_mixing": mixing.sql(), "op6_url_filters": urls.SQL}
