@@ -130,8 +130,10 @@ def matches(docs: DataFrame, windows: DataFrame, most_windows: int, id_col: str,
     widths = sorted(sizes)
     index = None
     if sum(sizes.values()) <= most_windows:
-        rows = windows.orderBy("hash", "width", "item_id", "at").toArrow()
-        index = docs.sparkSession.sparkContext.broadcast((rows.column("hash").to_numpy().view(np.uint64), rows.drop_columns(["hash"]).to_pylist()))
+        rows = windows.toArrow()
+        ranked = rows.column("hash").to_numpy().view(np.uint64)
+        order = np.argsort(ranked, kind="stable")
+        index = docs.sparkSession.sparkContext.broadcast((ranked[order], rows.drop_columns(["hash"]).take(order).to_pylist()))
 
     def scan(key: int, text: str | None, codes: Codes, known) -> list[tuple]:
         hashes, slots, words = canonical(text or "", codes)
@@ -141,7 +143,7 @@ def matches(docs: DataFrame, windows: DataFrame, most_windows: int, id_col: str,
             if known is None:
                 out += [(int(got[i].view(np.int64)), width, key, int(i), slot_values(words, slots, i, width)) for i in np.flatnonzero(good)]
                 continue
-            keys, ranked, rows, seen = known
+            ranked, rows, seen = known
             near = np.flatnonzero(seen[(got >> np.uint64(42)).astype(np.int64)] & good) if len(got) else ()
             for i in near:
                 for r in range(int(np.searchsorted(ranked, got[i])), len(ranked)):
@@ -160,7 +162,7 @@ def matches(docs: DataFrame, windows: DataFrame, most_windows: int, id_col: str,
             ranked, rows = index.value
             seen = np.zeros(1 << 22, bool)
             seen[(ranked >> np.uint64(42)).astype(np.int64)] = True
-            known = (None, ranked, rows, seen)
+            known = (ranked, rows, seen)
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(start, ROWS_AT_ONCE)

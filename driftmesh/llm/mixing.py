@@ -100,7 +100,7 @@ cdf(grp, rate, k, p, total) AS (
   UNION ALL
   SELECT grp, rate, k + 1, p * rate / (k + 1), total + p * rate / (k + 1) FROM cdf WHERE k < ceil(rate + 12 * sqrt(rate) + 24)),
 steps AS (SELECT grp, list(total) AS steps FROM cdf GROUP BY grp),
-drawn AS (SELECT b.*, len(list_filter(s.steps, c -> c <= b.u)) AS k FROM base b JOIN steps s ON b.grp = s.grp),
+drawn AS (SELECT b.*, len(list_filter(s.steps, lambda c: c <= b.u)) AS k FROM base b JOIN steps s ON b.grp = s.grp),
 copies AS (SELECT *, unnest(range(k)) AS copy_ FROM drawn)
 SELECT {columns}, CAST(copy_ AS INTEGER) AS copy,
   md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(copy_ AS VARCHAR) || ':{seed + 1}') AS shuffle_key

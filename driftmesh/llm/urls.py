@@ -111,7 +111,7 @@ forms AS (
   SELECT u, CASE WHEN contains(u, '://') THEN
       regexp_replace(translate(regexp_extract(u, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^(?:www\\.|m\\.)([^.]+\\.)', '\\1')
       || regexp_replace(regexp_extract(u, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '/+$', '')
-      || coalesce('?' || nullif(array_to_string(list_filter(string_split(regexp_extract(u, '^[^?#]*\\?([^#]*)', 1, 's'), '&'), x -> x <> '' AND NOT regexp_matches(x, '^(?:utm_[a-z]+|gclid|fbclid|ref)=')), '&'), ''), '') END AS form
+      || coalesce('?' || nullif(array_to_string(list_filter(string_split(regexp_extract(u, '^[^?#]*\\?([^#]*)', 1, 's'), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_[a-z]+|gclid|fbclid|ref)=')), '&'), ''), '') END AS form
   FROM (SELECT DISTINCT url AS u FROM ruled UNION SELECT DISTINCT whole FROM ruled) WHERE u IS NOT NULL),
 keyed AS (SELECT r.*, f.form AS k, t.form AS t FROM ruled r LEFT JOIN forms f ON r.url = f.u LEFT JOIN forms t ON r.whole = t.u),
 links AS (SELECT k AS a, t AS b FROM keyed WHERE t <> k UNION SELECT t, k FROM keyed WHERE t <> k),
