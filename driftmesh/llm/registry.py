@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, licenses, mixing, neardup, pii, quality, tokens, urls
+from . import decontaminate, html, licenses, mixing, neardup, pii, quality, tokens, toxicity, urls
 
 QUERIES = {
     "op1_html_extraction": html.query,
     "op2_token_counts": tokens.query,
+    "op3_toxicity": toxicity.query,
     "op4_order_minhash": neardup.query,
     "op5_poisson_mixing": mixing.query,
     "op6_url_filters": urls.query,
