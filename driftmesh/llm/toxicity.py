@@ -12,7 +12,9 @@ The restored and the plain words and their beginnings are features. Those that
 are much commoner in texts of label 1 are weighted by a logistic regression
 (numpy). Both models are fitted on a bounded sample of labelled rows: the
 ``most_train`` of each label whose hashed ids are smallest, of rows whose
-crc32(doc_id as text) mod 5 is not 0. Scores depend on the text alone.
+crc32(doc_id as text) mod 5 is not 0. A feature whose share of label 1 is surely
+high (Wilson bound) speaks for itself, so that one word is enough. Scores depend
+on the text alone.
 
 Null and empty texts get the score of a text without features. Without any
 labelled row every score is 0. Repeated rows are each scored.
@@ -123,10 +125,10 @@ def words_in(token: str, letters: Letters | None) -> set[str]:
 
 
 class Model:
-    """weights by feature index, an index by feature, an intercept; the letters."""
+    """An index by feature, weights and own log odds (or -30) by index, an intercept; the letters."""
 
-    def __init__(self, index: dict[str, int], weights: np.ndarray, bias: float, letters: Letters | None):
-        self.index, self.weights, self.bias, self.letters = index, weights, bias, letters
+    def __init__(self, index: dict[str, int], weights: np.ndarray, alone: np.ndarray, bias: float, letters: Letters | None):
+        self.index, self.weights, self.alone, self.bias, self.letters = index, weights.tolist(), alone.tolist(), bias, letters
 
     def indices(self, token: str) -> tuple[int, ...]:
         return tuple({self.index[f] for w in words_in(token, self.letters) for f in features_of(w) if f in self.index})
@@ -136,17 +138,18 @@ class Model:
         for t in tokens(text or ""):
             if got := cache[t]:
                 found.update(got)
-        x = self.bias + float(sum(self.weights[i] for i in sorted(found)))
+        x = self.bias + sum(self.weights[i] for i in sorted(found))
+        x = max([x, *(self.alone[i] for i in found)])
         return 1 / (1 + exp(-max(-30.0, min(30.0, x))))
 
 
-def fit(rows: list[tuple[str | None, int]], positive_share: float | None = None, most_features: int = 800, least: int = 4, rounds: int = 600) -> Model:
+def fit(rows: list[tuple[str | None, int]], positive_share: float | None = None, most_features: int = 800, least: int = 4, rounds: int = 600, sure: float = 0.9) -> Model:
     """rows: (text, label). positive_share: of all labelled rows, where the sample's differs."""
     rows = [(t or "", int(y)) for t, y in rows]
     n1 = sum(y for _, y in rows)
     n0 = len(rows) - n1
     if not n1 or not n0:
-        return Model({}, np.zeros(0), 30.0 if n1 else -30.0, None)
+        return Model({}, np.zeros(0), np.zeros(0), 30.0 if n1 else -30.0, None)
     seen = [tokens(t) for t, _ in rows]
     vocabulary: Counter = Counter()
     for own in seen:
@@ -187,7 +190,16 @@ def fit(rows: list[tuple[str | None, int]], positive_share: float | None = None,
     bias = float(w[-1])
     if positive_share and 0 < positive_share < 1:
         bias += log(positive_share / (1 - positive_share)) - log(n1 / n0)
-    return Model(index, w[:-1].astype(float), bias, letters)
+    share = positive_share or n1 / len(rows)
+    scale = (1 - share) / share * n1 / n0 if share < 1 else 1.0
+    alone = np.full(len(index), -30.0)
+    for f, i in index.items():
+        k1, k = counts[1][f], counts[1][f] + scale * counts[0][f]
+        p = k1 / k
+        low = (p + 1.92 / k - 1.96 * (p * (1 - p) / k + 0.96 / k / k) ** 0.5) / (1 + 3.84 / k)
+        if low >= sure:
+            alone[i] = log(low / (1 - low))
+    return Model(index, w[:-1].astype(float), alone, bias, letters)
 
 
 def held_out(id_col: str):
