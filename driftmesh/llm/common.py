@@ -47,6 +47,20 @@ def map_rows(df: DataFrame, columns: list, row: Callable[..., tuple], schema: st
 ARROW = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """The name, or with underscores behind it until no column has it (names differ in more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def only(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", how: str = "left_semi") -> DataFrame:
+    """The documents whose id is (left_semi) or isn't (left_anti) in the one column of ids, with all their columns."""
+    key = fresh("wanted_id", docs)
+    return docs.join(ids.toDF(key), F.col(id_col) == F.col(key), how)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut, in the checkpoint folder that all executors share.
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROWS_AT_ONCE, Codes, load
+from .common import ROWS_AT_ONCE, Codes, load, only
 
 NUMBER = re.compile(r"[-+]?[$€£]?\d[\d.,:/]*(?:%|st|nd|rd|th)?")
 #: Units, which become placeholders after a number.
@@ -206,5 +206,4 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no item, with all their columns."""
-    bad = leaks(docs, load(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak_id")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("leak_id"), "left_anti")
+    return only(docs, leaks(docs, load(spark, sf_dir, "benchmark")).select("doc_id").distinct(), how="left_anti")

@@ -5,9 +5,9 @@ and tags below it, with weights from labelled pages (see ``fit``); one linear
 scan finds the contiguous region with the largest sum. Before the scan, what
 no reader takes for the article (scripts, styles, menus, headers, footers,
 sidebars, forms, adverts, notices, reader comments, by element or by words in
-class, id or role) is marked: its words score like tags, so that the region
-bridges an advert inside an article but doesn't start or end in a menu, and
-its text is never returned.
+class, id or role) is marked: each such part scores like one tag, so that the
+region bridges an advert inside an article but doesn't start or end in a menu,
+and its text is never returned.
 
 Null and empty pages, and pages without words, give an empty text. Markup that
 is cut off or never closed is read up to the page's end.
@@ -111,12 +111,18 @@ def sequence(page: str) -> list[tuple[str, str, bool]]:
 WEIGHTS = {"word": 1.0, "dropped": -1.5, "tag": -2.0, "inline": -0.25, "p": -0.25, "li": -2.0, "a": -2.0}
 
 
-def weight(kind: str, value: str, bad: bool, weights: dict[str, float]) -> float:
-    if kind == "text":
-        return weights["dropped" if bad else "word"] * len(value.split())
-    if bad:
-        return weights["tag"]
-    return weights.get(value, weights["inline" if value in INLINE else "tag"])
+def scores(tokens: list[tuple[str, str, bool]], weights: dict[str, float]) -> list[float]:
+    """Each token's score. A dropped part counts once, however long: its text is never returned, so a long advert in an article costs no more than a short one."""
+    out, inside = [], False
+    for kind, value, bad in tokens:
+        if bad:
+            out.append(0.0 if inside else weights["dropped"])
+        elif kind == "text":
+            out.append(weights["word"] * len(value.split()))
+        else:
+            out.append(weights.get(value, weights["inline" if value in INLINE else "tag"]))
+        inside = bad
+    return out
 
 
 def region(scores: list[float]) -> tuple[int, int]:
@@ -143,9 +149,11 @@ def fit(labelled: list[tuple[str, str]]) -> dict[str, float]:
         marks = [k == "text" and bool(v.strip()) and not bad and " ".join(entities.unescape(v).split()) in flat for k, v, bad in tokens]
         lo, hi = (marks.index(True), len(marks) - marks[::-1].index(True)) if any(marks) else (0, 0)
         for i, (kind, value, bad) in enumerate(tokens):
-            key = ("dropped" if bad else "word") if kind == "text" else "tag" if bad else value if value in WEIGHTS else "inline" if value in INLINE else "tag"
+            if bad and i and tokens[i - 1][2]:
+                continue
+            key = "dropped" if bad else "word" if kind == "text" else value if value in WEIGHTS else "inline" if value in INLINE else "tag"
             to = inside if lo <= i < hi else outside
-            to[key] = to.get(key, 0) + (len(value.split()) if kind == "text" else 1)
+            to[key] = to.get(key, 0) + (len(value.split()) if kind == "text" and not bad else 1)
     odds = {k: log((inside.get(k, 0) + 1) / (outside.get(k, 0) + 1)) for k in WEIGHTS}
     unit = max(odds["word"], 0.1)
     return {k: 1.0 if k == "word" else min(-0.25, odds[k] / unit) for k in WEIGHTS}
@@ -155,7 +163,7 @@ def extract(page: str | None, weights: dict[str, float] = WEIGHTS) -> str:
     if not page:
         return ""
     tokens = sequence(page)
-    lo, hi = region([weight(*x, weights) for x in tokens])
+    lo, hi = region(scores(tokens, weights))
     # whole blocks: the region grows over tags and wanted text up to the enclosing blocks' edges
     def joins(x: tuple[str, str, bool]) -> bool:
         return not x[2] and (x[0] == "text" or x[1] in INLINE or x[1] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "br", "li", "ul", "ol", "blockquote", "pre", "td", "th", "tr", "dd", "dt"))

@@ -125,7 +125,8 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, base: dict = BASE, thres
     split = [(p.split(), label) for p, label in base.items()]
 
     def row(index: Index, key: int, text: str | None) -> tuple:
-        low = (text or "").translate(LOWER) if not (text or "").isascii() else text.lower()
+        text = text or ""
+        low = text.lower() if text.isascii() else text.translate(LOWER)
         words = WORD.findall(low)
         places = phrases(words, split)
         starts = [at for at, _ in places]

@@ -12,7 +12,8 @@ Only as many counts and rates as there are target weights (a parameter), plus
 one for all other sources, are made, so the rates are broadcast. A target
 source without documents leaves its share to the others. Null ids draw like
 the empty id; a null source counts among the others. Repeated rows (same id)
-draw the same count each. Empty tables give empty tables.
+draw the same count each. Empty tables give empty tables. Where the documents
+have a column ``copy`` or ``shuffle_key``, the new one has an underscore behind it.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import fresh, load
 
 #: Target weights of the query and the pipeline's stage; "" is all other sources.
 TARGETS = {"src0": 2.0, "src1": 1.0, "src2": 1.0, "src3": 0.5, "src4": 1.5, "": 14.0}
@@ -72,7 +73,7 @@ def mix(docs: DataFrame, targets: dict[str, float] = TARGETS, budget: float = 1.
     copies = copies.withColumn("key_", key)
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = copies.repartition(n, "key_").sortWithinPartitions("key_")
-    return dealt.select(*[F.col(f"row_.`{c}`").alias(c) for c in names], F.col("copy_").alias("copy"), F.col("key_").alias("shuffle_key"))
+    return dealt.select(*[F.col(f"row_.`{c}`").alias(c) for c in names], F.col("copy_").alias(fresh("copy", docs)), F.col("key_").alias(fresh("shuffle_key", docs)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, map_rows
+from .common import load, map_rows, only
 
 WORD = re.compile("[^\\x20\\x09-\\x0D]+")
 SYMBOLS = "#*$%&|<>"
@@ -108,6 +108,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules and their host's verdict keep, with all their columns."""
-    judged = judge(measures(docs)).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(judged, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    """Documents that the rules and their host's verdict keep, with all their columns; a null id can't be kept track of and goes."""
+    return only(docs, judge(measures(docs)).where("kept").select("doc_id").distinct())
