@@ -166,3 +166,35 @@ def smoothness(samples: DataFrame, reg: float = 0.01) -> DataFrame:
         return g.map(lambda v: float(np.linalg.eigvalsh(np.asarray(v).reshape(int(len(v) ** 0.5), -1))[-1]))
 
     return wide.select(top("g").alias("top")).agg((F.lit(reg) + 0.5 * F.max("top")).alias("L"), F.lit(reg).alias("mu"))
+
+
+def mean_losses(node_losses: DataFrame, pi: DataFrame) -> DataFrame:
+    """f_unif, f_pi: plain and weighted mean of nodes' losses (node_id, loss)."""
+    return node_losses.join(F.broadcast(pi), "node_id").agg(F.avg("loss").alias("f_unif"), (F.sum(F.col("pi") * F.col("loss")) / F.sum("pi")).alias("f_pi"))
+
+
+def local_optimum(samples: DataFrame, pi: DataFrame | None = None, reg: float = 0.01, rounds: int = 200) -> tuple[DataFrame, float, float]:
+    """cls, c, v of the softmax regression without intercept that weighs nodes alike (or by pi); its objective; its unweighted log loss."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    sizes = samples.groupBy("node_id").agg(F.count("*").alias("n"))
+    share = sizes.withColumn("pi", F.lit(1.0)) if pi is None else sizes.join(F.broadcast(pi), "node_id")
+    total = share.agg(F.sum("pi")).head()[0]
+    rows = samples.join(F.broadcast(share.select("node_id", (F.col("pi") / total / F.col("n")).alias("w"))), "node_id").select("node_id", "label", "x", "w", array_to_vector("x").alias("features"))
+    model = LogisticRegression(family="multinomial", labelCol="label", weightCol="w", fitIntercept=False, standardization=False, regParam=reg, maxIter=rounds, tol=1e-10).fit(rows)
+    theta = model.coefficientMatrix.toArray()
+    spark = samples.sparkSession
+    classes = spark.createDataFrame([(c, [float(v) for v in row]) for c, row in enumerate(theta)], "cls int, t array<double>")
+    # the same vector for all samples: one node that holds everything
+    p = softmax(logits(rows.withColumn("node_id", F.lit(0)).withColumn("vec_id", F.monotonically_increasing_id()), classes.withColumn("node_id", F.lit(0))).join(F.broadcast(classes.select("cls")), "cls"))
+    loss = p.where("cls = label").agg(F.avg(F.col("lse") - F.col("z"))).head()[0]
+    flat = classes.select("cls", F.posexplode("t").alias("c", "v"))
+    return flat, float(model.summary.objectiveHistory[-1]), float(loss)
+
+
+def capacity_partition(samples: DataFrame, shares: DataFrame, nodes: int) -> DataFrame:
+    """Class cuts of at most equal room for each node: beyond it a node's samples (in a fixed order) are left out."""
+    room = samples.count() // nodes
+    order = Window.partitionBy("node_id").orderBy(F.pmod(F.col("vec_id") * 2246822519, F.lit(4294967296)), "vec_id")
+    return class_cuts(samples, shares).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= room).drop("rn")

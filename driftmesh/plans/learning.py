@@ -392,6 +392,29 @@ def accuracy_argmax(spark, sf):
     return training.losses(base.frame(spark, sf), _theta(spark, sf)).select("node_id", tidy("accuracy").alias("accuracy"))
 
 
+@register("mean_losses", f"WITH {THETA}, sq AS (SELECT node_id, sum(t * t) AS sq FROM th GROUP BY 1), lo AS (SELECT x.node_id, ce + 0.005e0 * sq AS loss FROM (SELECT node_id, avg(lse - z) AS ce FROM p WHERE cls = label GROUP BY 1) x JOIN sq ON sq.node_id = x.node_id) SELECT round(avg(loss), 6) + 0.0e0 AS f_unif, round(sum((lo.node_id + 1) / 210.0e0 * loss) / sum((lo.node_id + 1) / 210.0e0), 6) + 0.0e0 AS f_pi FROM lo JOIN n ON n.node_id = lo.node_id AND NOT is_byz")
+def mean_losses(spark, sf):
+    honest = _pi(spark).join(F.broadcast(base.nodes(spark).where("NOT is_byz")), "node_id", "left_semi")
+    got = training.mean_losses(training.losses(base.frame(spark, sf), _theta(spark, sf)), honest)
+    return got.select(tidy("f_unif").alias("f_unif"), tidy("f_pi").alias("f_pi"))
+
+
+@register("local_optimum")
+def local_optimum(spark, sf):
+    out = []
+    for name, pi in (("uniform", None), ("pi", _pi(spark))):
+        _, objective, loss = training.local_optimum(base.frame(spark, sf), pi, rounds=50)
+        out.append((name, round(objective, 4), round(loss, 4)))
+    return spark.createDataFrame(out, "weights string, objective double, f_star double")
+
+
+@register("capacity_shard")
+def capacity_shard(spark, sf):
+    shares = spark.range(10).select(F.col("id").cast("int").alias("label")).crossJoin(base.nodes(spark).select("node_id")).withColumn("share", F.when(F.col("node_id") < 4, 0.13).otherwise(0.03))
+    got = training.capacity_partition(base.frame(spark, sf), shares, base.N)
+    return got.groupBy("node_id").agg(F.count("*").alias("n"))
+
+
 @register("sigma_sq", f"""WITH {THETA}, xx AS (SELECT vec_id, sum(v * v) AS xx FROM e GROUP BY 1),
 a AS (SELECT node_id, avg(sq) AS a FROM (SELECT rs.node_id, rs.vec_id, sum(r * r) * any_value(xx) AS sq FROM rs JOIN xx ON xx.vec_id = rs.vec_id GROUP BY 1, 2) GROUP BY 1),
 b AS (SELECT node_id, sum(g0 * g0) AS b FROM gr GROUP BY 1)
