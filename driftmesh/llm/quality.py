@@ -110,3 +110,25 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and their host's verdict keep, with all their columns; a null id can't be kept track of and goes."""
     return only(docs, judge(measures(docs)).where("kept").select("doc_id").distinct())
+
+
+def sql(host_limit: float = 0.5) -> str:
+    """The query's rows in DuckDB SQL."""
+    cond = lambda rules: " OR ".join(f"({x})" for _, x in rules)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+win AS (SELECT r, i, count(*) OVER (PARTITION BY r, ws[i], ws[i + 1], ws[i + 2]) AS n FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+cov AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM win WHERE n > 1) GROUP BY r),
+m AS (SELECT w.r, doc_id, host, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    length(regexp_replace(t, '[^A-ZÀ-ÖØ-ÞΑ-ΩА-Я]', '', 'g')) AS n_upper, len(ls) AS n_lines
+  FROM w LEFT JOIN cov ON cov.r = w.r),
+f AS (SELECT *, {BASE} AS base_failed, {cond(MILD)} AS mild, {cond(STRICT)} AS strict FROM m),
+h AS (SELECT host, sum(CASE WHEN base_failed OR mild OR strict THEN 1 ELSE 0 END)::DOUBLE AS bad, count(*)::DOUBLE AS n FROM f GROUP BY host),
+p AS (SELECT (sum(bad) + 0.5e0) / (sum(n) + 1) AS mean, var_pop(bad / n) AS spread FROM h),
+q AS (SELECT mean, greatest(1, least(1e6, mean * (1 - mean) / greatest(spread, 1e-9) - 1)) AS weight FROM p),
+rates AS (SELECT host, (bad + mean * weight) / (n + weight) AS host_rate FROM h CROSS JOIN q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT strict AND (NOT mild OR host_rate <= {host_limit!r}::DOUBLE) AS kept
+FROM f JOIN rates ON f.host IS NOT DISTINCT FROM rates.host"""

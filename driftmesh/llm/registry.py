@@ -16,4 +16,4 @@ QUERIES = {
     "op9_pii": pii.query,
     "op10_quality_rules": quality.query,
 }
-SQL: dict[str, str] = {"op5_poisson_mixing": mixing.sql(), "op6_url_filters": urls.SQL}
+SQL: dict[str, str] = {"op5_poisson_mixing": mixing.sql(), "op6_url_filters": urls.SQL, "op10_quality_rules": quality.sql()}
