@@ -150,34 +150,40 @@ def fit(rows: list[tuple[str | None, int]], positive_share: float | None = None,
     n0 = len(rows) - n1
     if not n1 or not n0:
         return Model({}, np.zeros(0), np.zeros(0), 30.0 if n1 else -30.0, None)
-    seen = [tokens(t) for t, _ in rows]
     vocabulary: Counter = Counter()
-    for own in seen:
-        vocabulary.update(c for t in own if (c := t.strip(EDGES)).isalpha() and len(c) > 1)
+    for t, _ in rows:
+        vocabulary.update(c for t in tokens(t) if (c := t.strip(EDGES)).isalpha() and len(c) > 1)
     letters = Letters(vocabulary)
-    parts = Codes(lambda t: tuple({f for w in words_in(t, letters) for f in features_of(w)}), 1 << 18)
-    counts = (Counter(), Counter())
-    for own, (_, y) in zip(seen, rows, strict=True):
-        counts[y].update({f for t in own for f in parts[t]})
+    del vocabulary
+    # only features that enough texts of label 1 have are looked for in the others
+    parts = Codes(lambda t: tuple({f for w in words_in(t, letters) for f in features_of(w)}), 1 << 15)
+    first: Counter = Counter()
+    for t, y in rows:
+        if y:
+            first.update({f for t in tokens(t) for f in parts[t]})
+    place = {f: i for i, f in enumerate(sorted(f for f, k in first.items() if k >= least))}
+    del first, parts
+    found = Codes(lambda t: tuple({place[f] for w in words_in(t, letters) for f in features_of(w) if f in place}), 1 << 16)
+    held = [np.array(sorted({i for t in tokens(t) for i in found[t]}), np.int64) for t, _ in rows]
+    counts = [np.bincount(np.concatenate([h for h, (_, y) in zip(held, rows, strict=True) if y == label]), minlength=len(place)) for label in (0, 1)]
     # commoner with label 1, by the z of two shares
     ranked = []
-    for f, k in counts[1].items():
-        if k < least:
-            continue
-        p1, p0 = (k + 0.5) / (n1 + 1), (counts[0][f] + 0.5) / (n0 + 1)
+    for f, i in place.items():
+        k0, k1 = int(counts[0][i]), int(counts[1][i])
+        p1, p0 = (k1 + 0.5) / (n1 + 1), (k0 + 0.5) / (n0 + 1)
         if p1 >= 3 * p0:
-            p = (k + counts[0][f] + 1) / (len(rows) + 2)
+            p = (k1 + k0 + 1) / (len(rows) + 2)
             z = (p1 - p0) / (p * (1 - p) * (1 / n1 + 1 / n0)) ** 0.5
             if z > 5:
                 ranked.append((-z, f))
     index = {f: i for i, (_, f) in enumerate(sorted(ranked)[:most_features])}
     x = np.zeros((len(rows), len(index) + 1), np.float32)
     x[:, -1] = 1
-    for r, own in enumerate(seen):
-        for t in own:
-            for f in parts[t]:
-                if (i := index.get(f)) is not None:
-                    x[r, i] = 1
+    column = np.full(len(place), -1)
+    column[[place[f] for f in index]] = list(index.values())
+    for r, own in enumerate(held):
+        got = column[own]
+        x[r, got[got >= 0]] = 1
     y = np.array([y for _, y in rows], np.float32)
     w, speed = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32)
     square = np.zeros_like(w)
@@ -194,7 +200,8 @@ def fit(rows: list[tuple[str | None, int]], positive_share: float | None = None,
     scale = (1 - share) / share * n1 / n0 if share < 1 else 1.0
     alone = np.full(len(index), -30.0)
     for f, i in index.items():
-        k1, k = counts[1][f], counts[1][f] + scale * counts[0][f]
+        k1 = int(counts[1][place[f]])
+        k = k1 + scale * int(counts[0][place[f]])
         p = k1 / k
         low = (p + 1.92 / k - 1.96 * (p * (1 - p) / k + 0.96 / k / k) ** 0.5) / (1 + 3.84 / k)
         if low >= sure:
@@ -218,7 +225,7 @@ def sample(docs: DataFrame, labels: DataFrame, most_train: int, id_col: str, tex
     return [(r.text, r.y) for r in rows.toLocalIterator()], share or None
 
 
-def score(docs: DataFrame, labels: DataFrame, most_train: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, most_train: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """Per row: id, held_out, score, predicted."""
     model = fit(*sample(docs, labels, most_train, id_col, text_col, label_col))
 
