@@ -38,7 +38,7 @@ MILD = (
     ("upper", "n_upper > 0.3 * word_chars"),
 )
 STRICT = (
-    ("all_symbols", "n_symbols > n_words"),
+    ("many_symbols", "n_symbols > 0.25 * n_words"),
     ("all_upper", "n_upper > 0.6 * word_chars"),
     ("many_dup_lines", "n_lines >= 4 AND n_dup_lines > 0.5 * n_lines"),
 )
