@@ -8,6 +8,7 @@ from math import exp
 
 import numpy as np
 import pytest
+import xxhash
 from conftest import prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -377,6 +378,22 @@ def test_near_duplicate_rows(spark, frame):
     assert neardup.classes(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [512, 16])
+def test_mixed_buckets_are_finished(monkeypatch, frame, block):
+    monkeypatch.setattr(neardup, "BLOCK", block, raising=False)
+    # 40 pairs of near copies around a common passage, which alone gives the samples of most of them
+    shared, rows = prose(999, 70), []
+    for g in range(40):
+        own = prose(g, 30).split()
+        rows += [(2 * g + k, shared + " " + " ".join(own[: 3 * k] + [f"new{g}x{i}" for i in range(3 * k)] + own[6 * k :])) for k in (0, 1)]
+    got = {r.doc_id: r.class_id for r in neardup.classes(frame(*rows), sketches=2).collect()}
+    words = {i: neardup.word_hashes(t, Codes(xxhash.xxh64_intdigest)) for i, t in rows}
+    samples = {i: neardup.sketch(neardup.shingles(w), neardup.seeds(2), 2) for i, w in words.items()}
+    together = [g for g in range(40) if (samples[2 * g] == samples[2 * g + 1]).any()]
+    assert len(together) > 20 and all(neardup.alike(words[2 * g], words[2 * g + 1], 0.8) for g in together)
+    assert [g for g in together if got[2 * g] != got[2 * g + 1]] == [] and len({got[2 * g] for g in range(40)}) == 40
+
+
 # ---- mixing ----
 
 def poisson(u, rate):
