@@ -4,15 +4,17 @@ A token that may be disguised (digits or signs among letters, letters three or
 more times in a row, letters set apart by spaces, dots or dashes) spans a
 lattice: each character stands for itself, for the letters that it is used for,
 or, if it is a sign or repeats the one before, for nothing. Viterbi finds the
-path that a character trigram model, learned from the training texts' words,
-and the channel's costs make likeliest. Every other token has a lattice of one
-path, itself, and isn't run.
+path that a character trigram model and the channel's costs make likeliest. The
+model is counted over the words of all documents: words are counted where they
+stand and dealt out, and only the sums of n-grams reach the driver. Runs of one
+character are cut to three; tokens of any length are decoded. Every other token
+has a lattice of one path, itself, and isn't run.
 
 The restored and the plain words and their beginnings are features. Those that
 are much commoner in texts of label 1 are weighted by a logistic regression
-(numpy). Both models are fitted on a bounded sample of labelled rows: the
-``most_train`` of each label whose hashed ids are smallest, of rows whose
-crc32(doc_id as text) mod 5 is not 0. A feature whose share of label 1 is surely
+(numpy), fitted on a bounded sample of labelled rows: the ``most_train`` of each
+label whose hashed ids are smallest, of rows whose crc32(doc_id as text) mod 5
+is not 0. A feature whose share of label 1 is surely
 high (Wilson bound) speaks for itself, so that one word is enough. Scores depend
 on the text alone.
 
@@ -23,34 +25,74 @@ labelled row every score is 0. Repeated rows are each scored.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from math import exp, log
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Codes, load, map_many
+from .common import ROWS_AT_ONCE, Codes, load, map_many
 
 EDGES = ".,;:!?\"'()[]{}%$&*#|<>«»„“”‘’…-–—_~^=+/\\"
 #: Letters that digits and signs are used for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 SEPARATE = re.compile(r"(?<!\S)\w(?:[ ._*-]\w(?!\w)){2,}(?!\w)")
-DISGUISED = re.compile(r"(.)\1\1")
-MOST = 24
+DISGUISED = re.compile(r"(.)\1\1", re.S)
+STRETCHED = re.compile(r"(.)\1{3,}", re.S)
+#: Words or n-grams that a task counts before it passes the counts on.
+AT_ONCE = 1 << 18
+
+
+def grams(words: Iterable[tuple[str, int]]) -> Iterator[Counter]:
+    """Weights of the words' n-grams and of their pasts, in whole millionths, so that sums don't depend on their order."""
+    out: Counter = Counter()
+    for word, n in words:
+        w, x = f"^^{word}$", round(1e6 * (1 + log(n)))
+        for i in range(2, len(w)):
+            for k in range(3):
+                out[w[i - k : i + 1]] += x
+                out[w[i - k : i] + "\0"] += x
+        if len(out) >= AT_ONCE:
+            yield out
+            out = Counter()
+    yield out
+
+
+def counted(docs: DataFrame, text_col: str = "text") -> Counter:
+    """grams of the words of all texts."""
+
+    def batch_of(counts: Counter, name: str) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=[name, "n"])
+
+    def words(batches):
+        seen: Counter = Counter()
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                for text in batch.column(0).slice(at, ROWS_AT_ONCE).to_pylist():
+                    seen.update(plain_words(text or ""))
+                if len(seen) >= AT_ONCE:
+                    yield batch_of(seen, "word")
+                    seen = Counter()
+        yield batch_of(seen, "word")
+
+    def parts(batches):
+        pairs = ((w.as_py(), n.as_py()) for batch in batches for w, n in zip(batch.column(0), batch.column(1), strict=True))
+        for out in grams(pairs):
+            yield batch_of(out, "gram")
+
+    found = docs.select(text_col).mapInArrow(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    sums = found.mapInArrow(parts, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return Counter({r.gram: r.n for r in sums.toLocalIterator()})
 
 
 class Letters:
     """A character trigram model of words, smoothed by the bigram and the single letter."""
 
-    def __init__(self, words: Counter):
-        self.tri: dict[str, float] = defaultdict(float)
-        for word, n in words.items():
-            w, x = f"^^{word}$", 1 + log(n)
-            for i in range(2, len(w)):
-                for k in range(3):
-                    self.tri[w[i - k : i + 1]] += x
-                    self.tri[w[i - k : i] + "\0"] += x
+    def __init__(self, weights: dict[str, int]):
+        self.tri = {g: n / 1e6 for g, n in weights.items()}
         self.known: dict[tuple[str, str], float] = {}
 
     def cost(self, before: str, c: str) -> float:
@@ -67,7 +109,7 @@ class Letters:
 
 def suspicious(token: str) -> bool:
     """Whether the token's lattice has more than one path."""
-    if len(token) < 3 or len(token) > MOST:
+    if len(token) < 3:
         return False
     letters = sum(c.isalpha() for c in token)
     if letters < 2 or ("@" in token and "." in token[token.index("@") :]):
@@ -77,28 +119,41 @@ def suspicious(token: str) -> bool:
 
 def restore(token: str, letters: Letters) -> str:
     """The likeliest word behind a disguised token."""
-    best: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
+    token = STRETCHED.sub(r"\1\1\1", token)
+    tripled = {m[1] for m in DISGUISED.finditer(token)}
+    # a path is its last letter and the path before it
+    best: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}
     for i, c in enumerate(token):
         options: list[tuple[str, float]] = []
         repeats = i > 0 and token[i - 1] == c
         if c.isalpha():
             options.append((c, 0.0))
             if repeats:
-                options.append(("", 0.5 if c * 3 in token else 3.0))
+                options.append(("", 0.5 if c in tripled else 3.0))
         else:
             options.append(("", 4.0 if c in LEET else 0.5))
             options += [(x, 0.7) for x in LEET.get(c, "")]
             if c in "*#%&?-_.":
                 options += [(x, 4.0) for x in "aeiou"]
-        after: dict[str, tuple[float, str]] = {}
+        after: dict[str, tuple[float, tuple | None]] = {}
         for state, (score, out) in best.items():
             for emit, price in options:
                 to = state[1] + emit if emit else state
                 total = score + price + (letters.cost(state, emit) if emit else 0.0)
                 if to not in after or total < after[to][0]:
-                    after[to] = (total, out + emit)
+                    after[to] = (total, (out, emit) if emit else out)
         best = after
-    return min((s + letters.cost(state, "$"), out) for state, (s, out) in best.items())[1]
+    ends = [(s + letters.cost(state, "$"), out) for state, (s, out) in best.items()]
+    least = min(s for s, _ in ends)
+    return min(spelled(out) for s, out in ends if s == least)
+
+
+def spelled(path: tuple | None) -> str:
+    out = []
+    while path:
+        path, c = path
+        out.append(c)
+    return "".join(reversed(out))
 
 
 def tokens(text: str) -> set[str]:
@@ -110,6 +165,11 @@ def tokens(text: str) -> set[str]:
     return out
 
 
+def plain_words(text: str) -> list[str]:
+    """The distinct words of letters only."""
+    return list({c for t in tokens(text) if (c := t.strip(EDGES)).isalpha() and len(c) > 1})
+
+
 def features_of(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in range(4, min(9, len(word))))] if len(word) > 1 else []
 
@@ -143,18 +203,15 @@ class Model:
         return 1 / (1 + exp(-max(-30.0, min(30.0, x))))
 
 
-def fit(rows: list[tuple[str | None, int]], positive_share: float | None = None, most_features: int = 800, least: int = 4, rounds: int = 600, sure: float = 0.9) -> Model:
-    """rows: (text, label). positive_share: of all labelled rows, where the sample's differs."""
+def fit(rows: list[tuple[str | None, int]], positive_share: float | None = None, most_features: int = 800, least: int = 4, rounds: int = 600, sure: float = 0.9, letters: Letters | None = None) -> Model:
+    """rows: (text, label). positive_share: of all labelled rows, where the sample's differs. letters: of all documents, else of the rows."""
     rows = [(t or "", int(y)) for t, y in rows]
     n1 = sum(y for _, y in rows)
     n0 = len(rows) - n1
     if not n1 or not n0:
         return Model({}, np.zeros(0), np.zeros(0), 30.0 if n1 else -30.0, None)
-    vocabulary: Counter = Counter()
-    for t, _ in rows:
-        vocabulary.update(c for t in tokens(t) if (c := t.strip(EDGES)).isalpha() and len(c) > 1)
-    letters = Letters(vocabulary)
-    del vocabulary
+    if letters is None:
+        letters = Letters(sum(grams(Counter(w for t, _ in rows for w in plain_words(t)).items()), Counter()))
     # only features that enough texts of label 1 have are looked for in the others
     parts = Codes(lambda t: tuple({f for w in words_in(t, letters) for f in features_of(w)}), 1 << 15)
     first: Counter = Counter()
@@ -227,7 +284,9 @@ def sample(docs: DataFrame, labels: DataFrame, most_train: int, id_col: str, tex
 
 def score(docs: DataFrame, labels: DataFrame, most_train: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """Per row: id, held_out, score, predicted."""
-    model = fit(*sample(docs, labels, most_train, id_col, text_col, label_col))
+    known, share = sample(docs, labels, most_train, id_col, text_col, label_col)
+    letters = Letters(counted(docs, text_col)) if len({y for _, y in known}) == 2 else None
+    model = fit(known, share, letters=letters)
 
     def rows(cache: Codes, keys: list, out: list, texts: list) -> list[tuple]:
         scores = [model.score(t, cache) for t in texts]

@@ -241,6 +241,29 @@ def test_disguised_words_are_restored():
     assert model.score(f"{clean} 4952935900253052 3rd 2024 x@y.com", cache) < 0.3
 
 
+def test_long_disguises_are_restored():
+    rows, words = train_rows()
+    model = toxicity.fit(rows)
+    clean = " ".join(words[:12])
+    for form in ("stu" + "u" * 60 + "pid", "1-d-1-0-0-0-t".replace("0-0-0", "o" * 40), " ".join("m000r" + "o" * 30 + "n"), "w.0.r.t.h.l.3" + ".s" * 40):
+        assert model.score(f"{clean} {form} {words[3]}", Codes(model.indices)) > 0.5, form
+    # time in proportion to the length
+    assert toxicity.restore("x-1y" * 20000, model.letters)
+
+
+def test_letters_of_all_documents(spark, frame, monkeypatch):
+    rows, _ = train_rows()
+    docs = frame(*[(i, t) for i, (t, _) in enumerate(rows)], (9000, "Qwzk qwzk, vjh9 Łódź"), (9001, "qwzk"), (9002, None))
+    labels = spark.createDataFrame([(i, 1, y) for i, (_, y) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    models, fit = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda *a, **b: models.append(fit(*a, **b)) or models[-1])
+    toxicity.score(docs, labels, most_train=100).count()
+    tri = models[0].letters.tri
+    assert tri.get("qwz") == pytest.approx(1 + np.log(2)) and "łód" in tri and "vjh" not in tri
+    seen = Counter(w for t, _ in rows for w in set(t.split()))
+    assert tri["idi"] == pytest.approx(sum((1 + np.log(n)) * w.count("idi") for w, n in seen.items()))
+
+
 def test_toxicity_rows(spark, frame):
     rows, _ = train_rows()
     docs = frame(*[(i, t) for i, (t, _) in enumerate(rows)], (9000, None), (9001, ""), (9002, "ok " * 3000))
