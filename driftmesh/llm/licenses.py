@@ -1,9 +1,11 @@
 """License scans by an exact set-similarity join against notice templates.
 
 Every line of a text that has words is a block, and so is every run of up to
-``max_lines`` lines that starts at one (a notice may be wrapped). A block
-matches a template if it holds at least ``threshold`` of the template's
-distinct words. The join orders tokens by their number of places in all texts
+``max_lines`` of them, lines without words left out. So is, for each template,
+every span of up to SPREAD times its words, over however many lines a notice
+may be wrapped. A block matches a template if it holds at least ``threshold`` of
+the template's distinct words and the label's word of MARKS, which tells
+templates of nearly the same words apart. The join orders tokens by their number of places in all texts
 (rarest first, ties by the token), probes an index of the templates' prefixes
 with a block's tokens, and drops candidates by the length and positional
 filters before the exact overlap is counted; a pair over the threshold can't
@@ -48,6 +50,8 @@ TEMPLATES = (
 )
 #: The word that must be in a block that matches a template of the label, where labels differ in one word.
 MARKS = {"agpl": "affero", "apache": "apache", "cc-by-nc": "nc", "gpl": "gnu", "lgpl": "lesser", "mit": None, "mpl": "mozilla"}
+#: Words of a span for each word of the template.
+SPREAD = 2
 
 
 def words_of(text: str | None) -> list[str]:
@@ -69,22 +73,50 @@ class Index:
             for at in range(len(ranks) - need + 1):
                 self.prefixes[ranks[at]].append((len(self.items), at))
             self.items.append((label, ranks, need, mark))
+        self.spans = [SPREAD * len(words_of(text)) for _, text in templates]
 
     def match(self, block: list[int]) -> list[tuple[str, float]]:
         """Labels of the templates that the block (sorted distinct ranks) contains, with the containment."""
+        return [(self.items[t][0], overlap / len(self.items[t][1])) for t, overlap in self.contained(block)]
+
+    def spread(self, places: list[tuple[int, int]]) -> list[tuple[str, float]]:
+        """Labels of the templates that a span of the text contains, with the most containment; places: (place in the text, rank) in order."""
+        out = []
+        for t, _ in self.contained(sorted({r for _, r in places})):
+            label, ranks, need, mark = self.items[t]
+            own, span = set(ranks), self.spans[t]
+            some = [x for x in places if x[1] in own]
+            held: Counter = Counter()
+            first = best = 0
+            for at, r in some:
+                held[r] += 1
+                while some[first][0] <= at - span:
+                    gone = some[first][1]
+                    held[gone] -= 1
+                    if not held[gone]:
+                        del held[gone]
+                    first += 1
+                if len(held) > best and (mark is None or mark in held):
+                    best = len(held)
+            if best >= need:
+                out.append((label, best / len(ranks)))
+        return out
+
+    def contained(self, block: list[int]) -> list[tuple[int, int]]:
+        """The templates (by number) that the block contains, with the overlap."""
         found, seen = [], set()
         for i, r in enumerate(block):
             for t, at in self.prefixes.get(r, ()):
                 if t in seen:
                     continue
                 seen.add(t)
-                label, ranks, need, mark = self.items[t]
+                _, ranks, need, mark = self.items[t]
                 # length: the block must hold enough tokens; position: so must what is left of both
                 if len(block) < need or 1 + min(len(block) - i - 1, len(ranks) - at - 1) < need:
                     continue
                 overlap = len(set(block).intersection(ranks))
                 if overlap >= need and (mark is None or mark in block):
-                    found.append((label, overlap / len(ranks)))
+                    found.append((t, overlap))
         return found
 
 
@@ -133,18 +165,18 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, base: dict = BASE, thres
         labels = {label for _, label in places}
         own, score = sorted(labels), float(bool(labels))
         if not index.rank.keys().isdisjoint(words):
-            lines = [[index.rank[w] for w in WORD.findall(x) if w in index.rank] for x in low.split("\n")]
+            found = index.spread([(i, index.rank[w]) for i, w in enumerate(words) if w in index.rank])
+            lines = [{index.rank[w] for w in x if w in index.rank} for x in map(WORD.findall, low.split("\n")) if x]
             for i, first in enumerate(lines):
                 if not first:
                     continue
                 block: set[int] = set()
                 for more in lines[i : i + max_lines]:
-                    if not more:
-                        break
-                    block.update(more)
-                    for label, share in index.match(sorted(block)):
-                        labels.add(label)
-                        score = max(score, share)
+                    if not more <= block:
+                        block |= more
+                        found += index.match(sorted(block))
+            labels.update(label for label, _ in found)
+            score = max([score, *(share for _, share in found)])
         return key, len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(own), ",".join(sorted(labels)), score
 
     schema = f"{id_col} long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"

@@ -139,6 +139,15 @@ def test_license_notices(frame):
     assert got == {1: "mit", 2: "apache", 3: ""}
 
 
+def test_notices_over_many_lines(frame):
+    parts = ["Permission is hereby", "granted, free of charge,", "to any person obtaining", "a copy of this software", "and associated", "documentation files"]
+    apache = "Licensed\n\nunder the\n\nApache\n\nLicense,\n\nVersion\n\n2.0"
+    scattered = "\n".join(f"{w}\n" + "\n".join(prose(i, 12).split()) for i, w in enumerate(" ".join(parts).split()))
+    docs = frame((1, prose(1) + "\n" + "\n".join(parts) + "\n" + prose(2)), (2, "/*\n * " + "\n *\n * ".join(parts) + "\n */"), (3, apache), (4, scattered), (5, "Licensed under\n--\nthe Apache\n*\nLicense version 2"))
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(docs).collect()}
+    assert got == {1: ("mit", 1.0), 2: ("mit", 1.0), 3: ("apache", 1.0), 4: ("", 0.0), 5: ("apache", 7 / 8)}
+
+
 # ---- personal data ----
 
 def brute_patterns(text):
