@@ -1,7 +1,7 @@
 """Main text of HTML pages by a maximum-scoring subsequence.
 
 A page becomes a sequence of words and tags. Words score a little above zero
-and tags below it, with weights from labelled pages (see ``fit``); one linear
+and tags below it, with weights set by hand or from labelled pages (``fit``); one linear
 scan finds the contiguous region with the largest sum. Before the scan, what
 no reader takes for the article (scripts, styles, menus, headers, footers,
 sidebars, forms, adverts, notices, reader comments, by element or by words in
@@ -107,7 +107,7 @@ def sequence(page: str) -> list[tuple[str, str, bool]]:
     return out
 
 
-#: Weights that ``fit`` gives on the generated labelled pages of the tests; used where none are passed.
+#: Set by hand, not by ``fit``; used where none are passed.
 WEIGHTS = {"word": 1.0, "dropped": -1.5, "tag": -2.0, "inline": -0.25, "p": -0.25, "li": -2.0, "a": -2.0}
 
 
