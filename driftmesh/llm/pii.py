@@ -6,10 +6,9 @@ labelled spans (``labelled_spans`` writes them: plain, spaced and spelled-out
 forms and secrets, among ordinary numbers that are none), adds spans of the
 same kinds and of ``secret``.
 
-Every kind needs a digit, an ``@`` or a spelled-out ``(at)``/``[at]``; the CRF
-gives any other label than "outside" no weight unless such an anchor is within
-``REACH`` characters. So text farther from every anchor decodes as outside
-without being run, exactly, and the tagger runs over windows around anchors.
+The tagger runs only within ``REACH`` characters of an anchor: a digit, an ``@``
+or a spelled-out ``(at)``/``[at]``. That is a prefilter, not exact: the CRF could
+label other text too, and what has no anchor near is missed.
 Long windows overlap; where two disagree, the label comes from the window whose
 edge is farther away. Spans that touch a pattern's span give way to it.
 
