@@ -1,23 +1,32 @@
 """Main text of HTML pages by a maximum-scoring subsequence.
 
-A page becomes a sequence of words and tags. Words score a little above zero
-and tags below it, with weights set by hand or from labelled pages (``fit``); one linear
-scan finds the contiguous region with the largest sum. Before the scan, what
-no reader takes for the article (scripts, styles, menus, headers, footers,
-sidebars, forms, adverts, notices, reader comments, by element or by words in
-class, id or role) is marked: each such part scores like one tag, so that the
-region bridges an advert inside an article but doesn't start or end in a menu,
-and its text is never returned.
-
-Null and empty pages, and pages without words, give an empty text. Markup that
-is cut off or never closed is read up to the page's end.
+A page becomes a sequence of words and tags. Words score above zero and tags
+below it, with weights fitted to labelled pages (``labelled_pages`` writes them,
+``fit`` takes the log odds of each kind of token inside against outside the main
+text); one linear scan finds the contiguous region with the largest sum. Before
+the scan, what no reader takes for the article (scripts, styles, menus, headers,
+footers, sidebars, forms, adverts, notices, reader comments, by element or by
+words in class, id or role) is marked: each such part scores like one tag, so
+that the region bridges an advert inside an article but doesn't start or end in
+a menu, and its text is never returned. Tags without text between them score
+RUN at least, so that nested empty containers cost no more than an advert. The
+region is then rounded to whole blocks, and to the ``article`` or ``main``
+element that holds it.
+
+Null and empty pages, and pages without words, give an empty text. Of regions
+with equal sums the first counts. Repeated rows are each extracted; an empty
+table gives an empty table. Only the named columns are read, so that no other
+column can clash. Markup that is cut off or never closed is read up to the
+page's end; pages of any length take time in proportion to it.
 """
 
 from __future__ import annotations
 
 import html as entities
+import random
 import re
 from functools import lru_cache
+from math import log
 
 from pyspark.sql import DataFrame
 
@@ -107,24 +116,46 @@ def sequence(page: str) -> list[tuple[str, str, bool]]:
     return out
 
 
-#: Set by hand, not by ``fit``; used where none are passed.
-WEIGHTS = {"word": 1.0, "dropped": -1.5, "tag": -2.0, "inline": -0.25, "p": -0.25, "li": -2.0, "a": -2.0}
+#: Kinds of tokens that have a weight of their own, and the elements of each kind of tag.
+GROUPS = {"p": "p br", "head": "h1 h2 h3 h4 h5 h6", "item": "li dt dd", "list": "ul ol dl", "cell": "td th", "table": "table thead tbody tfoot tr caption", "quote": "blockquote pre figure figcaption img hr"}
+KIND = {name: kind for kind, names in GROUPS.items() for name in names.split()}
+KINDS = ("word", "linked", "dropped", "block", "inline", "a", *GROUPS)
+#: The least that tags without text between them score together, and the most that a tag does.
+RUN, MOST = -3.0, -0.05
 
 
-def scores(tokens: list[tuple[str, str, bool]], weights: dict[str, float]) -> list[float]:
-    """Each token's score. A dropped part counts once, however long: its text is never returned, so a long advert in an article costs no more than a short one."""
-    out, inside = [], False
+def kinds(tokens: list[tuple[str, str, bool]]) -> list[tuple[str, int]]:
+    """The kind of each token and how often it counts; a dropped part counts once, however long."""
+    out, inside, links = [], False, 0
     for kind, value, bad in tokens:
         if bad:
-            out.append(0.0 if inside else weights["dropped"])
+            out.append(("dropped", 0 if inside else 1))
         elif kind == "text":
-            out.append(weights["word"] * len(value.split()))
+            out.append(("linked" if links > 0 else "word", len(value.split())))
         else:
-            out.append(weights.get(value, weights["inline" if value in INLINE else "tag"]))
+            out.append(("a" if value == "a" else KIND.get(value) or ("inline" if value in INLINE else "block"), 1))
+        if value == "a" and kind != "text":
+            links = 1 if kind == "open" else 0
+        elif kind != "text" and value in BLOCKY:
+            links = 0
         inside = bad
     return out
 
 
+def scores(tokens: list[tuple[str, str, bool]], weights: dict[str, float]) -> list[float]:
+    """Each token's score."""
+    out, run = [], 0.0
+    for (kind, n), (what, _, bad) in zip(kinds(tokens), tokens, strict=True):
+        x = weights[kind] * n
+        if what == "text" and not bad:
+            run = 0.0 if n else run
+        elif not bad:
+            x = max(x, RUN - run)
+            run += x
+        out.append(x)
+    return out
+
+
 def region(scores: list[float]) -> tuple[int, int]:
     """Start and end of the contiguous part with the largest sum; (0, 0) if none is above 0."""
     best, total, start, found = 0.0, 0.0, 0, (0, 0)
@@ -139,39 +170,137 @@ def region(scores: list[float]) -> tuple[int, int]:
 
 def fit(labelled: list[tuple[str, str]]) -> dict[str, float]:
     """Weights from (html, main text) pairs: log odds of each kind of token inside against outside the main text, scaled so that a word has 1."""
-    from math import log
-
-    inside: dict[str, float] = {}
-    outside: dict[str, float] = {}
+    counts = {k: [1.0, 1.0] for k in KINDS}
     for page, truth in labelled:
         tokens = sequence(page or "")
         flat = " ".join(truth.split())
         marks = [k == "text" and bool(v.strip()) and not bad and " ".join(entities.unescape(v).split()) in flat for k, v, bad in tokens]
+        # the first and last pieces of the main text that stand there in order
         lo, hi = (marks.index(True), len(marks) - marks[::-1].index(True)) if any(marks) else (0, 0)
-        for i, (kind, value, bad) in enumerate(tokens):
-            if bad and i and tokens[i - 1][2]:
-                continue
-            key = "dropped" if bad else "word" if kind == "text" else value if value in WEIGHTS else "inline" if value in INLINE else "tag"
-            to = inside if lo <= i < hi else outside
-            to[key] = to.get(key, 0) + (len(value.split()) if kind == "text" and not bad else 1)
-    odds = {k: log((inside.get(k, 0) + 1) / (outside.get(k, 0) + 1)) for k in WEIGHTS}
+        for i, (kind, n) in enumerate(kinds(tokens)):
+            counts[kind][not lo <= i < hi] += n
+    inside, outside = (sum(c[k] for c in counts.values()) for k in (0, 1))
+    odds = {k: log(c[0] / inside) - log(c[1] / outside) for k, c in counts.items()}
     unit = max(odds["word"], 0.1)
-    return {k: 1.0 if k == "word" else min(-0.25, odds[k] / unit) for k in WEIGHTS}
+    return {k: 1.0 if k == "word" else min(1.0, x / unit) if k == "linked" else min(MOST, x / unit) for k, x in odds.items()}
+
+
+def labelled_pages(n: int = 300, seed: int = 11) -> list[tuple[str, str]]:
+    """(html, main text) pairs: articles of paragraphs, lists, links, tables, figures and quotes, some with adverts inside, in several containers, among menus, notices, comments and link lists with and without telling names."""
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(900)]
+
+    def words(lo: int, hi: int) -> str:
+        return " ".join(rng.choice(vocabulary) for _ in range(rng.randint(lo, hi)))
+
+    def inline(text: str) -> str:
+        own = text.split(" ")
+        for _ in range(rng.randint(0, 2)):
+            i = rng.randrange(len(own))
+            own[i] = rng.choice(("<b>%s</b>", "<em>%s</em>", '<a href="/x">%s</a>', "%s<br>")) % own[i]
+        return " ".join(own)
+
+    def several(k: int, lo: int, hi: int) -> list[str]:
+        return [words(lo, hi) for _ in range(k)]
+
+    def part() -> tuple[str, list[str]]:
+        x = rng.random()
+        if x < 0.55:
+            text = words(1, 6) if rng.random() < 0.2 else words(8, 60)
+            return f"<p>{inline(text)}</p>", [text]
+        if x < 0.65:
+            own = several(rng.randint(2, 6), 1, 9)
+            return "<ul>" + "".join(f"<li>{rng.choice((w, inline(w)))}</li>" for w in own) + "</ul>", own
+        if x < 0.75:
+            own = several(rng.choice((4, 6, 8)), 1, 2)
+            rows = "".join(f"<tr><td>{a}</td><td>{b}</td></tr>" for a, b in zip(own[::2], own[1::2], strict=True))
+            return f"<table>{rows}</table>", own
+        if x < 0.82:
+            text = words(2, 6)
+            return f'<figure><img src="/i.png"><figcaption>{text}</figcaption></figure>', [text]
+        if x < 0.88:
+            text = words(5, 30)
+            return f"<blockquote>{text}</blockquote>", [text]
+        if x < 0.94:
+            text = words(2, 5)
+            return f"<h2>{text}</h2>", [text]
+        return rng.choice((f'<div class="ad">{words(3, 40)}</div>', '<div><div><div><img src="/i.png"></div></div></div>', "<script>x</script>")), []
+
+    def links(k: int) -> str:
+        return "<ul>" + "".join(f'<li><a href="/{w}">{w}</a></li>' for w in several(k, 1, 2)) + "</ul>"
+
+    out = []
+    for _ in range(n):
+        head = words(1, 8)
+        parts = [(f"<h1>{head}</h1>", [head]), *(part() for _ in range(rng.randint(1, 9))), (f"<p>{(last := words(10, 40))}</p>", [last])]
+        body = "".join(x for x, _ in parts)
+        holder = rng.choice(("<article>%s</article>", "<main>%s</main>", '<div id="content">%s</div>', "<section>%s</section>", "%s"))
+        around = lambda: rng.choice(("", f"<nav>{links(5)}</nav>", f"<div>{links(6)}</div>", f'<div class="notice">{words(3, 20)}</div>', f"<aside><p>{words(5, 30)}</p></aside>"))
+        behind = lambda: rng.choice(("", f"<footer>{words(2, 12)}</footer>", f"<div>{links(6)}</div>", f'<section class="comments"><p>{words(5, 60)}</p></section>', f'<div class="related">{links(4)}</div>'))
+        page = f"<html><head><title>{head}</title></head><body><header>{words(1, 4)}</header>{around()}{around()}{holder % body}{behind()}{behind()}</body></html>"
+        out.append((page, " ".join(w for _, own in parts for w in own)))
+    return out
+
+
+@lru_cache(maxsize=1)
+def fitted() -> tuple[tuple[str, float], ...]:
+    """The weights that the labelled pages give; found once in a session."""
+    return tuple(fit(labelled_pages()).items())
+
 
+#: What the region grows over at its edges, and dropped elements that it may hop.
+EDGE = frozenset("p h1 h2 h3 h4 h5 h6 br hr img li ul ol dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption".split())
+HOPPED = frozenset("div ins span p iframe script style noscript form button svg".split())
+
+
+def grown(tokens: list[tuple[str, str, bool]], lo: int, hi: int) -> tuple[int, int]:
+    """The region with what of its blocks it cuts off, and of the ``article`` or ``main`` that holds it."""
+    if lo >= hi:
+        return lo, hi
+
+    def joins(x: tuple[str, str, bool]) -> bool:
+        return not x[2] and (x[0] == "text" or x[1] in INLINE or x[1] in EDGE)
 
-def extract(page: str | None, weights: dict[str, float] = WEIGHTS) -> str:
+    def reach(at: int, step: int) -> int:
+        """The last token that joins, going by step from the one at the edge."""
+        last = at
+        while 0 <= at + step < len(tokens):
+            at += step
+            if tokens[at][2]:
+                start = at
+                while 0 <= at + step < len(tokens) and tokens[at + step][2]:
+                    at += step
+                outer = tokens[start if step > 0 else at]
+                if outer[0] != "open" or outer[1] not in HOPPED:
+                    break
+            elif joins(tokens[at]):
+                last = at
+            else:
+                break
+        return last
+
+    lo, hi = reach(lo, -1), reach(hi - 1, 1) + 1
+    opened: list[int] = []
+    best = None
+    for i, (kind, value, bad) in enumerate(tokens):
+        if kind == "text" or bad or value not in ("article", "main"):
+            continue
+        if kind == "open":
+            opened.append(i)
+        elif opened:
+            start = opened.pop()
+            if start <= lo and hi <= i + 1 and best is None:
+                best = (start, i + 1)
+    if best is None and opened and opened[-1] <= lo:
+        best = (opened[-1], len(tokens))
+    return best or (lo, hi)
+
+
+def extract(page: str | None, weights: dict[str, float] | None = None) -> str:
     if not page:
         return ""
     tokens = sequence(page)
-    lo, hi = region(scores(tokens, weights))
-    # whole blocks: the region grows over tags and wanted text up to the enclosing blocks' edges
-    def joins(x: tuple[str, str, bool]) -> bool:
-        return not x[2] and (x[0] == "text" or x[1] in INLINE or x[1] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "br", "li", "ul", "ol", "blockquote", "pre", "td", "th", "tr", "dd", "dt"))
-
-    while lo < hi and lo > 0 and joins(tokens[lo - 1]):
-        lo -= 1
-    while lo < hi < len(tokens) and joins(tokens[hi]):
-        hi += 1
+    lo, hi = grown(tokens, *region(scores(tokens, weights or dict(fitted()))))
     parts: list[str] = []
     for kind, value, bad in tokens[lo:hi]:
         if kind == "text" and not bad:
@@ -183,7 +312,7 @@ def extract(page: str | None, weights: dict[str, float] = WEIGHTS) -> str:
 
 def extract_pages(pages: DataFrame, weights: dict[str, float] | None = None, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
     """Per row: id, url, text, n_chars (code points)."""
-    own = weights or WEIGHTS
+    own = weights or dict(fitted())
 
     def row(_, key: int, url: str | None, page: str | None) -> tuple:
         text = extract(page, own)

@@ -49,11 +49,34 @@ def test_region_is_the_best_sum():
 
 
 def test_weights_from_labelled_pages():
+    weights = dict(html.fitted())
+    assert weights["word"] == 1.0 and all(v < 0 for k, v in weights.items() if k not in ("word", "linked"))
+    held_out = html.labelled_pages(200, seed=77)
+    assert sum(html.extract(p) == t for p, t in held_out) >= 196
     bodies = [f"<article><h1>Head {i}</h1><p>{WORDS} {i}</p><p>{WORDS}</p></article>" for i in range(20)]
     labelled = [(FRAME % b, f"Head {i} {WORDS} {i} {WORDS}") for i, b in enumerate(bodies)]
-    weights = html.fit(labelled)
-    assert weights["word"] == 1.0 and all(v < 0 for k, v in weights.items() if k != "word")
-    assert [html.extract(p, weights) for p, _ in labelled] == [t for _, t in labelled]
+    assert [html.extract(p, html.fit(labelled)) for p, _ in labelled] == [t for _, t in labelled]
+
+
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        (f"<article><p>{WORDS}</p><table><tr><td>a</td><td>b</td></tr><tr><td>c</td><td>d</td></tr></table><p>{WORDS}</p></article>", f"{WORDS} a b c d {WORDS}"),
+        (f"<h1>A</h1><p>Short.</p><div class=ad>x</div><p>{WORDS}</p>", f"A Short. {WORDS}"),
+        (f"<div><p>{WORDS}</p><div><div><div><img></div></div></div><p>{WORDS}</p></div>", f"{WORDS} {WORDS}"),
+        (f"<p>{WORDS}</p><ul><li>x</li><li><a href=/>y</a></li></ul><p>z</p>", f"{WORDS} x y z"),
+        (f"<div id=content><h1>A</h1><div class=ad>{WORDS} {WORDS}</div><p>{WORDS}</p></div>", f"A {WORDS}"),
+    ],
+)
+def test_short_blocks_tables_and_adverts_stay_whole(body, text):
+    assert html.extract(FRAME % body) == text
+
+
+def test_equal_regions_and_repeats(spark):
+    page = "<div>a b c</div>" + "<div class=ad>x</div>" * 40 + "<div>d e f</div>"
+    assert html.region([1.0, -5.0, 1.0]) == (0, 1)
+    got = html.extract_pages(pages(spark, ("u", page), ("u", page))).collect()
+    assert got[0].text == got[1].text
 
 
 def pages(spark, *rows):
