@@ -1,21 +1,28 @@
 """License scans by an exact set-similarity join against notice templates.
 
-Every line of a text that has words is a block, and so is every run of up to
-``max_lines`` of them, lines without words left out. So is, for each template,
-every span of up to SPREAD times its words, over however many lines a notice
-may be wrapped. A block matches a template if it holds at least ``threshold`` of
-the template's distinct words and the label's word of MARKS, which tells
-templates of nearly the same words apart. The join orders tokens by their number of places in all texts
+The words of a text that stand in a template end blocks: for each such place and
+template the block is the SPREAD x (template's words) words that end there, over
+however many lines a notice may be wrapped and whatever stands between its words.
+A block matches a template if it holds at least ``threshold`` of the template's
+distinct words. The join orders tokens by their number of places in all texts
 (rarest first, ties by the token), probes an index of the templates' prefixes
-with a block's tokens, and drops candidates by the length and positional
-filters before the exact overlap is counted; a pair over the threshold can't
-be lost, since of the overlap at least one token is in the prefix.
+with a text's tokens, and drops candidates by the length and positional filters;
+then only blocks around a prefix token are counted. A block over the threshold
+can't be lost, since of its overlap at least one token is in the prefix.
+
+``matches`` names every label with a block over the threshold, and the most
+containment. Templates of nearly the same words (GPL, AGPL, LGPL) are told apart
+in ``labels``: a block's label gives way where a block of another label that
+overlaps it holds a larger share of its template, or as much of a longer one;
+equal ones stand together.
 
 The frequencies are counted over all texts; only the templates' own tokens are
 counted, so what the driver gets is bounded by the templates.
 
-Null and empty texts have no words and no labels. Repeated rows are each
-scanned by themselves.
+Null and empty texts have no words and no labels; a null id stays null. Repeated
+rows are each scanned by themselves; an empty table gives an empty table. Only
+the named columns are read, so no other can clash. A text of n words takes time
+in proportion to n, and to the templates' words around the rare ones.
 """
 
 from __future__ import annotations
@@ -37,20 +44,21 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 #: Public notices and their labels.
 TEMPLATES = (
     ("agpl", "licensed under the GNU Affero General Public License"),
+    ("agpl", "This work is licensed under the GNU Affero General Public License, version 3"),
     ("apache", "Licensed under the Apache License, Version 2.0"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("gpl", "licensed under the GNU General Public License"),
     ("gpl", "This work is licensed under the GNU General Public License, version 3"),
     ("lgpl", "licensed under the GNU Lesser General Public License"),
+    ("lgpl", "This work is licensed under the GNU Lesser General Public License, version 3"),
     ("mit", "Released under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 )
-#: The word that must be in a block that matches a template of the label, where labels differ in one word.
-MARKS = {"agpl": "affero", "apache": "apache", "cc-by-nc": "nc", "gpl": "gnu", "lgpl": "lesser", "mit": None, "mpl": "mozilla"}
-#: Words of a span for each word of the template.
+#: Words of a block for each word of the template.
 SPREAD = 2
 
 
@@ -66,58 +74,61 @@ class Index:
         order = sorted({w for _, s in sets for w in s}, key=lambda w: (frequency.get(w, 0), w))
         self.rank = {w: i for i, w in enumerate(order)}
         self.items, self.prefixes = [], defaultdict(list)
-        for label, own in sets:
+        for (label, own), (_, text) in zip(sets, templates, strict=True):
             ranks = sorted(self.rank[w] for w in own)
             need = math.ceil(threshold * len(ranks) - 1e-9)
-            mark = self.rank.get(MARKS.get(label) or "") if MARKS.get(label) in own else None
             for at in range(len(ranks) - need + 1):
                 self.prefixes[ranks[at]].append((len(self.items), at))
-            self.items.append((label, ranks, need, mark))
-        self.spans = [SPREAD * len(words_of(text)) for _, text in templates]
-
-    def match(self, block: list[int]) -> list[tuple[str, float]]:
-        """Labels of the templates that the block (sorted distinct ranks) contains, with the containment."""
-        return [(self.items[t][0], overlap / len(self.items[t][1])) for t, overlap in self.contained(block)]
+            self.items.append((label, frozenset(ranks), need, SPREAD * len(words_of(text)), frozenset(ranks[: len(ranks) - need + 1])))
 
-    def spread(self, places: list[tuple[int, int]]) -> list[tuple[str, float]]:
-        """Labels of the templates that a span of the text contains, with the most containment; places: (place in the text, rank) in order."""
+    def candidates(self, block: list[int]) -> list[int]:
+        """Templates of which the sorted distinct ranks may hold enough: by prefix, length and position."""
+        found = set()
+        for i, r in enumerate(block):
+            for t, at in self.prefixes.get(r, ()):
+                _, ranks, need, _, _ = self.items[t]
+                # length: enough tokens at all; position: enough behind this one in both
+                if len(block) >= need and 1 + min(len(block) - i - 1, len(ranks) - at - 1) >= need:
+                    found.add(t)
+        return sorted(found)
+
+    def blocks(self, words: list[str]) -> list[tuple[str, int, int, float, int]]:
+        """(label, first, last, share, size) of each block that a template of size distinct words is contained in: its template words' first and last place."""
+        places = [(i, r) for i, w in enumerate(words) if (r := self.rank.get(w)) is not None]
         out = []
-        for t, _ in self.contained(sorted({r for _, r in places})):
-            label, ranks, need, mark = self.items[t]
-            own, span = set(ranks), self.spans[t]
-            some = [x for x in places if x[1] in own]
+        for t in self.candidates(sorted({r for _, r in places})):
+            label, ranks, need, span, prefix = self.items[t]
+            own = [x for x in places if x[1] in ranks]
             held: Counter = Counter()
-            first = best = 0
-            for at, r in some:
+            first, rare = 0, -1
+            for at, r in own:
                 held[r] += 1
-                while some[first][0] <= at - span:
-                    gone = some[first][1]
+                rare = at if r in prefix else rare
+                while own[first][0] <= at - span:
+                    gone = own[first][1]
                     held[gone] -= 1
                     if not held[gone]:
                         del held[gone]
                     first += 1
-                if len(held) > best and (mark is None or mark in held):
-                    best = len(held)
-            if best >= need:
-                out.append((label, best / len(ranks)))
+                if rare > at - span and rare >= 0 and len(held) >= need:
+                    out.append((label, own[first][0], at, len(held) / len(ranks), len(ranks)))
         return out
 
-    def contained(self, block: list[int]) -> list[tuple[int, int]]:
-        """The templates (by number) that the block contains, with the overlap."""
-        found, seen = [], set()
-        for i, r in enumerate(block):
-            for t, at in self.prefixes.get(r, ()):
-                if t in seen:
-                    continue
-                seen.add(t)
-                _, ranks, need, mark = self.items[t]
-                # length: the block must hold enough tokens; position: so must what is left of both
-                if len(block) < need or 1 + min(len(block) - i - 1, len(ranks) - at - 1) < need:
-                    continue
-                overlap = len(set(block).intersection(ranks))
-                if overlap >= need and (mark is None or mark in block):
-                    found.append((t, overlap))
-        return found
+
+def winners(blocks: list[tuple[str, int, int, float, int]]) -> set[str]:
+    """Labels with a block that no overlapping block of another label outdoes."""
+    ranked = sorted(blocks, key=lambda b: (-b[3], -b[4]))
+    out = set()
+    for label, lo, hi, *weight in ranked:
+        if label in out:
+            continue
+        for other, a, b, *more in ranked:
+            if more <= weight:
+                out.add(label)
+                break
+            if other != label and a <= hi and lo <= b:
+                break
+    return out
 
 
 def phrases(words: list[str], base: list[tuple[list[str], str]]) -> list[tuple[int, str]]:
@@ -152,34 +163,24 @@ def frequencies(docs: DataFrame, templates: tuple, text_col: str = "text") -> di
     return {r.token: r.n for r in counted.collect()}
 
 
-def scan(docs: DataFrame, templates: tuple = TEMPLATES, base: dict = BASE, threshold: float = 0.8, max_lines: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: tuple = TEMPLATES, base: dict = BASE, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     frequency = frequencies(docs, templates, text_col)
     split = [(p.split(), label) for p, label in base.items()]
 
     def row(index: Index, key: int, text: str | None) -> tuple:
-        text = text or ""
-        low = text.lower() if text.isascii() else text.translate(LOWER)
-        words = WORD.findall(low)
+        words = words_of(text)
         places = phrases(words, split)
         starts = [at for at, _ in places]
-        labels = {label for _, label in places}
-        own, score = sorted(labels), float(bool(labels))
-        if not index.rank.keys().isdisjoint(words):
-            found = index.spread([(i, index.rank[w]) for i, w in enumerate(words) if w in index.rank])
-            lines = [{index.rank[w] for w in x if w in index.rank} for x in map(WORD.findall, low.split("\n")) if x]
-            for i, first in enumerate(lines):
-                if not first:
-                    continue
-                block: set[int] = set()
-                for more in lines[i : i + max_lines]:
-                    if not more <= block:
-                        block |= more
-                        found += index.match(sorted(block))
-            labels.update(label for label, _ in found)
-            score = max([score, *(share for _, share in found)])
-        return key, len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(own), ",".join(sorted(labels)), score
-
-    schema = f"{id_col} long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+        own = {label for _, label in places}
+        blocks = index.blocks(words) if not index.rank.keys().isdisjoint(words) else []
+        most: dict[str, float] = {}
+        for label, _, _, share, _ in blocks:
+            most[label] = max(share, most.get(label, 0.0))
+        score = max([float(bool(own)), *most.values()])
+        matched = ",".join(f"{x}:{most[x]:.3f}" for x in sorted(most))
+        return key, len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(own)), ",".join(sorted(own | winners(blocks))), score, matched
+
+    schema = f"{id_col} long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches string"
     return map_rows(docs, [id_col, text_col], row, schema, lambda: Index(templates, frequency, threshold))
 
 

@@ -118,34 +118,74 @@ def test_license_base(spark, frame):
     assert licenses.scan(frame((1, "a")).limit(0)).count() == 0
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from("licensed under the apache license version 2 0 mit released cc by nc 4 gnu public rare x y".split()), max_size=14), st.dictionaries(st.sampled_from("licensed under the license cc by public".split()), st.integers(1, 99)))
-def test_prefix_join_is_exact(words, frequency):
-    index = licenses.Index(licenses.TEMPLATES, frequency, 0.8)
-    block = sorted({index.rank[w] for w in words if w in index.rank})
-    got = sorted(label for label, _ in index.match(block))
-    want = []
-    for label, text in licenses.TEMPLATES:
-        own = set(licenses.words_of(text))
-        mark = licenses.MARKS.get(label)
-        if len(own & set(words)) >= 0.8 * len(own) - 1e-9 and (not mark or mark not in own or mark in words):
-            want.append(label)
-    assert got == sorted(want)
+def brute_blocks(words, templates, threshold):
+    """(label, first, last, share, size) by counting every block of every template."""
+    out = []
+    for label, text in templates:
+        listed = re.findall("[a-z0-9]+", text.lower())
+        own = set(listed)
+        for end in range(len(words)):
+            if words[end] in own:
+                block = range(max(0, end - 2 * len(listed) + 1), end + 1)
+                held = [i for i in block if words[i] in own]
+                share = len({words[i] for i in held}) / len(own)
+                if share >= threshold - 1e-9:
+                    out.append((label, held[0], end, share, len(own)))
+    return out
+
+
+def brute_labels(blocks):
+    return {x[0] for x in blocks if not any(y[0] != x[0] and y[3:] > x[3:] and y[1] <= x[2] and x[1] <= y[2] for y in blocks)}
+
+
+NOTICE_WORDS = "this work is licensed under the gnu affero lesser general public license version 3 2 0 4 apache mit released cc by nc rare x y".split()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(NOTICE_WORDS), max_size=70), st.dictionaries(st.sampled_from(NOTICE_WORDS), st.integers(1, 99)), st.sampled_from([0.5, 0.8, 1.0]))
+def test_license_join_is_exact(words, frequency, threshold):
+    index = licenses.Index(licenses.TEMPLATES, frequency, threshold)
+    want = brute_blocks(words, licenses.TEMPLATES, threshold)
+    assert sorted(index.blocks(words)) == sorted(want)
+    assert licenses.winners(want) == brute_labels(want)
+
+
+def test_license_rows_against_brute_force(spark, sf):
+    got = {r.doc_id: r for r in licenses.scan(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    some = 0
+    for d, text in texts_of(spark, sf).items():
+        words = re.findall("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+        base = [(i, label) for phrase, label in {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+        blocks = brute_blocks(words, licenses.TEMPLATES, 0.8)
+        labels = {x for _, x in base} | brute_labels(blocks)
+        some += bool(labels)
+        assert (got[d].n_words, got[d].n_base, got[d].labels) == (len(words), len(base), ",".join(sorted(labels)))
+        assert got[d].score == max([float(bool(base)), *(x[3] for x in blocks)])
+    assert some
 
 
 def test_license_notices(frame):
-    docs = frame((1, "text\nReleased under the MIT License.\nmore"), (2, "Licensed under the Apache License,\nVersion 2.0."), (3, "the license of the word is under here"))
-    got = {r.doc_id: r.labels for r in licenses.scan(docs).collect()}
-    assert got == {1: "mit", 2: "apache", 3: ""}
+    docs = frame((1, "text\nReleased under the MIT License.\nmore"), (2, "Licensed under the Apache License,\nVersion 2.0."), (3, "the license of the word is under here"), (None, "Released under the MIT License"), (4, "Released under the MIT License"), (4, "Released under the MIT License"))
+    got = Counter((r.doc_id, r.labels) for r in licenses.scan(docs).collect())
+    assert got == {(1, "mit"): 1, (2, "apache"): 1, (3, ""): 1, (None, "mit"): 1, (4, "mit"): 2}
+
+
+def test_notices_of_nearly_the_same_words(frame):
+    gpl = "This work is licensed under the GNU General Public License, version 3."
+    docs = frame((1, gpl), (2, "licensed under the GNU Affero General Public License"), (3, "licensed under the GNU Lesser General Public License"), (4, gpl.replace("GNU ", "")), (5, gpl + " " + prose(1) + " licensed under the GNU Affero General Public License"))
+    got = {r.doc_id: (r.labels, r.matches) for r in licenses.scan(docs).collect()}
+    # the base phrase stands in all three
+    assert got[1][0] == got[4][0] == "gpl" and got[2][0] == "agpl,gpl" and got[3][0] == "gpl,lgpl" and got[5][0] == "agpl,gpl"
+    assert got[1][1] == "agpl:0.923,gpl:1.000,lgpl:0.923"
 
 
 def test_notices_over_many_lines(frame):
     parts = ["Permission is hereby", "granted, free of charge,", "to any person obtaining", "a copy of this software", "and associated", "documentation files"]
     apache = "Licensed\n\nunder the\n\nApache\n\nLicense,\n\nVersion\n\n2.0"
     scattered = "\n".join(f"{w}\n" + "\n".join(prose(i, 12).split()) for i, w in enumerate(" ".join(parts).split()))
-    docs = frame((1, prose(1) + "\n" + "\n".join(parts) + "\n" + prose(2)), (2, "/*\n * " + "\n *\n * ".join(parts) + "\n */"), (3, apache), (4, scattered), (5, "Licensed under\n--\nthe Apache\n*\nLicense version 2"))
+    docs = frame((1, prose(1) + "\n" + "\n".join(parts) + "\n" + prose(2)), (2, "/*\n * " + "\n *\n * ".join(parts) + "\n */"), (3, apache), (4, scattered), (5, "Licensed under\n--\nthe Apache\n*\nLicense version 2"), (6, "Licensed under the Apache\nanother line here\nLicense, Version 2.0"), (7, "word " * 200_000 + apache))
     got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(docs).collect()}
-    assert got == {1: ("mit", 1.0), 2: ("mit", 1.0), 3: ("apache", 1.0), 4: ("", 0.0), 5: ("apache", 7 / 8)}
+    assert got == {1: ("mit", 1.0), 2: ("mit", 1.0), 3: ("apache", 1.0), 4: ("", 0.0), 5: ("apache", 7 / 8), 6: ("apache", 1.0), 7: ("apache", 1.0)}
 
 
 # ---- personal data ----
