@@ -64,12 +64,14 @@ def only(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", how: str = "le
 def durable(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut, in the checkpoint folder that all executors share.
 
-    Where the session names no folder (tests on one machine) a temporary one is set.
+    The session names the folder in ``spark.checkpoint.dir``. Only a session on one
+    machine may name none; it gets a temporary one.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", "")
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", "")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-", dir=os.environ.get("TMPDIR")))
     return df.checkpoint(eager=True)
 
