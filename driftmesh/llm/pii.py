@@ -3,16 +3,21 @@
 Patterns find e-mail addresses, IP addresses, card and phone numbers. A
 bidirectional LSTM over characters with CRF transitions, trained in numpy from
 labelled spans (``labelled_spans`` writes them: plain, spaced and spelled-out
-forms and secrets, among ordinary numbers that are none), adds spans of the
-same kinds and of ``secret``.
-
-The tagger runs only within ``REACH`` characters of an anchor: a digit, an ``@``
-or a spelled-out ``(at)``/``[at]``. That is a prefilter, not exact: the CRF could
-label other text too, and what has no anchor near is missed.
-Long windows overlap; where two disagree, the label comes from the window whose
-edge is farther away. Spans that touch a pattern's span give way to it.
-
-Null and empty texts have no spans. Repeated rows are each searched.
+forms and secrets, among ordinary numbers and words that are none), adds spans
+of the same kinds and of ``secret``.
+
+The tagger reads the whole of every text, in windows of WINDOW characters that
+overlap by OVERLAP; where two disagree, the label comes from the window whose
+edge is farther away. A window's tags don't depend on what it is decoded with:
+windows are run in batches of one fixed shape, and a shorter one's way back
+starts at its own last character. Viterbi is left out only where it provably
+gives nothing but "outside" (``decode``). Spans that touch a pattern's span give
+way to it.
+
+Null and empty texts have no spans; a null id stays null. Repeated rows are each
+searched; an empty table gives an empty table. Only the named columns are read
+(the stage passes all others on), so none can clash. Long texts take time in
+proportion to their length, and a batch's memory.
 """
 
 from __future__ import annotations
@@ -34,8 +39,9 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-ANCHOR = re.compile(r"[0-9@]|[(\[] ?at ?[)\]]")
-REACH, WINDOW, OVERLAP = 32, 256, 96
+WINDOW, OVERLAP = 640, 96
+#: Windows in a batch: fewer are filled up, so that every product has the same shape.
+BATCH = 256
 EDGE = " .,;:!|\"'\n\t"
 
 
@@ -80,8 +86,8 @@ N_CHARS = 104
 
 def encode(text: str) -> np.ndarray:
     """Printable ASCII by itself; line ends, other white space, other letters and the rest by class."""
-    codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-    out = np.where((codes >= 32) & (codes < 127), codes - 31, 101).astype(np.int64)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    out = np.where((codes >= 32) & (codes < 127), codes - 31, 101).astype(np.uint8)
     out[(codes == 10) | (codes == 13)] = 97
     out[codes == 9] = 98
     out[(codes >= 0xC0) & (codes < 0x250)] = 99
@@ -108,7 +114,7 @@ def labelled_spans(n: int = 1200, seed: int = 7) -> list[tuple[str, list[tuple[i
 
     def email() -> str:
         user, host, top = plain() + rng.choice(("", "." + plain(), digits(2), "." + digits(2))), rng.choice((plain(), "mail" + digits(1) + ".example")), rng.choice(("com", "org", "net", "de", "fr", "io"))
-        return rng.choice((f"{user}@{host}.{top}", f"{user}@{host}.{top}", f"{user} (at) {host} (dot) {top}", f"{user}[at]{host}.{top}", f"{user} @ {host}.{top}"))
+        return rng.choice((f"{user}@{host}.{top}", f"{user}@{host}.{top}", f"{user} (at) {host} (dot) {top}", f"{user}[at]{host}.{top}", f"{user} @ {host}.{top}", f"{user} at {host.replace('.', ' dot ')} dot {top}"))
 
     def phone() -> str:
         a, b, c = digits(3), digits(3), digits(4)
@@ -116,10 +122,12 @@ def labelled_spans(n: int = 1200, seed: int = 7) -> list[tuple[str, list[tuple[i
 
     def secret() -> str:
         h = "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice((32, 40, 40, 40, 64))))
+        if rng.random() < 0.2:
+            return "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789_-") for _ in range(rng.randint(16, 40)))
         return h.upper() if rng.random() < 0.3 else h
 
     makers = (email, lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), card, phone, secret)
-    others = (lambda: str(rng.randint(1, 2100)), lambda: f"{rng.randint(0, 9)}.{rng.randint(0, 9)}", lambda: f"version {rng.randint(1, 9)}.", lambda: f"{rng.randint(1900, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", lambda: f"{rng.randint(1, 23)}:{rng.randint(10, 59)}", lambda: f"${rng.randint(1, 999)},{digits(3)}.{digits(2)}", lambda: f"v{rng.randint(0, 9)}.{rng.randint(0, 9)}.{rng.randint(0, 20)}", lambda: f"@{plain()}", lambda: f"({digits(4)})", lambda: digits(rng.randint(5, 8)))
+    others = (lambda: str(rng.randint(1, 2100)), lambda: f"{rng.randint(0, 9)}.{rng.randint(0, 9)}", lambda: f"version {rng.randint(1, 9)}.", lambda: f"{rng.randint(1900, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", lambda: f"{rng.randint(1, 23)}:{rng.randint(10, 59)}", lambda: f"${rng.randint(1, 999)},{digits(3)}.{digits(2)}", lambda: f"v{rng.randint(0, 9)}.{rng.randint(0, 9)}.{rng.randint(0, 20)}", lambda: f"@{plain()}", lambda: f"({digits(4)})", lambda: rng.choice(("at", "dot", "at a", "at " + plain())), lambda: digits(rng.randint(5, 8)))
     out = []
     for _ in range(n):
         text, spans = "", []
@@ -138,14 +146,15 @@ def labelled_spans(n: int = 1200, seed: int = 7) -> list[tuple[str, list[tuple[i
     return out
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def soft(x: np.ndarray) -> np.ndarray:
+    """x / (1 + |x|), which stands for the hyperbolic tangent: a few vector operations instead of an exponential. Its slope is (1 - |soft(x)|) squared."""
+    return x / (1 + np.abs(x))
 
 
 class Tagger:
     """Weights and the passes over them; float32, one thread."""
 
-    def __init__(self, hidden: int = 24, seed: int = 3):
+    def __init__(self, hidden: int = 16, seed: int = 3):
         rng = np.random.default_rng(seed)
         h = self.hidden = hidden
         g = lambda *s: (rng.standard_normal(s) * 0.15).astype(np.float32)
@@ -164,10 +173,11 @@ class Tagger:
         state, cell, out, kept = np.zeros((batch, h), np.float32), np.zeros((batch, h), np.float32), np.empty((steps, batch, h), np.float32), []
         for t in range(steps):
             z = self.w[x][ids[t]] + state @ self.w[r]
-            s = sigmoid(z[:, : 3 * h])
-            i, f, o, g = s[:, :h], s[:, h : 2 * h], s[:, 2 * h :], np.tanh(z[:, 3 * h :])
+            y = soft(z)
+            s = 0.5 * y[:, : 3 * h] + 0.5
+            i, f, o, g = s[:, :h], s[:, h : 2 * h], s[:, 2 * h :], y[:, 3 * h :]
             before, cell = cell, f * cell + i * g
-            th = np.tanh(cell)
+            th = soft(cell)
             kept.append((state, before, i, f, o, g, th))
             state = out[t] = o * th
         return out, kept
@@ -181,43 +191,44 @@ class Tagger:
     def back(self, ids: np.ndarray, grad: np.ndarray, kept: list, x: str, r: str, into: dict) -> None:
         h = self.hidden
         dh, dc = np.zeros_like(grad[0]), np.zeros_like(grad[0])
+        all_dz = np.empty((*ids.shape, 4 * h), grad.dtype)
         for t in range(len(ids) - 1, -1, -1):
             state, before, i, f, o, g, th = kept[t]
             dh = dh + grad[t]
-            dc = dc + dh * o * (1 - th * th)
-            dz = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * th * o * (1 - o), dc * i * (1 - g * g)], axis=1)
-            np.add.at(into[x], ids[t], dz)
+            dc = dc + dh * o * (1 - np.abs(th)) ** 2
+            slope = [0.5 * (1 - np.abs(2 * gate - 1)) ** 2 for gate in (i, f, o)]
+            dz = np.concatenate([dc * g * slope[0], dc * before * slope[1], dh * th * slope[2], dc * i * (1 - np.abs(g)) ** 2], axis=1)
+            all_dz[t] = dz
             into[r] += state.T @ dz
             dh, dc = dz @ self.w[r].T, dc * f
+        chars = (ids.reshape(-1, 1) == np.arange(N_CHARS)).astype(grad.dtype)
+        into[x] += chars.T @ all_dz.reshape(-1, 4 * h)
 
     def step(self, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict]:
         """Negative log likelihood of the tags under the CRF, and its gradients."""
         emit, (both, kf, kb) = self.scores(ids)
         steps, batch = ids.shape
         tr = self.w["tr"] + self.barred
+        e_tr = np.exp(tr)
         top = lambda a: a.max(axis=1, keepdims=True)
         alpha, beta = np.empty_like(emit), np.zeros_like(emit)
         alpha[0] = emit[0]
         for t in range(1, steps):
             m = top(alpha[t - 1])
-            alpha[t] = np.log(np.exp(alpha[t - 1] - m) @ np.exp(tr) + 1e-30) + m + emit[t]
+            alpha[t] = np.log(np.exp(alpha[t - 1] - m) @ e_tr + 1e-30) + m + emit[t]
         for t in range(steps - 2, -1, -1):
             v = beta[t + 1] + emit[t + 1]
             m = top(v)
-            beta[t] = np.log(np.exp(v - m) @ np.exp(tr).T + 1e-30) + m
+            beta[t] = np.log(np.exp(v - m) @ e_tr.T + 1e-30) + m
         m = top(alpha[-1])
         z = np.log(np.exp(alpha[-1] - m).sum(axis=1, keepdims=True)) + m
         d = np.exp(np.minimum(alpha + beta - z, 0))
-        cols = np.arange(batch)
-        dtr = np.zeros_like(tr)
-        gold = emit[0][cols, tags[0]].sum()
-        for t in range(steps):
-            d[t][cols, tags[t]] -= 1
-            if t:
-                gold += (emit[t][cols, tags[t]] + tr[tags[t - 1], tags[t]]).sum()
-                joint = alpha[t - 1][:, :, None] + tr[None] + (emit[t] + beta[t])[:, None, :] - z[:, :, None]
-                dtr += np.exp(np.minimum(joint, 0)).sum(axis=0)
-                np.add.at(dtr, (tags[t - 1], tags[t]), -1)
+        joint = alpha[:-1, :, :, None] + tr + (emit[1:] + beta[1:])[:, :, None, :] - z[:, :, None]
+        dtr = np.exp(np.minimum(joint, 0)).sum(axis=(0, 1))
+        np.add.at(dtr, (tags[:-1], tags[1:]), -1)
+        at = np.arange(steps)[:, None], np.arange(batch), tags
+        gold = emit[at].sum() + tr[tags[:-1], tags[1:]].sum()
+        d[at] -= 1
         grads = {k: np.zeros_like(v) for k, v in self.w.items()}
         grads["tr"], grads["bias"] = dtr, d.sum(axis=(0, 1))
         grads["out"] = both.reshape(-1, both.shape[2]).T @ d.reshape(-1, N_TAGS)
@@ -227,22 +238,25 @@ class Tagger:
         self.back(ids[::-1], db[::-1, :, h:], kb, "xb", "hb", grads)
         return float(z.sum() - gold) / batch, grads
 
-    def fit(self, rows: list[tuple[str, list[tuple[int, int, int]]]], rounds: int = 5, batch: int = 32, width: int = 96, rate: float = 0.01, seed: int = 5) -> Tagger:
+    def fit(self, rows: list[tuple[str, list[tuple[int, int, int]]]], rounds: int = 10, batch: int = 32, width: int = 96, rate: float = 0.015, seed: int = 5) -> Tagger:
+        """Windows of one width are cut from the rows, set one behind another, so that no window is padded."""
         rng = np.random.default_rng(seed)
-        xs, ys = [], []
+        parts, marks = [], []
         for text, spans in rows:
-            ids, tags = encode(text), np.zeros(len(text), np.int64)
+            tags = np.zeros(len(text) + 1, np.int64)
             for start, end, kind in spans:
                 tags[start], tags[start + 1 : end] = 1 + 2 * kind, 2 + 2 * kind
-            for at in range(0, max(1, len(ids) - width // 2), width // 2):
-                x, y = np.zeros(width, np.int64), np.zeros(width, np.int64)
-                part = ids[at : at + width]
-                x[: len(part)], y[: len(part)] = part, tags[at : at + width]
-                if y.any() or rng.random() < 0.5:
-                    # an inside without its begin, at a window's edge, starts a span there
-                    y[0] -= y[0] > 0 and y[0] % 2 == 0
-                    xs.append(x)
-                    ys.append(y)
+            parts.append(encode(text + "\n"))
+            marks.append(tags)
+        ids, tags = np.concatenate(parts).astype(np.int64), np.concatenate(marks)
+        xs, ys = [], []
+        for at in range(0, len(ids) - width + 1, width):
+            y = tags[at : at + width].copy()
+            if y.any() or rng.random() < 0.5:
+                # an inside without its begin, at a window's edge, starts a span there
+                y[0] -= y[0] > 0 and y[0] % 2 == 0
+                xs.append(ids[at : at + width])
+                ys.append(y)
         xs, ys = np.array(xs), np.array(ys)
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         s = {k: np.zeros_like(v) for k, v in self.w.items()}
@@ -260,92 +274,146 @@ class Tagger:
                     self.w[k] -= (rate / (1 + n / 300) * (m[k] / (1 - 0.9**n)) / (np.sqrt(s[k] / (1 - 0.99**n)) + 1e-6)).astype(np.float32)
         return self
 
-    def decode(self, texts: list[str]) -> list[np.ndarray]:
-        """The best tags of each text, by Viterbi."""
-        if not texts:
-            return []
-        sizes = [len(t) for t in texts]
-        ids = np.zeros((max(sizes), len(texts)), np.int64)
-        for j, t in enumerate(texts):
-            ids[: len(t), j] = encode(t)
-        # a text's padding stands behind it: the way back starts in its padding, as in training
-        emit, _ = self.scores(ids)
-        tr, steps = self.w["tr"] + self.barred, len(ids)
-        best, came = emit[0].copy(), np.zeros((steps, len(texts), N_TAGS), np.int8)
-        best[:, 2::2] -= 1e4
-        ends = [s - 1 for s in sizes]
-        last: dict[int, np.ndarray] = {j: best[j] for j, e in enumerate(ends) if e == 0}
-        for t in range(1, steps):
-            all_ = best[:, :, None] + tr[None]
-            came[t] = all_.argmax(axis=1)
-            best = all_.max(axis=1) + emit[t]
-            for j in [j for j, e in enumerate(ends) if e == t]:
-                last[j] = best[j].copy()
-        out = []
-        for j, size in enumerate(sizes):
-            tags = np.zeros(size, np.int64)
-            tags[-1] = k = int(last[j].argmax())
-            for t in range(size - 1, 0, -1):
-                tags[t - 1] = k = int(came[t, j, k])
-            out.append(tags)
+    def states(self, ids: np.ndarray, sizes: np.ndarray, x: str, r: str, back: bool) -> np.ndarray:
+        """Outputs (time, batch, hidden) of one way, as ``one_way`` gives them, without what training needs. A window's way back starts at its own end."""
+        h, (steps, batch) = self.hidden, ids.shape
+        table, mix = self.w[x], self.w[r]
+        out = np.empty((steps, batch, h), np.float32)
+        state, cell, z, y, th, part = (np.zeros((batch, k), np.float32) for k in (h, h, 4 * h, 4 * h, h, h))
+        i, f, o, g = (z[:, k * h : (k + 1) * h] for k in range(4))
+        first = int(sizes.min())
+        for t in range(steps - 1, -1, -1) if back else range(steps):
+            np.take(table, ids[t], axis=0, out=z, mode="clip")
+            z += np.matmul(state, mix, out=y)
+            np.abs(z, out=y)
+            y += 1
+            z /= y
+            # a gate is soft(z) / 2 + 1 / 2
+            np.multiply(cell, f, out=part)
+            cell += part
+            cell += g
+            np.multiply(g, i, out=part)
+            cell += part
+            cell *= 0.5
+            if back and t >= first:
+                cell *= (sizes > t)[:, None]
+            np.abs(cell, out=th)
+            th += 1
+            np.divide(cell, th, out=th)
+            state = np.multiply(th, o, out=out[t])
+            state += th
+            state *= 0.5
+        return out
+
+    def decode(self, windows: list[np.ndarray]) -> list[np.ndarray]:
+        """The best tags of each window of codes (none empty, at most BATCH of them), by Viterbi.
+
+        No other path beats "outside" throughout if at each place every other
+        label's score, with the most that the transition into it (and, for a
+        begin, the one out of its span) can add to outside-outside, is below
+        outside's. Those windows need no Viterbi.
+        """
+        sizes = np.ones(BATCH, np.int64)
+        sizes[: len(windows)] = [len(w) for w in windows]
+        ids = np.zeros((int(sizes.max()), BATCH), np.uint8)
+        for j, w in enumerate(windows):
+            ids[: len(w), j] = w
+        f, b = self.states(ids, sizes, "xf", "hf", False), self.states(ids, sizes, "xb", "hb", True)
+        h = self.hidden
+        emit = np.matmul(f, self.w["out"][:h]) + np.matmul(b, self.w["out"][h:]) + self.w["bias"]
+        tr = self.w["tr"] + self.barred
+        gain = tr - tr[0, 0]
+        # what the way into a label adds at most, and for a begin the way out of its span
+        into = gain.max(axis=0)
+        into[1::2] += max(0.0, float(gain[1:, 0].max()))
+        lead = emit[:, :, 1:] + into[1:] - emit[:, :, :1]
+        beaten = (lead.max(axis=2) < -1e-3) | (np.arange(len(ids))[:, None] >= sizes)
+        hard = np.flatnonzero(~beaten.all(axis=0)[: len(windows)])
+        out = [np.zeros(len(w), np.uint8) for w in windows]
+        if len(hard):
+            part = np.ascontiguousarray(emit[: int(sizes[hard].max()), hard].transpose(0, 2, 1))
+            for j, tags in zip(hard, self.viterbi(part, sizes[hard], tr), strict=True):
+                out[j] = tags
         return out
 
+    def viterbi(self, emit: np.ndarray, sizes: np.ndarray, tr: np.ndarray) -> list[np.ndarray]:
+        """emit: (time, tags, batch). No path starts inside a span; of equal ones the smaller label's counts."""
+        steps, _, batch = emit.shape
+        best = np.empty((steps, N_TAGS, batch), np.float32)
+        best[0] = emit[0]
+        best[0, 2::2] -= 1e4
+        step, from_ = tr[:, :, None], np.empty((N_TAGS, N_TAGS, batch), np.float32)
+        for t in range(1, steps):
+            np.add(best[t - 1][:, None], step, out=from_)
+            np.max(from_, axis=0, out=best[t])
+            best[t] += emit[t]
+        cols = np.arange(batch)
+        tags = np.zeros((steps, batch), np.uint8)
+        tag = np.zeros(batch, np.int64)
+        for t in range(steps - 1, -1, -1):
+            if t + 1 < steps:
+                tag = (best[t] + tr[:, tag]).argmax(axis=0)
+            ends = sizes == t + 1
+            if ends.any():
+                tag[ends] = best[t][:, ends].argmax(axis=0)
+            tags[t] = tag
+        return [tags[:n, j].copy() for j, n in enumerate(sizes)]
+
 
 @lru_cache(maxsize=2)
 def trained(seed: int = 7) -> Tagger:
     return Tagger().fit(labelled_spans(seed=seed))
 
 
-def windows(text: str) -> list[tuple[int, int]]:
-    """Parts of the text within REACH of an anchor, long ones cut into overlapping windows."""
-    parts: list[list[int]] = []
-    for m in ANCHOR.finditer(text):
-        lo, hi = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if parts and lo <= parts[-1][1]:
-            parts[-1][1] = hi
-        else:
-            parts.append([lo, hi])
-    out = []
-    for lo, hi in parts:
-        at = lo
-        while hi - at > WINDOW:
-            out.append((at, at + WINDOW))
-            at += WINDOW - OVERLAP
-        out.append((at, hi))
-    return out
+def windows(n: int) -> list[tuple[int, int]]:
+    """Windows over n characters, each OVERLAP into the one before."""
+    out, at = [], 0
+    while n - at > WINDOW:
+        out.append((at, at + WINDOW))
+        at += WINDOW - OVERLAP
+    return [*out, (at, n)] if n else []
+
+
+#: An address with its sign or the sign's name in brackets, or one spelled out in words.
+SPELLED = re.compile(r"[\w.+-]+\s?(?:@|[(\[]\s?at\s?[)\]])\s?[\w-]+(?:\s?(?:\.|[(\[]\s?dot\s?[)\]]|\bdot\b)\s?[\w-]+)+|[\w.+-]+ at [\w-]+(?: dot [\w-]+)+")
 
 
 def plausible(kind: int, value: str) -> bool:
     """A decoded span must have what its kind can't be without."""
     digits = sum("0" <= c <= "9" for c in value)
     if kind == 0:
-        return bool(re.search(r"@|[(\[] ?at ?[)\]]", value)) and bool(re.search(r"\.|dot", value)) and len(value) >= 6
+        return SPELLED.fullmatch(value) is not None
     if kind == 1:
         return bool(re.fullmatch(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", value))
     if kind == 2:
         return 12 <= digits <= 19 and not re.search(r"[^0-9 -]", value)
     if kind == 3:
         return 9 <= digits <= 15 and not re.search(r"[^0-9+(). -]", value)
-    return len(value) >= 20 and digits >= 4 and not re.search(r"\s", value)
+    return len(value) >= 16 and digits >= 2 and not re.search(r"\s", value)
 
 
-def spans_of(text: str, cuts: list[tuple[int, int]], tags: list[np.ndarray]) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the tagger's spans; where windows overlap, the label whose window's edge is farther away counts."""
-    label, depth = {}, {}
+def reconciled(n: int, cuts: list[tuple[int, int]], tags: list[np.ndarray]) -> np.ndarray:
+    """One tag for each of n characters: where windows overlap, that of the window whose edge is farther away, of equal ones the first."""
+    if len(cuts) == 1:
+        return tags[0]
+    label, depth = np.zeros(n, np.uint8), np.full(n, -1, np.int64)
     for (lo, hi), own in zip(cuts, tags, strict=True):
-        marked = np.flatnonzero(own) if lo not in depth and len(cuts) == 1 else range(hi - lo)
-        for i in marked:
-            edge = min(i if lo else 1 << 30, hi - lo - i if hi < len(text) else 1 << 30)
-            if depth.get(lo + i, -1) < edge:
-                depth[lo + i], label[lo + i] = edge, int(own[i])
-    out, at = [], -2
-    for i in sorted(k for k, v in label.items() if v):
-        kind, inside = (label[i] - 1) // 2, label[i] % 2 == 0
-        if out and at == i - 1 and inside and out[-1][1] == kind:
+        i = np.arange(hi - lo)
+        edge = np.minimum(i if lo else n, hi - lo - i if hi < n else n)
+        better = depth[lo:hi] < edge
+        depth[lo:hi][better], label[lo:hi][better] = edge[better], own[better]
+    return label
+
+
+def spans_of(text: str, label: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the tagged spans that are plausible, without punctuation and space at their edges."""
+    out: list[list[int]] = []
+    for i in np.flatnonzero(label).tolist():
+        kind, inside = (int(label[i]) - 1) // 2, label[i] % 2 == 0
+        if out and out[-1][2] == i and inside and out[-1][1] == kind:
             out[-1][2] = i + 1
         else:
             out.append([i, kind, i + 1])
-        at = i
     trimmed = []
     for start, kind, end in out:
         while end > start and text[end - 1] in EDGE:
@@ -353,20 +421,21 @@ def spans_of(text: str, cuts: list[tuple[int, int]], tags: list[np.ndarray]) ->
         while end > start and text[start] in EDGE:
             start += 1
         if end > start and plausible(kind, text[start:end]):
-            trimmed.append((int(start), kind, int(end)))
+            trimmed.append((start, kind, end))
     return trimmed
 
 
 def learned(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, int]]]:
     """The tagger's spans of each text; windows of all texts are decoded together, by length."""
-    cuts = [windows(t) for t in texts]
-    flat = sorted(((j, lo, hi) for j, own in enumerate(cuts) for lo, hi in own), key=lambda x: x[2] - x[1])
-    tags: dict[tuple[int, int], np.ndarray] = {}
-    for at in range(0, len(flat), 64):
-        some = flat[at : at + 64]
-        for (j, lo, _), own in zip(some, tagger.decode([texts[j][lo:hi] for j, lo, hi in some]), strict=True):
-            tags[j, lo] = own
-    return [spans_of(t, own, [tags[j, lo] for lo, _ in own]) if own else [] for j, (t, own) in enumerate(zip(texts, cuts, strict=True))]
+    codes = [encode(t) for t in texts]
+    cuts = [windows(len(t)) for t in texts]
+    flat = sorted(((j, i, hi - lo) for j, own in enumerate(cuts) for i, (lo, hi) in enumerate(own)), key=lambda x: x[2])
+    tags: list[list] = [[None] * len(own) for own in cuts]
+    for at in range(0, len(flat), BATCH):
+        some = flat[at : at + BATCH]
+        for (j, i, _), own in zip(some, tagger.decode([codes[j][slice(*cuts[j][i])] for j, i, _ in some]), strict=True):
+            tags[j][i] = own
+    return [spans_of(t, reconciled(len(t), own, got)) if any(x.any() for x in got) else [] for t, own, got in zip(texts, cuts, tags, strict=True)]
 
 
 def find(texts: list[str | None], tagger: Tagger | None) -> list[tuple[list, list]]:

@@ -1,6 +1,7 @@
 """Operators over documents: brute force on small data, nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -280,9 +281,58 @@ def test_gradients_of_the_tagger():
         assert grads[k][at] == pytest.approx((loss[0] - loss[1]) / 2e-3, rel=2e-2, abs=2e-3)
 
 
+def test_viterbi_against_enumeration():
+    tagger = pii.Tagger(hidden=2, seed=4)
+    rng = np.random.default_rng(3)
+    n = 7
+    tr = rng.normal(size=(pii.N_TAGS, pii.N_TAGS)).astype(np.float32)
+    sizes = np.array([1, 2, 3, 4])
+    emit = rng.normal(size=(4, pii.N_TAGS, 4)).astype(np.float32)
+    got = tagger.viterbi(emit, sizes, tr)
+    for j, size in enumerate(sizes):
+        best = max(itertools.product(range(n), repeat=int(size)), key=lambda p: (-1e4 if p[0] and p[0] % 2 == 0 else 0) + sum(emit[t, k, j] for t, k in enumerate(p)) + sum(tr[a, b] for a, b in itertools.pairwise(p)))
+        if max(got[j]) < n:
+            assert tuple(got[j]) == best
+    assert any(max(g) < n for g in got)
+
+
+def test_tags_depend_on_the_window_alone():
+    tagger = pii.trained()
+    rng = random.Random(5)
+    texts = ["".join(t for t, _ in pii.labelled_spans(rng.randint(1, 3), seed=k))[: rng.randint(1, 400)] for k in range(90)]
+    codes = [pii.encode(t) for t in texts]
+    alone = [tagger.decode([c])[0] for c in codes]
+    for _ in range(3):
+        order = rng.sample(range(90), 90)
+        for j, tags in zip(order, tagger.decode([codes[j] for j in order]), strict=True):
+            assert (tags == alone[j]).all()
+    # the short cut gives what Viterbi gives on the scores of the plain passes
+    for j in range(0, 90, 7):
+        emit, _ = tagger.scores(codes[j][:, None].astype(np.int64))
+        assert (tagger.viterbi(emit.transpose(0, 2, 1), np.array([len(codes[j])]), tagger.w["tr"] + tagger.barred)[0] == alone[j]).all()
+
+
+@pytest.mark.parametrize("n", [0, 1, 640, 641, 1184, 1185, 5000])
+def test_windows_are_reconciled(n):
+    cuts = pii.windows(n)
+    assert all(hi - lo <= pii.WINDOW for lo, hi in cuts) and {i for lo, hi in cuts for i in range(lo, hi)} == set(range(n))
+    if n:
+        label = pii.reconciled(n, cuts, [np.full(hi - lo, 1 + k, np.uint8) for k, (lo, hi) in enumerate(cuts)])
+        for i in range(n):
+            depth = [min(i - lo if lo else n, hi - i if hi < n else n) if lo <= i < hi else -1 for lo, hi in cuts]
+            assert label[i] == 1 + depth.index(max(depth))
+
+
+def test_spans_without_a_digit_or_sign():
+    text = "please write to kelda at quarbo dot com about the rest of it"
+    got = pii.learned([text, "we met at noon and sat at the dot of it all day long"], pii.trained())
+    assert [text[s:e] for s, _, e in got[0]] == ["kelda at quarbo dot com"] and got[1] == []
+
+
 def test_pii_rows(spark, frame):
     token = hashlib.sha1(b"x").hexdigest()
     long = " ".join("word" for _ in range(3000))
+    assert [r.n_ip for r in pii.find_spans(frame((None, "1.2.3.4"), (None, "1.2.3.4"))).collect()] == [1, 1]
     docs = frame((1, f'é mail a.b@c.example.com or +1 (017) 555-7713. token = "{token}" end'), (2, None), (3, ""), (4, long + " 4111111111111111 " + long), (4, "no data here"))
     got = sorted(pii.find_spans(docs).collect(), key=lambda r: (r.doc_id, r.n_card))
     one = got[0]
