@@ -238,7 +238,7 @@ class Tagger:
         self.back(ids[::-1], db[::-1, :, h:], kb, "xb", "hb", grads)
         return float(z.sum() - gold) / batch, grads
 
-    def fit(self, rows: list[tuple[str, list[tuple[int, int, int]]]], rounds: int = 10, batch: int = 32, width: int = 96, rate: float = 0.015, seed: int = 5) -> Tagger:
+    def fit(self, rows: list[tuple[str, list[tuple[int, int, int]]]], rounds: int = 10, batch: int = 32, width: int = 96, rate: float = 0.02, seed: int = 5) -> Tagger:
         """Windows of one width are cut from the rows, set one behind another, so that no window is padded."""
         rng = np.random.default_rng(seed)
         parts, marks = [], []

@@ -324,9 +324,13 @@ def test_windows_are_reconciled(n):
 
 
 def test_spans_without_a_digit_or_sign():
-    text = "please write to kelda at quarbo dot com about the rest of it"
-    got = pii.learned([text, "we met at noon and sat at the dot of it all day long"], pii.trained())
-    assert [text[s:e] for s, _, e in got[0]] == ["kelda at quarbo dot com"] and got[1] == []
+    rows = pii.labelled_spans(400, seed=98)
+    found = wanted = 0
+    for (text, spans), got in zip(rows, pii.learned([t for t, _ in rows], pii.trained()), strict=True):
+        spelled = [(s, k, e) for s, e, k in spans if not re.search("[0-9@(\\[]", text[s:e])]
+        found, wanted = found + len(set(spelled) & set(got)), wanted + len(spelled)
+    assert wanted > 10 and found / wanted > 0.5
+    assert pii.learned(["we met at noon and sat at the dot of it all day long"], pii.trained()) == [[]]
 
 
 def test_pii_rows(spark, frame):
