@@ -419,37 +419,60 @@ def test_toxicity_rows(spark, frame):
 
 # ---- decontamination ----
 
-def test_leaks_against_brute_force(spark, sf):
-    strip = lambda t: [x for w in t.lower().split() if (x := w.strip(decontaminate.EDGES))]
-    items = {r.item_id: strip(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+def plain_tokens(text):
+    return [x for w in (text or "").lower().split() if (x := w.strip(decontaminate.EDGES))]
+
+
+def brute_literal_leaks(docs, items):
+    """Documents that hold half of an item's 8-word windows, or 30 of its words in a row, as they are."""
     held = defaultdict(set)
     for i, w in items.items():
-        for k in range(len(w) - 7):
+        for k in range(max(1, len(w) - 7)):
             held[tuple(w[k : k + 8])].add((i, k))
-    want = set()
-    for d, t in texts_of(spark, sf).items():
-        w, hits = strip(t), defaultdict(set)
-        for k in range(len(w) - 7):
-            for i, p in held.get(tuple(w[k : k + 8]), ()):
-                hits[i].add(p)
-        want |= {d for i, p in hits.items() if 2 * len(p) >= len(items[i]) - 7}
+    sizes = sorted({len(k) for k in held})
+    out = set()
+    for d, w in docs.items():
+        hits = defaultdict(set)
+        for n in sizes:
+            for k in range(len(w) - n + 1):
+                for i, p in held.get(tuple(w[k : k + n]), ()):
+                    hits[i].add(p)
+        if any(2 * len(p) >= max(1, len(items[i]) - 7) for i, p in hits.items()):
+            out.add(d)
+    return out
+
+
+@pytest.mark.parametrize("most", [1 << 28, 0])  # in memory, and by shuffle
+def test_leaks_against_brute_force(spark, sf, most):
+    items = {r.item_id: plain_tokens(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    want = brute_literal_leaks({d: plain_tokens(t) for d, t in texts_of(spark, sf).items()}, items)
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
-    for most in (10**6, 0):  # in memory, and by shuffle
-        got = {r.doc_id for r in decontaminate.flag(docs, bench, most_windows=most).where("leaked").collect()}
-        assert got == want and want
+    got = {r.doc_id for r in decontaminate.flag(docs, bench, most_bytes=most).where("leaked").collect()}
+    assert got == want and want
+    assert {r.doc_id for r in decontaminate.clean(docs, bench, most_bytes=most).collect()} == set(texts_of(spark, sf)) - want
 
 
-def test_reparameterised_items(spark, frame):
-    item = "A train leaves the station with 120 passengers and travels for 3 hours at 80 km toward Paris while Anna reads a very long book about trains."
-    bench = spark.createDataFrame([(7, item), (7, item), (8, None), (9, "too short")], "item_id long, text string")
-    other = item.replace("120", "45").replace("80 km", "95 miles").replace("Paris", "Rome").replace("Anna", "Tom").replace("3 hours", "6 days")
+TRAIN = "A train leaves the station with 120 passengers and travels for 3 hours at 80 km toward Paris while Anna reads a very long book about trains."
+SOLD = "Anna sold clips to 48 friends in April. Tom bought half as many clips in May and gave 3 of them back. How many clips did Anna sell?"
+
+
+@pytest.mark.parametrize("most", [1 << 28, 0])
+def test_reparameterised_items(spark, frame, most):
+    cities = "Paris 12 Rome 45 Oslo 7 Bonn 88 Lima 3 Kiev 19 Riga 5 Bern 61"
+    bench = spark.createDataFrame([(7, TRAIN), (7, TRAIN), (8, None), (9, ""), (10, SOLD), (11, cities), (12, "quick brown ibex"), (None, "no item of this name is known here at all")], "item_id long, text string")
+    other = TRAIN.replace("120", "45").replace("80 km", "95 miles").replace("Paris", "Rome").replace("Anna", "Tom").replace("3 hours", "6 days")
+    sold = SOLD.replace("Anna", "Rosa").replace("Tom", "Jack").replace("48", "52").replace("April", "March").replace("May", "June").replace("3", "4")
     loose = "Some words first. " + other + " And some more words after it."
-    crossed = "a 1 leaves 2 station with 9 passengers and 5 for 3 at of 80 km toward".split()
-    docs = frame((1, loose), (1, loose), (2, prose(2)), (3, None), (4, ""), (5, " ".join(crossed)), (6, item + " " + other))
-    got = {(r.doc_id, r.leaked, tuple(r["items"])) for r in decontaminate.flag(docs, bench).collect()}
-    assert got == {(1, True, (7,)), (2, False, ()), (3, False, ()), (4, False, ()), (5, False, ()), (6, True, (7,))}
-    assert decontaminate.flag(docs, bench.limit(0)).where("leaked").count() == 0
-    assert decontaminate.flag(docs.limit(0), bench).count() == 0
+    crossed = "a 1 leaves 2 station with 9 passengers and 5 for 3 at of 80 km toward"
+    docs = frame((1, loose), (1, loose), (2, prose(2)), (3, None), (4, ""), (5, crossed), (6, TRAIN + " " + other), (None, "x " + TRAIN), (13, prose(3) + " " + sold), (14, cities + "."), (15, "Quick, brown ibex!"), (16, "quick brown fox"), (17, TRAIN.lower()), (18, prose(4, 150_000) + " " + sold), (19, cities.replace("12", "13").replace("45", "46").replace("88", "9")), (20, "no item of this name is known here at all"), (1, "other text of one id"))
+    got = {(r.doc_id, r.leaked, tuple(r["items"])) for r in decontaminate.flag(docs, bench, most_bytes=most).collect()}
+    leaked = {(1, (7,)), (6, (7,)), (None, (7,)), (13, (10,)), (14, (11,)), (15, (12,)), (17, (7,)), (18, (10,))}
+    assert {(d, i) for d, x, i in got if x} == leaked
+    assert {d for d, x, _ in got if not x} == {1, 2, 3, 4, 5, 16, 19, 20}
+    kept = decontaminate.clean(docs, bench, most_bytes=most)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 5, 16, 19, 20]
+    assert decontaminate.flag(docs, bench.limit(0), most_bytes=most).where("leaked").count() == 0
+    assert decontaminate.flag(docs.limit(0), bench, most_bytes=most).count() == 0 == decontaminate.clean(docs.limit(0), bench, most_bytes=most).count()
 
 
 def test_slots_must_agree(spark, frame):
@@ -461,6 +484,13 @@ def test_slots_must_agree(spark, frame):
     assert got == {1: True, 2: False}
 
 
+def test_long_extracts_leak(spark, frame):
+    words = [f"item{k}" for k in range(200)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    docs = frame((1, prose(1) + " " + " ".join(words[50:80])), (2, prose(2) + " " + " ".join(words[50:79])))
+    assert {r.doc_id: r.leaked for r in decontaminate.flag(docs, bench).collect()} == {1: True, 2: False}
+
+
 # ---- near duplicates ----
 
 def edit_distance(a, b):
