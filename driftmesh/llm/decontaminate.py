@@ -55,7 +55,7 @@ NUM_HASH, UNIT_HASH, NAME_HASH = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x16566
 ROLL = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x2127599BF4325C37, 0x9FB21C651E98DF25, 0xAAAAAAAAAAAAAAAB, 0xC4CEB9FE1A85EC53, 0xFF51AFD7ED558CCD, 0x2545F4914F6CDD1D], dtype=np.uint64)
 #: Forms of windows; their seeds keep equal sums apart.
 TEMPLATE, LITERAL = 0, 1
-SEEDS = (np.uint64(0x51ED270B9F8F4A11), np.uint64(0xA3C59AC2F1B7E86D))
+SEEDS = (0x51ED270B9F8F4A11, 0xA3C59AC2F1B7E86D)
 
 
 def code(word: str) -> int:
@@ -102,7 +102,7 @@ class Tokens:
         n = len(self) - width + 1
         if n <= 0 or not width:
             return np.empty(0, np.uint64), np.empty(0, bool)
-        hashes, out = self.literal if form else self.template, np.full(n, SEEDS[form] * np.uint64(width), np.uint64)
+        hashes, out = self.literal if form else self.template, np.full(n, SEEDS[form] * width & (1 << 64) - 1, np.uint64)
         for j in range(width):
             out += hashes[j : j + n] * ROLL[j]
         out ^= out >> np.uint64(31)
