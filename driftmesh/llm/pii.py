@@ -39,7 +39,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-WINDOW, OVERLAP = 640, 96
+WINDOW, OVERLAP = 1024, 96
 #: Windows in a batch: fewer are filled up, so that every product has the same shape.
 BATCH = 256
 EDGE = " .,;:!|\"'\n\t"
@@ -318,20 +318,22 @@ class Tagger:
         ids = np.zeros((int(sizes.max()), BATCH), np.uint8)
         for j, w in enumerate(windows):
             ids[: len(w), j] = w
+        steps, h = len(ids), self.hidden
         f, b = self.states(ids, sizes, "xf", "hf", False), self.states(ids, sizes, "xb", "hb", True)
-        h = self.hidden
-        emit = np.matmul(f, self.w["out"][:h]) + np.matmul(b, self.w["out"][h:]) + self.w["bias"]
+        emit = self.w["out"][:h].T @ f.reshape(-1, h).T
+        emit += self.w["out"][h:].T @ b.reshape(-1, h).T
+        emit += self.w["bias"][:, None]
         tr = self.w["tr"] + self.barred
         gain = tr - tr[0, 0]
         # what the way into a label adds at most, and for a begin the way out of its span
         into = gain.max(axis=0)
         into[1::2] += max(0.0, float(gain[1:, 0].max()))
-        lead = emit[:, :, 1:] + into[1:] - emit[:, :, :1]
-        beaten = (lead.max(axis=2) < -1e-3) | (np.arange(len(ids))[:, None] >= sizes)
-        hard = np.flatnonzero(~beaten.all(axis=0)[: len(windows)])
+        beaten = emit[0] > 1e-3 + np.max(emit[1:] + into[1:, None], axis=0)
+        emit = emit.reshape(N_TAGS, steps, BATCH)
+        hard = np.flatnonzero(~(beaten.reshape(steps, BATCH) | (np.arange(steps)[:, None] >= sizes)).all(axis=0)[: len(windows)])
         out = [np.zeros(len(w), np.uint8) for w in windows]
         if len(hard):
-            part = np.ascontiguousarray(emit[: int(sizes[hard].max()), hard].transpose(0, 2, 1))
+            part = np.ascontiguousarray(emit[:, : int(sizes[hard].max()), hard].transpose(1, 0, 2))
             for j, tags in zip(hard, self.viterbi(part, sizes[hard], tr), strict=True):
                 out[j] = tags
         return out
