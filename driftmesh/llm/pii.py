@@ -82,6 +82,8 @@ def patterns(text: str) -> list[tuple[int, int, int]]:
 #: Labels: 0 outside, then begin and inside of each kind.
 N_TAGS = 1 + 2 * len(KINDS)
 N_CHARS = 104
+#: Weight of the characters' own likelihoods in the fit.
+CROSS = 0.3
 
 
 def encode(text: str) -> np.ndarray:
@@ -205,7 +207,7 @@ class Tagger:
         into[x] += chars.T @ all_dz.reshape(-1, 4 * h)
 
     def step(self, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict]:
-        """Negative log likelihood of the tags under the CRF, and its gradients."""
+        """Negative log likelihood of the tags under the CRF, and CROSS times that of each character's scores alone, which keeps a label's scores low where it can't begin; and the gradients."""
         emit, (both, kf, kb) = self.scores(ids)
         steps, batch = ids.shape
         tr = self.w["tr"] + self.barred
@@ -229,6 +231,11 @@ class Tagger:
         at = np.arange(steps)[:, None], np.arange(batch), tags
         gold = emit[at].sum() + tr[tags[:-1], tags[1:]].sum()
         d[at] -= 1
+        alone = np.exp(emit - emit.max(axis=2, keepdims=True))
+        alone /= alone.sum(axis=2, keepdims=True)
+        loss = float(z.sum() - gold - CROSS * np.log(alone[at] + 1e-30).sum()) / batch
+        alone[at] -= 1
+        d += CROSS * alone
         grads = {k: np.zeros_like(v) for k, v in self.w.items()}
         grads["tr"], grads["bias"] = dtr, d.sum(axis=(0, 1))
         grads["out"] = both.reshape(-1, both.shape[2]).T @ d.reshape(-1, N_TAGS)
@@ -236,7 +243,7 @@ class Tagger:
         h = self.hidden
         self.back(ids, db[:, :, :h], kf, "xf", "hf", grads)
         self.back(ids[::-1], db[::-1, :, h:], kb, "xb", "hb", grads)
-        return float(z.sum() - gold) / batch, grads
+        return loss, grads
 
     def fit(self, rows: list[tuple[str, list[tuple[int, int, int]]]], rounds: int = 10, batch: int = 32, width: int = 96, rate: float = 0.02, seed: int = 5) -> Tagger:
         """Windows of one width are cut from the rows, set one behind another, so that no window is padded."""
@@ -274,16 +281,18 @@ class Tagger:
                     self.w[k] -= (rate / (1 + n / 300) * (m[k] / (1 - 0.9**n)) / (np.sqrt(s[k] / (1 - 0.99**n)) + 1e-6)).astype(np.float32)
         return self
 
-    def states(self, ids: np.ndarray, sizes: np.ndarray, x: str, r: str, back: bool) -> np.ndarray:
-        """Outputs (time, batch, hidden) of one way, as ``one_way`` gives them, without what training needs. A window's way back starts at its own end."""
+    def states(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Outputs (time, 2, batch, hidden) of both ways, as ``one_way`` gives them, without what training needs. Both go on at once; a window's way back starts at its own end."""
         h, (steps, batch) = self.hidden, ids.shape
-        table, mix = self.w[x], self.w[r]
-        out = np.empty((steps, batch, h), np.float32)
-        state, cell, z, y, th, part = (np.zeros((batch, k), np.float32) for k in (h, h, 4 * h, 4 * h, h, h))
-        i, f, o, g = (z[:, k * h : (k + 1) * h] for k in range(4))
-        first = int(sizes.min())
-        for t in range(steps - 1, -1, -1) if back else range(steps):
-            np.take(table, ids[t], axis=0, out=z, mode="clip")
+        table, mix = np.concatenate([self.w["xf"], self.w["xb"]]), np.stack([self.w["hf"], self.w["hb"]])
+        there, back = ids.astype(np.intp), ids[::-1].astype(np.intp) + N_CHARS
+        both = np.concatenate([there[:, None], back[:, None]], axis=1)
+        out = np.empty((steps, 2, batch, h), np.float32)
+        state, cell, z, y, th, part = (np.zeros((2, batch, k), np.float32) for k in (h, h, 4 * h, 4 * h, h, h))
+        i, f, o, g = (z[..., k * h : (k + 1) * h] for k in range(4))
+        first = steps - int(sizes.min())
+        for t in range(steps):
+            table.take(both[t], axis=0, out=z, mode="clip")
             z += np.matmul(state, mix, out=y)
             np.abs(z, out=y)
             y += 1
@@ -295,23 +304,24 @@ class Tagger:
             np.multiply(g, i, out=part)
             cell += part
             cell *= 0.5
-            if back and t >= first:
-                cell *= (sizes > t)[:, None]
+            if t < first:
+                cell[1] *= (sizes > steps - 1 - t)[:, None]
             np.abs(cell, out=th)
             th += 1
             np.divide(cell, th, out=th)
-            state = np.multiply(th, o, out=out[t])
+            state = np.multiply(th, o, out=part)
             state += th
             state *= 0.5
+            out[t, 0], out[steps - 1 - t, 1] = state
+            state = part.copy()
         return out
 
     def decode(self, windows: list[np.ndarray]) -> list[np.ndarray]:
         """The best tags of each window of codes (none empty, at most BATCH of them), by Viterbi.
 
-        No other path beats "outside" throughout if at each place every other
-        label's score, with the most that the transition into it (and, for a
-        begin, the one out of its span) can add to outside-outside, is below
-        outside's. Those windows need no Viterbi.
+        A path is "outside" but for its spans; if no span gains anything over
+        "outside" in its place (``gains``), nothing beats "outside" throughout, and
+        the window needs no Viterbi.
         """
         sizes = np.ones(BATCH, np.int64)
         sizes[: len(windows)] = [len(w) for w in windows]
@@ -319,18 +329,13 @@ class Tagger:
         for j, w in enumerate(windows):
             ids[: len(w), j] = w
         steps, h = len(ids), self.hidden
-        f, b = self.states(ids, sizes, "xf", "hf", False), self.states(ids, sizes, "xb", "hb", True)
-        emit = self.w["out"][:h].T @ f.reshape(-1, h).T
-        emit += self.w["out"][h:].T @ b.reshape(-1, h).T
+        both = self.states(ids, sizes)
+        emit = self.w["out"][:h].T @ both[:, 0].reshape(-1, h).T
+        emit += self.w["out"][h:].T @ both[:, 1].reshape(-1, h).T
         emit += self.w["bias"][:, None]
         tr = self.w["tr"] + self.barred
-        gain = tr - tr[0, 0]
-        # what the way into a label adds at most, and for a begin the way out of its span
-        into = gain.max(axis=0)
-        into[1::2] += max(0.0, float(gain[1:, 0].max()))
-        beaten = emit[0] > 1e-3 + np.max(emit[1:] + into[1:, None], axis=0)
         emit = emit.reshape(N_TAGS, steps, BATCH)
-        hard = np.flatnonzero(~(beaten.reshape(steps, BATCH) | (np.arange(steps)[:, None] >= sizes)).all(axis=0)[: len(windows)])
+        hard = np.flatnonzero(self.gains(emit, sizes, tr)[: len(windows)] > -1e-3)
         out = [np.zeros(len(w), np.uint8) for w in windows]
         if len(hard):
             part = np.ascontiguousarray(emit[:, : int(sizes[hard].max()), hard].transpose(1, 0, 2))
@@ -338,6 +343,31 @@ class Tagger:
                 out[j] = tags
         return out
 
+    def gains(self, emit: np.ndarray, sizes: np.ndarray, tr: np.ndarray) -> np.ndarray:
+        """The most that any one span can gain over "outside" in its place, for each window of emit (tags, time, batch): never too little, since the best transitions into and out of it are counted."""
+        gain = tr - tr[0, 0]
+        starts, inner = np.arange(1, N_TAGS, 2), np.arange(2, N_TAGS, 2)
+        # a transition between two spans counts as the one's way out, at least 0, and the other's way in
+        into = gain[:, starts].max(axis=0)
+        leave = np.maximum(0.0, np.maximum(gain[starts], gain[inner])[:, [0, *starts]].max(axis=1))
+        on = np.maximum(gain[starts, inner], gain[inner, inner])
+        begin, more = emit[1::2] - emit[0] + into[:, None, None], emit[2::2] - emit[0] + on[:, None, None]
+        # nothing leads into a window's first character
+        begin[:, 0] -= np.minimum(into, 0.0)[:, None]
+        best = np.full(emit.shape[2], -np.inf, np.float32)
+        leave = np.repeat(leave[:, None], emit.shape[2], axis=1).astype(np.float32)
+        rest, first = leave.copy(), int(sizes.min())
+        for t in range(emit.shape[1] - 1, -1, -1):
+            total = rest + begin[:, t]
+            if t >= first:
+                total[:, sizes <= t] = -np.inf
+            np.maximum(best, total.max(axis=0), out=best)
+            rest += more[:, t]
+            np.maximum(rest, leave, out=rest)
+            if t >= first:
+                rest[:, sizes <= t] = leave[:, sizes <= t]
+        return best
+
     def viterbi(self, emit: np.ndarray, sizes: np.ndarray, tr: np.ndarray) -> list[np.ndarray]:
         """emit: (time, tags, batch). No path starts inside a span; of equal ones the smaller label's counts."""
         steps, _, batch = emit.shape

@@ -296,6 +296,22 @@ def test_viterbi_against_enumeration():
     assert any(max(g) < n for g in got)
 
 
+def test_gains_are_never_too_little():
+    tagger = pii.Tagger(hidden=2, seed=4)
+    rng = np.random.default_rng(9)
+    sizes = rng.integers(1, 9, 200)
+    sure = 0
+    for shift in (0.0, 2.0, 4.0):
+        tr = rng.normal(size=(pii.N_TAGS, pii.N_TAGS)).astype(np.float32) + tagger.barred
+        emit = rng.normal(size=(8, pii.N_TAGS, 200)).astype(np.float32)
+        emit[:, 0] += shift
+        gains = tagger.gains(emit.transpose(1, 0, 2), sizes, tr)
+        for gain, tags in zip(gains, tagger.viterbi(emit, sizes, tr), strict=True):
+            assert not tags.any() or gain >= 0
+            sure += gain < 0
+    assert sure > 20
+
+
 def test_tags_depend_on_the_window_alone():
     tagger = pii.trained()
     rng = random.Random(5)
