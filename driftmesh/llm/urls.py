@@ -2,10 +2,11 @@
 
 Rules judge a url by host and path (longest fitting rule wins). Urls that lead
 to one another are aliases: links from a page to its canonical url
-(``<link rel=canonical>``), to the target of an immediate redirect
-(``<meta http-equiv=refresh>``), and from a url to its plain form (no scheme,
-``www.`` or ``m.``, fragment, tracking parameters or final slash), to which
-servers redirect. Connected components of these links are found by passing the
+(``<link rel=canonical>``), to the target of a redirect (``<meta
+http-equiv=refresh>``), each an edge of its own, and from a url to its plain form
+(no scheme, ``www.`` or ``m.``, fragment, tracking parameters or final slash), to
+which servers redirect. Relative targets are resolved against the page's url (dot
+segments stay); markup in comments, scripts and styles doesn't count. Connected components of these links are found by passing the
 smallest label along links, with pointer jumping, until nothing changes; only
 urls that a link joins take part. In a component an explicit allow outweighs a
 block, and the outcome is the verdict of its pages that no rule fits; a
@@ -13,7 +14,12 @@ component without rules allows. A page that a rule fits keeps the rule's
 verdict.
 
 Null urls and urls without ``://`` have an empty host and path, fit no rule and
-have no aliases: they are allowed. Repeated rows are judged alike.
+have no aliases: they are allowed. Repeated rows are judged alike. An empty table
+gives an empty table. Only the named columns are read, so no other can clash. A
+component with blocks and allows is allowed, whatever their number. Pages that no
+rule fits meet the components' verdicts under SALTS keys for each, so that one
+large component or one url of many rows isn't one task; rows without a key, and
+rows that a rule decides, aren't dealt at all.
 """
 
 from __future__ import annotations
@@ -26,6 +32,9 @@ from .common import components, load
 #: Fixed values: (verdict, host, path).
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 TRACKING = "utm_[a-z]+|gclid|fbclid|ref"
+#: What a browser doesn't read as markup.
+HIDDEN = r"(?is)<!--.*?(?:-->|$)|<script\b.*?(?:</script\s*>|$)|<style\b.*?(?:</style\s*>|$)"
+SALTS = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -57,32 +66,48 @@ def plain(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
 
 
-def target(html: Column, url: Column) -> Column:
-    """The page's canonical url, or else where it redirects; null if neither is named."""
-    link = F.regexp_extract(html, r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)", 1)
-    refresh = F.regexp_extract(html, r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)", 1)
-    href = F.regexp_extract(link, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    to = F.regexp_extract(refresh, r"(?is)\burl\s*=\s*['\"]?([^\"'\s>]+)", 1)
-    named = F.when(html.contains("canonical") | html.rlike("(?i)canonical|http-equiv"), F.when(href != "", href).when(to != "", to))
-    whole = F.when(named.startswith("//"), F.concat(F.lit("http:"), named)).when(named.startswith("/"), F.concat(F.lit("http://"), host_of(url), named)).otherwise(named)
-    return F.regexp_replace(whole, "&amp;", "&")
+def links(html: Column) -> tuple[Column, Column]:
+    """What the page names as its canonical url, and where it redirects; empty if it doesn't. Only pages that hold either word are searched."""
+    seen = F.when(html.rlike("(?i)canonical|http-equiv"), F.regexp_replace(html, HIDDEN, ""))
+    link = F.regexp_extract(seen, r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)", 1)
+    refresh = F.regexp_extract(seen, r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)", 1)
+    return F.regexp_extract(link, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1), F.regexp_extract(refresh, r"(?is)\burl\s*=\s*['\"]?([^\"'\s>]+)", 1)
+
+
+def resolved(named: Column, url: Column) -> Column:
+    """The whole url that a link on the page names; null if it is empty or of a scheme without ``://``."""
+    to = F.regexp_replace(named, "&amp;", "&")
+    host, path = F.concat(F.lit("http://"), host_of(url)), path_of(url)
+    folder = F.when(path.contains("/"), F.regexp_replace(path, "[^/]*$", "")).otherwise("/")
+    return (
+        F.when(to.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+        .when(to.startswith("//"), F.concat(F.lit("http:"), to))
+        .when((to == "") | to.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | ~url.contains("://"), F.lit(None))
+        .when(to.startswith("/"), F.concat(host, to))
+        .when(to.startswith("?") | to.startswith("#"), F.concat(host, path, to))
+        .otherwise(F.concat(host, folder, to))
+    )
 
 
 def judge(pages: DataFrame, rules: tuple = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row: id, host, path, rule, verdict."""
     url = F.col(url_col)
-    named = pages.select(id_col, url.alias("url_"), host_of(url).alias("host"), path_of(url).alias("path"), plain(url).alias("key_"), plain(target(F.col(html_col), url)).alias("to_"))
+    targets = F.array(*[plain(resolved(x, url)) for x in links(F.col(html_col))])
+    named = pages.select(id_col, host_of(url).alias("host"), path_of(url).alias("path"), plain(url).alias("key_"), targets.alias("to_"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     named = named.withColumn("rule", rule).withColumn("own_", verdict)
-    edges = named.where("to_ <> key_").select(F.col("key_").alias("a"), F.col("to_").alias("b")).distinct()
+    edges = named.where("key_ IS NOT NULL").select(F.col("key_").alias("a"), F.explode("to_").alias("b")).where("a <> b").distinct()
     labels = components(edges)
     joined = named.select(id_col, "host", "path", "rule", "own_", "key_")
     if not labels.isEmpty():
         joined = joined.join(labels.withColumnRenamed("node", "key_"), "key_", "left").withColumn("key_", F.coalesce("label", "key_"))
     # only components that a rule speaks for matter: small rows, summed before they are dealt
     known = joined.where("own_ IS NOT NULL AND key_ IS NOT NULL").groupBy("key_").agg(F.min("own_").alias("from_"))
-    out = joined.join(known, "key_", "left")
-    return out.select(id_col, "host", "path", "rule", F.coalesce("own_", "from_", F.lit("allow")).alias("verdict"))
+    known = known.select("key_", "from_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt_"))
+    alone = F.col("own_").isNotNull() | F.col("key_").isNull()
+    open_ = joined.where(~alone).withColumn("salt_", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).join(known, ["key_", "salt_"], "left")
+    out = [df.select(id_col, "host", "path", "rule", F.coalesce(x, F.lit("allow")).alias("verdict")) for df, x in ((joined.where(alone), F.col("own_")), (open_, F.col("from_")))]
+    return out[0].unionByName(out[1])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -94,11 +119,18 @@ WITH RECURSIVE parts AS (
   SELECT page_id, url,
     CASE WHEN contains(coalesce(url, ''), '://') THEN translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
     CASE WHEN contains(coalesce(url, ''), '://') THEN regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') ELSE '' END AS path,
-    CASE WHEN regexp_matches(html, 'canonical|http-equiv', 'i') THEN
-      coalesce(nullif(regexp_extract(regexp_extract(html, '(<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>)', 1, 'is'), '\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1, 'is'), ''),
-               nullif(regexp_extract(regexp_extract(html, '(<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>)', 1, 'is'), '\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1, 'is'), '')) END AS goal
+    CASE WHEN regexp_matches(html, 'canonical|http-equiv', 'i') THEN regexp_replace(html, '<!--.*?(?:-->|$)|<script\\b.*?(?:</script\\s*>|$)|<style\\b.*?(?:</style\\s*>|$)', '', 'gis') END AS seen
   FROM pages),
-goals AS (SELECT *, replace(CASE WHEN goal LIKE '//%' THEN 'http:' || goal WHEN goal LIKE '/%' THEN 'http://' || host || goal ELSE goal END, '&amp;', '&') AS whole FROM parts),
+goals AS (
+  SELECT DISTINCT url, host, path, regexp_extract(regexp_extract(seen, '(<link\\b[^>]*\\brel\\s*=\\s*["\'\']?canonical\\b[^>]*>)', 1, 'is'), '\\bhref\\s*=\\s*["\'\']?([^"\'\'\\s>]+)', 1, 'is') AS goal FROM parts
+  UNION SELECT DISTINCT url, host, path, regexp_extract(regexp_extract(seen, '(<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["\'\']?refresh\\b[^>]*>)', 1, 'is'), '\\burl\\s*=\\s*["\'\']?([^"\'\'\\s>]+)', 1, 'is') FROM parts),
+plainer AS (SELECT url, host, path, replace(goal, '&amp;', '&') AS goal FROM goals WHERE goal <> ''),
+wholes AS (
+  SELECT url, CASE WHEN regexp_matches(goal, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN goal WHEN goal LIKE '//%' THEN 'http:' || goal
+      WHEN regexp_matches(goal, '^[A-Za-z][A-Za-z0-9+.-]*:') OR NOT contains(url, '://') THEN NULL WHEN goal LIKE '/%' THEN 'http://' || host || goal
+      WHEN goal LIKE '?%' OR goal LIKE '#%' THEN 'http://' || host || path || goal
+      ELSE 'http://' || host || CASE WHEN contains(path, '/') THEN regexp_replace(path, '[^/]*$', '') ELSE '/' END || goal END AS whole
+  FROM plainer),
 ruled AS (
   SELECT *, CASE
       WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
@@ -106,15 +138,16 @@ ruled AS (
       WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/'
       WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/'
       WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule
-  FROM goals),
+  FROM parts),
 forms AS (
   SELECT u, CASE WHEN contains(u, '://') THEN
       regexp_replace(translate(regexp_extract(u, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^(?:www\\.|m\\.)([^.]+\\.)', '\\1')
       || regexp_replace(regexp_extract(u, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '/+$', '')
       || coalesce('?' || nullif(array_to_string(list_filter(string_split(regexp_extract(u, '^[^?#]*\\?([^#]*)', 1, 's'), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_[a-z]+|gclid|fbclid|ref)=')), '&'), ''), '') END AS form
-  FROM (SELECT DISTINCT url AS u FROM ruled UNION SELECT DISTINCT whole FROM ruled) WHERE u IS NOT NULL),
-keyed AS (SELECT r.*, f.form AS k, t.form AS t FROM ruled r LEFT JOIN forms f ON r.url = f.u LEFT JOIN forms t ON r.whole = t.u),
-links AS (SELECT k AS a, t AS b FROM keyed WHERE t <> k UNION SELECT t, k FROM keyed WHERE t <> k),
+  FROM (SELECT DISTINCT url AS u FROM ruled UNION SELECT DISTINCT whole FROM wholes) WHERE u IS NOT NULL),
+keyed AS (SELECT r.*, f.form AS k FROM ruled r LEFT JOIN forms f ON r.url = f.u),
+ends AS (SELECT f.form AS k, t.form AS t FROM wholes w JOIN forms f ON w.url = f.u JOIN forms t ON w.whole = t.u),
+links AS (SELECT k AS a, t AS b FROM ends WHERE t <> k UNION SELECT t, k FROM ends WHERE t <> k),
 reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 comp AS (SELECT a, least(a, min(b)) AS label FROM reach GROUP BY a),
 named AS (SELECT q.*, coalesce(c.label, q.k) AS label, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS own FROM keyed q LEFT JOIN comp c ON q.k = c.a),

@@ -129,6 +129,30 @@ def test_aliases(spark):
     assert got == ["block", "block", "block", "allow", "block", "allow", "allow", "block", "allow"]
 
 
+REFRESH = '<meta http-equiv="refresh" content="0; url=%s">'
+
+
+def test_both_links_and_relative_targets_count(spark):
+    rows = [
+        ("http://one.org/dir/a", CANON % "http://b.net/es/1" + REFRESH % "b"),  # both edges: a block behind one, a page behind the other
+        ("http://one.org/dir/b", "<p>"),
+        ("http://b.net/es/1", "<p>"),
+        ("http://two.org", REFRESH % "c?x=1"),
+        ("http://two.org/c?x=1", CANON % "//b.net/fr/2"),
+        ("http://b.net/fr/2", "<p>"),
+        ("http://three.org/a", "<!-- " + CANON % "http://b.net/es/1" + " --><script>" + CANON % "http://b.net/es/1" + "</script>" + REFRESH % "mailto:x"),
+        ("http://one.org/dir/a", "<p>"),  # a repeated url
+        (None, CANON % "http://b.net/es/1"),
+    ]
+    want = ["block", "block", "block", "block", "block", "block", "allow", "block", "allow"]
+    table = pages(spark, *rows)
+    got = urls.judge(table).orderBy("page_id").collect()
+    assert [r.verdict for r in got] == want
+    con = duckdb.connect()
+    con.register("pages", table.toArrow())
+    assert sorted(str(tuple(r)) for r in got) == sorted(str(r) for r in con.execute(urls.SQL).fetchall())
+
+
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_same_rows_as_sql(spark, sf, name):
     con = duckdb.connect()
