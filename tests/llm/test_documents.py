@@ -705,3 +705,22 @@ def test_mixing_against_brute_force(spark, frame):
     assert out.columns == [*docs.columns, "copy_", "shuffle_key"]
     assert mixing.mix(docs.limit(0)).count() == 0
     assert mixing.mix(docs, {"src1": 1.0, "nowhere": 3.0}).select("source").distinct().collect()[0].source == "src1"
+
+
+def test_large_rates_are_sums_of_parts(spark, frame):
+    docs = frame(*[(i, "t", "rare") for i in range(6)], *[(10 + i, "t", "common") for i in range(300)])
+    targets = {"rare": 9.0, "": 1.0}
+    got = Counter(r.doc_id for r in mixing.mix(docs, targets, budget=10.0).select("doc_id").collect())
+    rate = 0.9 * 306 * 10 / 6
+    parts = int(np.ceil(rate / 64))
+    for i in range(6):
+        draws = [int(hashlib.md5(f"{i}:17{f':{j}' if j else ''}".encode()).hexdigest()[:12], 16) / 2.0**48 for j in range(parts)]
+        assert got[i] == sum(poisson(u, rate / parts) for u in draws)
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    rows = con.execute(mixing.sql(targets=targets, budget=10.0, columns="doc_id")).fetchall()
+    assert Counter(r[0] for r in rows) == got
+    # a rate that one list of steps could not hold
+    assert mixing.mix(frame((1, "t", "rare"), (2, "t", "c")), {"rare": 1.0}, budget=100_000.0).count() > 190_000
