@@ -567,6 +567,13 @@ def test_alignment_of_long_texts(monkeypatch):
         assert neardup.alike(a, b, 0.8) == (edit_distance(a.tolist(), b.tolist()) <= most)
 
 
+def test_alignment_where_a_stretch_has_no_word_in_common():
+    a = np.arange(1, 6001, dtype=np.uint64)
+    b = a.copy()
+    b[2000:2900] += np.uint64(1_000_000)
+    assert neardup.alike(a, b, 0.8) and not neardup.alike(a, b, 0.9)
+
+
 def linked_pairs(words):
     """Pairs of texts of a word edit distance of at most 20 % of the longer one's words, by trying all."""
     counts = {d: Counter(w) for d, w in words.items()}
