@@ -1,14 +1,15 @@
 """Toxicity by noisy-channel deobfuscation and a linear score of the restored words.
 
-A token that may be disguised (digits or signs among letters, letters three or
-more times in a row, letters set apart by spaces, dots or dashes) spans a
-lattice: each character stands for itself, for the letters that it is used for,
-or, if it is a sign or repeats the one before, for nothing. Viterbi finds the
-path that a character trigram model and the channel's costs make likeliest. The
-model is counted over the words of all documents: words are counted where they
-stand and dealt out, and only the sums of n-grams reach the driver. Runs of one
-character are cut to three; tokens of any length are decoded. Every other token
-has a lattice of one path, itself, and isn't run.
+A token that may be disguised (digits or signs among or around letters, a letter
+twice or more in a row) or a run of letters set apart by spaces, dots or dashes
+spans a lattice: each character stands for itself, for the letters that it is
+used for, or, if it is a sign or repeats the one before, for nothing; a separator
+stands for nothing or for the end of a word. Viterbi finds the path that a
+character trigram model and the channel's costs make likeliest; it may restore
+several words from one run. The model is counted over the words of all documents:
+words are counted where they stand and dealt out, and only the sums of n-grams
+reach the driver. Runs of one character are cut to three; tokens of any length
+are decoded. Every other token has a lattice of one path, itself, and isn't run.
 
 The restored and the plain words and their beginnings are features. Those that
 are much commoner in texts of label 1 are weighted by a logistic regression
@@ -16,9 +17,13 @@ are much commoner in texts of label 1 are weighted by a logistic regression
 label whose hashed ids are smallest, of rows whose crc32(doc_id as text) mod 5
 is not 0. A feature whose share of label 1 is surely
 high (Wilson bound) speaks for itself, so that one word is enough. Scores depend
-on the text alone.
+on the text alone. At most ``most_features`` features that at least ``least``
+sampled texts of label 1 have are weighted.
 
-Null and empty texts get the score of a text without features. Without any
+Of labels that disagree about an id, 1 counts; of several texts of one labelled
+id, the smallest in order. Empty tables give empty tables; only the named columns
+are read, so no other can clash; long texts take time in proportion to their
+distinct tokens. Null and empty texts get the score of a text without features. Without any
 labelled row every score is 0. Repeated rows are each scored.
 """
 
@@ -40,7 +45,13 @@ EDGES = ".,;:!?\"'()[]{}%$&*#|<>«»„“”‘’…-–—_~^=+/\\"
 #: Letters that digits and signs are used for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 SEPARATE = re.compile(r"(?<!\S)\w(?:[ ._*-]\w(?!\w)){2,}(?!\w)")
+#: What may stand between letters set apart, or end a word there.
+BREAKS = " ._*-"
+#: Edge signs that are read as letters or as nothing; other punctuation at a token's edges is none of its letters.
+SIGNS = "@$|+(€£*#%&"
+PUNCTUATION = "".join(c for c in EDGES if c not in SIGNS)
 DISGUISED = re.compile(r"(.)\1\1", re.S)
+DOUBLED = re.compile(r"(.)\1", re.S)
 STRETCHED = re.compile(r"(.)\1{3,}", re.S)
 #: Words or n-grams that a task counts before it passes the counts on.
 AT_ONCE = 1 << 18
@@ -109,37 +120,41 @@ class Letters:
 
 def suspicious(token: str) -> bool:
     """Whether the token's lattice has more than one path."""
-    if len(token) < 3:
-        return False
     letters = sum(c.isalpha() for c in token)
-    if letters < 2 or ("@" in token and "." in token[token.index("@") :]):
+    if not letters or len(token) < 2 or ("@" in token and "." in token[token.index("@") :]):
         return False
-    return letters < len(token) or DISGUISED.search(token) is not None
+    return letters < len(token) or DOUBLED.search(token) is not None
+
+
+def options(token: str, i: int, tripled: set[str]) -> list[tuple[str, float]]:
+    """What the token's character at i may stand for, with the channel's costs; a space is a word's end."""
+    c = token[i]
+    if c.isalpha():
+        return [(c, 0.0), *([("", 0.5 if c in tripled else 3.0)] if i and token[i - 1] == c else [])]
+    if c == " ":
+        return [("", 0.5), (" ", 1.0)]
+    edge = not token[:i].strip(EDGES) or not token[i + 1 :].strip(EDGES)
+    out = [("", 0.5 if edge or c not in LEET else 4.0)] + [(x, 0.7) for x in LEET.get(c, "")]
+    if c in "*#%&?-_.":
+        out += [(x, 4.0) for x in "aeiou"]
+    return [*out, (" ", 2.0)] if c in BREAKS else out
 
 
 def restore(token: str, letters: Letters) -> str:
-    """The likeliest word behind a disguised token."""
+    """The likeliest words behind a disguised token, with a space between."""
     token = STRETCHED.sub(r"\1\1\1", token)
     tripled = {m[1] for m in DISGUISED.finditer(token)}
     # a path is its last letter and the path before it
     best: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}
-    for i, c in enumerate(token):
-        options: list[tuple[str, float]] = []
-        repeats = i > 0 and token[i - 1] == c
-        if c.isalpha():
-            options.append((c, 0.0))
-            if repeats:
-                options.append(("", 0.5 if c in tripled else 3.0))
-        else:
-            options.append(("", 4.0 if c in LEET else 0.5))
-            options += [(x, 0.7) for x in LEET.get(c, "")]
-            if c in "*#%&?-_.":
-                options += [(x, 4.0) for x in "aeiou"]
+    for i in range(len(token)):
+        own = options(token, i, tripled)
         after: dict[str, tuple[float, tuple | None]] = {}
         for state, (score, out) in best.items():
-            for emit, price in options:
-                to = state[1] + emit if emit else state
-                total = score + price + (letters.cost(state, emit) if emit else 0.0)
+            for emit, price in own:
+                if emit == " " and state == "^^":
+                    continue
+                to = "^^" if emit == " " else state[1] + emit if emit else state
+                total = score + price + (letters.cost(state, "$" if emit == " " else emit) if emit else 0.0)
                 if to not in after or total < after[to][0]:
                     after[to] = (total, (out, emit) if emit else out)
         best = after
@@ -157,11 +172,10 @@ def spelled(path: tuple | None) -> str:
 
 
 def tokens(text: str) -> set[str]:
-    """Distinct lower-case tokens; letters set apart are joined."""
+    """Distinct lower-case tokens, and runs of letters set apart as they stand."""
     low = text.lower()
     out = set(low.split())
-    for m in SEPARATE.finditer(low):
-        out.add(re.sub(r"[ ._*-]", "", m[0]))
+    out.update(" ".join(m[0].split()) for m in SEPARATE.finditer(low))
     return out
 
 
@@ -178,9 +192,9 @@ def words_in(token: str, letters: Letters | None) -> set[str]:
     core = token.strip(EDGES)
     out = {core} if core else set()
     if letters is not None:
-        for form in {token, core} if core != token and not token[0].isalnum() and token[-1].isalnum() else {core}:
+        for form in {core, token.strip(PUNCTUATION)}:
             if suspicious(form):
-                out.add(restore(form, letters))
+                out.update(restore(form, letters).split())
     return out
 
 
@@ -273,11 +287,12 @@ def held_out(id_col: str):
 def sample(docs: DataFrame, labels: DataFrame, most_train: int, id_col: str, text_col: str, label_col: str) -> tuple[list[tuple], float | None]:
     """Labelled (text, label) rows, at most most_train of each label, and the share of label 1 among all."""
     known = labels.select(id_col, F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
+    known = known.groupBy(id_col).agg(F.max("y").alias("y"))
     sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     picked = [known.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(most_train) for y in (0, 1)]
     # at most 2 x most_train ids: bounded, and so broadcast
     ids = picked[0].unionByName(picked[1])
-    rows = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(ids), id_col).select(id_col, "text", "y").dropDuplicates([id_col]).orderBy(id_col)
+    rows = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(ids), id_col).groupBy(id_col, "y").agg(F.min("text").alias("text")).orderBy(id_col)
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
     return [(r.text, r.y) for r in rows.toLocalIterator()], share or None
 

@@ -395,6 +395,56 @@ def test_disguised_words_are_restored():
     assert model.score(f"{clean} 4952935900253052 3rd 2024 x@y.com", cache) < 0.3
 
 
+def cheapest(token, letters):
+    """The least cost of all paths through the token's lattice, each by itself."""
+    tripled = {c for c in token if c * 3 in token}
+    best = None
+    for path in itertools.product(*[toxicity.options(token, i, tripled) for i in range(len(token))]):
+        cost, state = 0.0, "^^"
+        for emit, price in path:
+            if emit == " " and state == "^^":
+                break
+            cost += price + (letters.cost(state, "$" if emit == " " else emit) if emit else 0.0)
+            state = "^^" if emit == " " else state[1] + emit if emit else state
+        else:
+            cost += letters.cost(state, "$")
+            out = "".join(emit for emit, _ in path)
+            if best is None or cost < best[0] - 1e-9:
+                best = (cost, {out})
+            elif cost < best[0] + 1e-9:
+                best[1].add(out)
+    return best[1]
+
+
+def test_viterbi_restores_the_cheapest_path():
+    rows, _ = train_rows()
+    letters = toxicity.fit(rows).letters
+    rng = random.Random(4)
+    for token in ["1d10t", "m0r0n", "a$$", "@n", "stuupid", "i d 1 o t", "w.0.r", "$t*p", "ee"] + ["".join(rng.choice("aeinst10$*. ") for _ in range(rng.randint(2, 6))).strip() for _ in range(60)]:
+        if token and not any(c * 4 in token for c in token):
+            assert toxicity.restore(token, letters) in cheapest(token, letters), token
+
+
+def test_edge_signs_spacing_and_doubling():
+    rows, words = train_rows()
+    rows = [(t + (" ass" if y and i % 2 else ""), y) for i, (t, y) in enumerate(rows)]
+    model = toxicity.fit(rows)
+    clean = " ".join(words[:12])
+    for form in ("a$$", "@ss", "stuupid", "s t u p i d", "w o r t h l 3 s s", "1d1ot!!", "$tup1d,"):
+        assert model.score(f"{clean} {form} {words[3]}", Codes(model.indices)) > 0.5, form
+    assert model.score(f"{clean} a b c d e f g", Codes(model.indices)) < 0.3
+
+
+def test_labels_that_disagree(spark, frame):
+    rows, _ = train_rows()
+    docs = frame(*[(i, t) for i, (t, _) in enumerate(rows)], (1, "other text"))
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)] + [(3, 0), (4, 1), (1, 0)], "doc_id long, toxic int")
+    got, _ = toxicity.sample(docs, labels, 10_000, "doc_id", "text", "toxic")
+    assert got == toxicity.sample(docs.orderBy("text"), labels.orderBy("toxic"), 10_000, "doc_id", "text", "toxic")[0]
+    known = dict(got)
+    assert all(known.get(rows[i][0], 1) == 1 for i in (3, 4))
+
+
 def test_long_disguises_are_restored():
     rows, words = train_rows()
     model = toxicity.fit(rows)
