@@ -63,9 +63,22 @@ def inner_product(edges: DataFrame, nodes: DataFrame, steps: DataFrame, epsilon:
     return steps.select("node_id", "c", "th").join(mean, ["node_id", "c"]).select("node_id", "c", (F.col("th") + epsilon * F.col("g")).alias("v"))
 
 
-def attack(name: str, edges: DataFrame, nodes: DataFrame, steps: DataFrame) -> DataFrame:
-    """Messages after the attackers have spoken: theirs by the named attack, or their own where they abstain; unknown names raise."""
+def flipped_step(samples: DataFrame, shifts: DataFrame, theta: DataFrame, classes: int, alpha: float, reg: float) -> DataFrame:
+    """node_id, c (class x d + coordinate), v: attackers' half steps on labels moved by their shift (node_id, shift); theta (node_id, cls, t)."""
+    from .training import half_step
+
+    own = shifts.select("node_id")
+    moved = label_flip(samples.join(own, "node_id", "left_semi"), shifts, classes)
+    return half_step(moved, theta.join(own, "node_id", "left_semi"), alpha, reg)
+
+
+def attack(name: str, edges: DataFrame, nodes: DataFrame, steps: DataFrame, flips: DataFrame | None = None) -> DataFrame:
+    """Messages after the attackers have spoken: theirs by the named attack, or their own where they abstain; unknown names raise.
+
+    label_flip sends the steps that were taken on moved labels: flips (node_id, c, v), from ``flipped_step``.
+    """
     kinds = {
+        "label_flip": lambda: flips,
         "sign_flip": lambda: sign_flip(steps),
         "gaussian": lambda: gaussian(steps),
         "little_is_enough": lambda: little_is_enough(edges, nodes, steps),
@@ -74,5 +87,7 @@ def attack(name: str, edges: DataFrame, nodes: DataFrame, steps: DataFrame) -> D
     }
     if name not in kinds:
         raise ValueError(f"unknown attack {name!r}")
-    bad = kinds[name]().join(F.broadcast(nodes.where("is_byz").select("node_id")), "node_id", "left_semi").withColumnRenamed("v", "bad")
+    if name == "label_flip" and flips is None:
+        raise ValueError("label_flip needs the steps on moved labels")
+    bad = kinds[name]().join(nodes.where("is_byz").select("node_id"), "node_id", "left_semi").withColumnRenamed("v", "bad")
     return steps.select("node_id", "c", "v").join(bad, ["node_id", "c"], "left").select("node_id", "c", F.coalesce("bad", "v").alias("v"))

@@ -5,37 +5,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import reporting
+
 
 def by_score(scored: DataFrame, *by: str) -> DataFrame:
     """by.., score, n_pos, n_neg: one row for each distinct score."""
     return scored.groupBy(*by, "score").agg(F.sum(F.col("y").cast("long")).alias("n_pos"), F.sum(1 - F.col("y").cast("long")).alias("n_neg"))
 
 
+#: Ranges that scores are cut into, so that curves over all rows aren't one task.
+RANGES = 32
+
+
+def _cut(rows: DataFrame) -> DataFrame:
+    """Adds part_, which rises with the score: how many of some approximate quantiles are below it."""
+    marks = rows.approxQuantile("score", [i / RANGES for i in range(1, RANGES)], 0.01)
+    return rows.withColumn("part_", F.size(F.filter(F.array(*[F.lit(float(m)) for m in sorted(set(marks))]).cast("array<double>"), lambda m: m < F.col("score"))))
+
+
 def _running(scored: DataFrame, *by: str) -> DataFrame:
-    """Adds tp, fp at score >= the row's, and the totals pos, neg; distinct scores are summed before the window."""
-    down = Window.partitionBy(*by).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    rows = by_score(scored, *by)
-    return rows.withColumns({"tp": F.sum("n_pos").over(down), "fp": F.sum("n_neg").over(down), "pos": F.sum("n_pos").over(whole), "neg": F.sum("n_neg").over(whole)})
+    """by.., score, n_pos, n_neg, part_; tp, fp at score >= the row's; the totals pos, neg. Distinct scores are summed first, then inside ranges of scores; the ranges' sums, a few rows for each group, are added."""
+    rows = _cut(by_score(scored, *by))
+    sums = rows.groupBy(*by, "part_").agg(F.sum("n_pos").alias("p_"), F.sum("n_neg").alias("q_"), F.max_by(F.struct("n_pos", "n_neg"), "score").alias("first_"))
+    later = Window.partitionBy(*by).orderBy(F.col("part_").desc())
+    over, whole = later.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
+    zero = F.lit(0).cast("long")
+    # the range below's highest score follows on a range's lowest
+    offsets = sums.select(*by, "part_", F.coalesce(F.sum("p_").over(over), zero).alias("p_"), F.coalesce(F.sum("q_").over(over), zero).alias("q_"), F.sum("p_").over(whole).alias("pos"), F.sum("q_").over(whole).alias("neg"), F.lead("first_").over(later).alias("follows_"))
+    own = Window.partitionBy(*by, "part_").orderBy(F.col("score").desc())
+    down = own.rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.join(offsets, [*by, "part_"])
+    return joined.withColumns({"tp": F.col("p_") + F.sum("n_pos").over(down), "fp": F.col("q_") + F.sum("n_neg").over(down), "next_": F.coalesce(F.lead(F.struct("n_pos", "n_neg")).over(own), F.col("follows_"))}).drop("p_", "q_", "follows_")
 
 
 def roc_curve(scored: DataFrame, *by: str, drop_collinear: bool = True) -> DataFrame:
     """by.., idx, threshold, fpr, tpr by falling thresholds; the first is +inf at (0, 0). Points on a straight line between their neighbours are dropped."""
-    run = _running(scored, *by).select(*by, F.col("score").alias("threshold"), "fp", "tp", "pos", "neg")
-    start = run.groupBy(*by).agg(F.first("pos").alias("pos"), F.first("neg").alias("neg")).select(*by, F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("fp"), F.lit(0).cast("long").alias("tp"), "pos", "neg")
-    order = Window.partitionBy(*by).orderBy(F.col("threshold").desc())
-    all_ = run.unionByName(start)
+    run = _running(scored, *by)
     if drop_collinear:
-        # as counts: the step before and the step after differ in either coordinate; both ends stay
-        turn = (F.lead("fp").over(order) - 2 * F.col("fp") + F.lag("fp").over(order) != 0) | (F.lead("tp").over(order) - 2 * F.col("tp") + F.lag("tp").over(order) != 0)
-        all_ = all_.withColumn("turn", F.coalesce(turn, F.lit(True))).where("turn")
-    return all_.select(*by, (F.row_number().over(order) - 1).alias("idx"), "threshold", (F.col("fp") / F.col("neg")).alias("fpr"), (F.col("tp") / F.col("pos")).alias("tpr"))
+        # the step to a point and the one after it differ in either count; the last point stays
+        run = run.where((F.col("next_").isNull()) | (F.col("next_.n_pos") != F.col("n_pos")) | (F.col("next_.n_neg") != F.col("n_neg")))
+    run = run.select(*by, "part_", F.col("score").alias("threshold"), "fp", "tp", "pos", "neg")
+    counts = run.groupBy(*by, "part_").agg(F.count("*").alias("n_"))
+    later = Window.partitionBy(*by).orderBy(F.col("part_").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*by, "part_", F.coalesce(F.sum("n_").over(later), F.lit(0)).alias("before_"))
+    place = F.row_number().over(Window.partitionBy(*by, "part_").orderBy(F.col("threshold").desc()))
+    points = run.withColumn("place_", place).join(before, [*by, "part_"]).select(*by, (F.col("before_") + F.col("place_")).alias("idx"), "threshold", (F.col("fp") / F.col("neg")).alias("fpr"), (F.col("tp") / F.col("pos")).alias("tpr"))
+    zero = F.lit(0.0)
+    start = scored.groupBy(*by).agg(F.count("*").alias("n_")).where("n_ > 0").select(*by, F.lit(0).cast("long").alias("idx"), F.lit(float("inf")).alias("threshold"), zero.alias("fpr"), zero.alias("tpr"))
+    return points.unionByName(start)
 
 
 def auc(scored: DataFrame, *by: str) -> DataFrame:
-    """by.., auc: from sums of ranks, ties at their mean; null with one class only."""
-    up = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    rows = by_score(scored, *by).withColumn("below", F.coalesce(F.sum("n_neg").over(up), F.lit(0)))
+    """by.., auc: pairs that are ranked rightly, ties by half; null with one class only."""
+    rows = _running(scored, *by).withColumn("below", F.col("neg") - F.col("fp"))
     got = rows.groupBy(*by).agg(F.sum(F.col("n_pos") * (F.col("below") + F.col("n_neg") / 2)).alias("won"), F.sum("n_pos").alias("p"), F.sum("n_neg").alias("n"))
     return got.select(*by, (F.col("won") / F.nullif(F.col("p") * F.col("n"), F.lit(0))).alias("auc"))
 
@@ -65,8 +87,8 @@ def threshold_at(scored: DataFrame, targets: list[float], mode: str = "below") -
     roc = roc_curve(scored)
     spark = scored.sparkSession
     wanted = spark.createDataFrame([(float(t),) for t in targets], "target double")
-    ahead = Window.orderBy("idx")
-    points = roc.select("idx", "threshold", "fpr", F.lead("fpr").over(ahead).alias("next_fpr"), F.lead("threshold").over(ahead).alias("next_threshold"))
+    ahead = roc.select((F.col("idx") - 1).alias("idx"), F.col("fpr").alias("next_fpr"), F.col("threshold").alias("next_threshold"))
+    points = roc.select("idx", "threshold", "fpr").join(ahead, "idx", "left")
     # an as-of join: one pass over the curve for each of the few targets, summed to one row
     below = points.join(F.broadcast(wanted), F.col("fpr") <= F.col("target")).groupBy("target").agg(F.max_by(F.struct("idx", "threshold", "fpr", "next_fpr", "next_threshold"), "idx").alias("at"))
     if mode == "below":
@@ -101,13 +123,13 @@ def permuted(rows: DataFrame, feature: str, key: str, seed: int) -> DataFrame:
     return here.join(there, ["b_", "i_"]).withColumn(feature, F.col("dealt_")).drop("b_", "i_", "dealt_")
 
 
-def permutation_importance(rows: DataFrame, features: list[str], score, key: str, repeats: int = 10) -> DataFrame:
-    """feature, repeat, drop in average precision when the feature is permuted; score is the model's expression over the features."""
-    base = average_precision(rows.select("y", score.alias("score"))).select(F.col("avg_precision").alias("base"))
+def permutation_importance(rows: DataFrame, features: list[str], model, key: str, repeats: int = 10) -> DataFrame:
+    """feature, repeat, drop in average precision when the feature is permuted; model(df) adds ``score``, as the fitted models do."""
+    base = average_precision(model(rows).select("y", "score")).select(F.col("avg_precision").alias("base"))
     parts = None
     for f in features:
         for r in range(repeats):
-            part = permuted(rows, f, key, r).select(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), "y", score.alias("score"))
+            part = model(permuted(rows, f, key, r)).select(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), "y", "score")
             parts = part if parts is None else parts.unionByName(part)
     return average_precision(parts, "feature", "repeat").crossJoin(F.broadcast(base)).select("feature", "repeat", (F.col("base") - F.col("avg_precision")).alias("drop"))
 
@@ -182,10 +204,10 @@ def search(rows: DataFrame, features: list[str], name: str, grid: list[dict], fo
     if name not in MODELS:
         raise ValueError(f"unknown model {name!r}")
     spark = rows.sparkSession
-    groups = rows.select(group).distinct().count()
-    k = min(folds, groups)
-    dealt = rows.withColumn("fold_", F.pmod(F.dense_rank().over(Window.orderBy(group)), F.lit(k))) if groups < 10_000 else rows.withColumn("fold_", F.pmod(F.xxhash64(group), F.lit(k)))
-    dealt = dealt.cache()
+    # groups are dealt in turn, by their place among all groups: a row for each group, not for each sample
+    places = reporting.numbered(rows.select(group).distinct().withColumn("all_", F.lit(0)), ["all_"], [group], F.pmod(F.xxhash64(group), F.lit(RANGES)), "place_").cache()
+    k = min(folds, places.count())
+    dealt = rows.join(places.select(group, F.pmod("place_", F.lit(k)).alias("fold_")), group).cache()
     out = []
     for setting in grid:
         got = []

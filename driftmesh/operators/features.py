@@ -25,17 +25,15 @@ def direction(edges: DataFrame, alpha: float) -> DataFrame:
 
 
 def left_out_median(df: DataFrame, value: str, keys: list[str], out: str = "med") -> DataFrame:
-    """Adds each row's median of the other rows of its group, from ranks: no pair of rows is formed. Groups of one give null."""
-    order = Window.partitionBy(*keys).orderBy(F.col(value), "dst")
-    group = Window.partitionBy(*keys).orderBy(F.col(value), "dst").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    r, m = F.row_number().over(order), F.count("*").over(group)
-    ranked = df.withColumn("r_", r).withColumn("m_", m)
+    """Adds each row's median of the other rows of its group, from ranks: no pair of rows is formed, and a row holds four of its group's values. Groups of one give null."""
+    order, group = Window.partitionBy(*keys).orderBy(F.col(value), "dst"), Window.partitionBy(*keys)
+    ranked = df.withColumn("r_", F.row_number().over(order)).withColumn("m_", F.count("*").over(group))
     # of the m - 1 others the middle ranks are lo and hi; from the own rank on they stand one place further
     lo, hi = F.floor(F.col("m_") / 2), F.floor((F.col("m_") + 1) / 2)
-    at = lambda k: F.when(F.col("r_") <= k, k + 1).otherwise(k)
-    placed = ranked.withColumn("lo_", at(lo).cast("int")).withColumn("hi_", at(hi).cast("int"))
-    values = F.collect_list(value).over(group)
-    return placed.withColumn("vs_", values).withColumn(out, F.when(F.col("m_") > 1, (F.element_at("vs_", F.greatest("lo_", F.lit(1))) + F.element_at("vs_", F.greatest("hi_", F.lit(1)))) / 2)).drop("r_", "m_", "lo_", "hi_", "vs_")
+    at = lambda k: F.max(F.when(F.col("r_") == k, F.col(value))).over(group)
+    placed = ranked.withColumns({"lo_": at(lo), "lo1_": at(lo + 1), "hi_": at(hi), "hi1_": at(hi + 1)})
+    low, high = (F.when(F.col("r_") <= k, F.col(f"{name}1_")).otherwise(F.col(f"{name}_")) for name, k in (("lo", lo), ("hi", hi)))
+    return placed.withColumn(out, F.when(F.col("m_") > 1, (low + high) / 2)).drop("r_", "m_", "lo_", "lo1_", "hi_", "hi1_")
 
 
 def consensus(edges: DataFrame) -> DataFrame:
@@ -68,13 +66,14 @@ def shift_margin(sums: DataFrame, columns: DataFrame, classes: int) -> DataFrame
     return rho.groupBy("src", "dst").agg((F.max("rho") - F.max(F.when(F.col("s") == 0, F.col("rho")))).alias("margin"))
 
 
-def stable_rank(edges: DataFrame, classes: int) -> DataFrame:
-    """src, dst, stable_rank: squared Frobenius norm over the largest squared singular value of D as a (d, classes) matrix."""
+def stable_rank(edges: DataFrame, classes: int, by_class: bool = False) -> DataFrame:
+    """src, dst, stable_rank: squared Frobenius norm over the largest squared singular value of D as a (d, classes) matrix, rows after one another, or columns if by_class."""
 
     @F.pandas_udf("double")
     def rank(d: pd.Series) -> pd.Series:
         def one(v) -> float:
-            a = np.asarray(v, dtype=float).reshape(-1, classes)
+            a = np.asarray(v, dtype=float)
+            a = a.reshape(classes, -1).T if by_class else a.reshape(-1, classes)
             gram = a.T @ a
             return float(np.trace(gram) / (np.linalg.eigvalsh(gram)[-1] + EPS))
 
@@ -83,6 +82,61 @@ def stable_rank(edges: DataFrame, classes: int) -> DataFrame:
     return edges.select("src", "dst", rank(V.minus("own", "other")).alias("stable_rank"))
 
 
+def neighbour_loss(edges: DataFrame, samples: DataFrame, theta: DataFrame, reg: float = 0.01) -> DataFrame:
+    """src, dst, acc (the neighbour's model on the node's shard), ce_diff_nbr (its class-balanced loss with penalty, against the node's other neighbours)."""
+    from .training import scored
+
+    # the pair's number stands for a node, so that each pair's samples meet the neighbour's model
+    pairs = edges.select("src", "dst", F.xxhash64("src", "dst").alias("pair"))
+    seen = samples.withColumnRenamed("node_id", "src").join(pairs.select("src", "dst", "pair"), "src").withColumnRenamed("pair", "node_id")
+    models = theta.withColumnRenamed("node_id", "dst").join(pairs.select("dst", F.col("pair").alias("node_id")), "dst").select("node_id", "cls", "t")
+    weights = class_weights(samples).select(F.col("node_id").alias("src"), "label", "weight")
+    p = scored(seen, models).join(weights, ["src", "label"])
+    ce = F.col("weight") * (F.col("lse") - F.col("z")[F.col("label").cast("int")])
+    got = p.groupBy("src", "dst").agg(F.sum(ce).alias("ce"), F.avg((V.argmax(F.col("z")) == F.col("label")).cast("double")).alias("acc"))
+    size = theta.groupBy(F.col("node_id").alias("dst")).agg(F.sum(F.aggregate("t", F.lit(0.0), lambda s, x: s + x * x)).alias("sq"))
+    loss = got.join(size, "dst").withColumn("loss", F.col("ce") + 0.5 * reg * F.col("sq"))
+    return loss.select("src", "dst", "acc").join(against_others(loss.select("src", "dst", "loss"), "loss", "ce_diff_nbr"), ["src", "dst"])
+
+
+#: An edge's features, in order, and those of heavy tails, which are scaled by quantiles and stand first after it.
+FEATURES = ("cos_g", "log_norm_ratio", "margin", "stable_rank", "acc", "cos_gbar", "log_dev_norm", "ce_diff_nbr", "log_alpha")
+HEAVY = ("log_norm_ratio", "log_dev_norm", "ce_diff_nbr")
+
+
+def assembled(direction_: DataFrame, margin: DataFrame, rank: DataFrame, loss: DataFrame, consensus_: DataFrame) -> DataFrame:
+    """src, dst and the nine features in their order; NaN, infinities and nulls are 0."""
+    out = direction_
+    for part in (margin, rank, loss, consensus_):
+        out = out.join(part, ["src", "dst"], "left")
+    return finite(out.select("src", "dst", *FEATURES), *FEATURES)
+
+
+def edge_features(edges: DataFrame, samples: DataFrame, before: DataFrame, after: DataFrame, gradients: DataFrame, classes: int, alpha: float, reg: float = 0.01) -> DataFrame:
+    """The nine features of each edge (src, dst) of a round: before (node_id, cls, t) the models, after the half steps that were sent, gradients (node_id, cls, c, g) the nodes' own."""
+    g = V.wide_form(gradients.select("node_id", F.struct("cls", "c").alias("at"), "g"), "node_id", c="at", v="g", out="g").select(F.col("node_id").alias("src"), "g")
+    flat = lambda df, key, name: df.groupBy(F.col("node_id").alias(key)).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("cls", "t"))), lambda r: r["t"])).alias(name))
+    vectors = edges.join(flat(before, "src", "own"), "src").join(flat(after, "dst", "other"), "dst").join(g, "src")
+    sums = V.wide_form(samples.select(F.col("node_id").alias("src"), F.col("label").alias("cls"), F.posexplode("x").alias("c", "v")).groupBy("src", "cls", "c").agg(F.sum("v").alias("v")), "src", "cls")
+    mine, theirs = before.select(F.col("node_id").alias("src"), "cls", F.col("t").alias("a")), after.select(F.col("node_id").alias("dst"), "cls", F.col("t").alias("b"))
+    columns = edges.join(mine, "src").join(theirs, ["dst", "cls"]).select("src", "dst", "cls", V.minus("a", "b").alias("x"))
+    rank = stable_rank(vectors.withColumns({c: F.col(c) for c in ("own", "other")}), classes, by_class=True)
+    return assembled(direction(vectors, alpha), shift_margin(sums, columns, classes), rank, neighbour_loss(edges, samples, after, reg), consensus(vectors))
+
+
+def heavy_first(rows: DataFrame, train: str = "split = 'train'", keys: tuple[str, ...] = ("split",)) -> DataFrame:
+    """keys and the scaled features, heavy ones first: those by median and quartiles, the others by mean and deviation of the training rows."""
+    from .training import robust_scale, standard_scale
+
+    key = "row_"
+    numbered = rows.withColumn(key, F.xxhash64(*rows.columns))
+    others = [f for f in FEATURES if f not in HEAVY]
+    long = lambda names: numbered.select(key, "split", F.posexplode(F.array(*names)).alias("c", "v")).dropDuplicates([key, "c"])
+    wide = lambda df, names: df.groupBy(key).agg(*[F.max(F.when(F.col("c") == i, F.col("v"))).alias(f) for i, f in enumerate(names)])
+    scaled = wide(robust_scale(long(HEAVY), train), HEAVY).join(wide(standard_scale(long(others), train), others), key)
+    return numbered.select(key, *keys).join(scaled, key).select(*keys, *HEAVY, *others)
+
+
 def against_others(values: DataFrame, value: str, out: str) -> DataFrame:
     """src, dst, out: the value minus the median of the node's other neighbours; 0 below three neighbours."""
     med = left_out_median(values, value, ["src"])

@@ -144,13 +144,19 @@ def induced(edges: DataFrame, keep: DataFrame) -> DataFrame:
 
 
 def is_connected(edges: DataFrame, keep: DataFrame) -> DataFrame:
-    """n_nodes, n_reached, connected: the graph of a few hundred nodes is squared until paths of any length are edges."""
+    """n_nodes, n_reached, connected: the smallest label is passed along the edges, twice as far each round, for graphs of a few hundred nodes."""
     n = keep.count()
-    hops = induced(edges, keep).select("src", "dst").unionByName(keep.select(F.col("node_id").alias("src"), F.col("node_id").alias("dst")))
-    for _ in range(max(1, (n - 1).bit_length())):
-        hops = hops.alias("a").join(hops.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst")).distinct()
-    first = keep.agg(F.min("node_id").alias("src"))
-    return hops.join(F.broadcast(first), "src", "left_semi").agg(F.count("*").alias("n_reached")).select(F.lit(n).cast("long").alias("n_nodes"), "n_reached", (F.col("n_reached") == n).alias("connected"))
+    own = induced(edges, keep).select("src", "dst").unionByName(keep.select(F.col("node_id").alias("src"), F.col("node_id").alias("dst")))
+    labels = keep.select("node_id", F.col("node_id").alias("label"))
+    while True:
+        heard = own.join(labels, own.dst == labels.node_id).groupBy(F.col("src").alias("node_id")).agg(F.min("label").alias("label"))
+        up = heard.select(F.col("node_id").alias("label"), F.col("label").alias("upper"))
+        rows = heard.join(up, "label").select("node_id", F.col("upper").alias("label")).collect()
+        before, labels = labels, keep.sparkSession.createDataFrame([(r.node_id, r.label) for r in rows], "node_id int, label int")
+        if before.join(labels, ["node_id", "label"], "left_anti").isEmpty():
+            break
+    first = labels.agg(F.min("label").alias("label"))
+    return labels.join(F.broadcast(first), "label", "left_semi").agg(F.count("*").alias("n_reached")).select(F.lit(n).cast("long").alias("n_nodes"), "n_reached", (F.col("n_reached") == n).alias("connected"))
 
 
 def attacker_mass(weights: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -211,14 +217,26 @@ def nu_entries(weights: DataFrame, pi: DataFrame, nodes: DataFrame) -> DataFrame
 
 
 def nu_bound(weights: DataFrame, pi: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The bound on nu squared: twice the largest sum of entries at a node over its pi."""
-    q = nu_entries(weights, pi, nodes)
-    ends = q.select(F.col("src").alias("node_id"), "q").unionByName(q.select(F.col("dst").alias("node_id"), "q"))
-    return ends.groupBy("node_id").agg(F.sum("q").alias("q")).join(F.broadcast(pi), "node_id").agg(F.max(2 * F.col("q") / F.col("pi")).alias("nu2_bound"))
+    """The bound on nu squared: 4 (largest over smallest pi) (largest weight between honest nodes) (largest gamma (1 - gamma))."""
+    honest = nodes.where("NOT is_byz")
+    ratio = pi.agg((F.max("pi") / F.min("pi")).alias("ratio"))
+    top = induced(weights.where("src <> dst"), honest).agg(F.coalesce(F.max("w"), F.lit(0.0)).alias("w_max"))
+    rate = honest.agg(F.max(F.col("gamma") * (1 - F.col("gamma"))).alias("rate"))
+    return ratio.crossJoin(top).crossJoin(rate).select((4 * F.col("ratio") * F.col("w_max") * F.col("rate")).alias("nu2_bound"))
+
+
+def laplacian(rows) -> np.ndarray:
+    """Row sums on the diagonal, minus the weights beside it; rows have src, dst, w."""
+    at = {k: i for i, k in enumerate(sorted({r.src for r in rows} | {r.dst for r in rows}))}
+    out = np.zeros((len(at), len(at)))
+    for r in rows:
+        out[at[r.src], at[r.dst]] -= r.w
+        out[at[r.src], at[r.src]] += r.w
+    return out
 
 
 def spectral(weights: DataFrame, pi: DataFrame, nodes: DataFrame) -> dict[str, float]:
-    """gap (second smallest real part of the Laplacian's spectrum), lam, nu2, g = 1 - (lam^2 + nu2), for graphs of a few hundred nodes."""
+    """gap (second smallest real part of the spectrum of the whole graph's Laplacian, attackers included), lam, nu2, g = 1 - (lam^2 + nu2), for graphs of a few hundred nodes."""
     p = {r.node_id: r.pi for r in pi.collect()}
     at = {k: i for i, k in enumerate(sorted(p))}
     pv = np.array([p[k] for k in sorted(p)])
@@ -234,5 +252,5 @@ def spectral(weights: DataFrame, pi: DataFrame, nodes: DataFrame) -> dict[str, f
     root = np.sqrt(pv)
     lam = float(np.linalg.norm(root[:, None] * (w - pv[None, :]) / root[None, :], 2))
     nu2 = float(np.linalg.eigvalsh(q / root[:, None] / root[None, :])[-1])
-    ev = np.sort(np.linalg.eigvals(np.eye(len(at)) - w).real)
+    ev = np.sort(np.linalg.eigvals(laplacian(weights.where("src <> dst").collect())).real)
     return {"spectral_gap": float(ev[1]) if len(ev) > 1 else 0.0, "lam_pi": lam, "nu2": nu2, "g": 1 - (lam * lam + nu2)}

@@ -21,10 +21,11 @@ def weighted_mean(weights: DataFrame, messages: DataFrame) -> DataFrame:
     return received(weights, messages).groupBy(F.col("src").alias("node_id"), "c").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
 
 
-def pairs(weights: DataFrame, messages: DataFrame) -> DataFrame:
-    """src, dst, w, own, other: both ends' vectors."""
+def pairs(weights: DataFrame, messages: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """src, dst, w, own, other: the node's vector, of its model before the step (node_id, c, th) where given, and the neighbour's message."""
     wide = V.wide_form(messages, "node_id")
-    own = wide.select(F.col("node_id").alias("src"), F.col("x").alias("own"))
+    mine = wide if before is None else V.wide_form(before, "node_id", v="th")
+    own = mine.select(F.col("node_id").alias("src"), F.col("x").alias("own"))
     other = wide.select(F.col("node_id").alias("dst"), F.col("x").alias("other"))
     return weights.join(own, "src").join(other, "dst")
 
@@ -33,22 +34,35 @@ def _summed(rows: DataFrame, vector: str = "term") -> DataFrame:
     return V.long_form(rows, vector, "src").groupBy(F.col("src").alias("node_id"), "c").agg(F.sum("v").alias("v"))
 
 
-def filtered_projection(weights: DataFrame, messages: DataFrame, flagged: DataFrame, radius: float) -> DataFrame:
-    """Flagged neighbours (src, dst) weigh nothing and their weight goes to the node itself; the rest are projected to within radius of its own message."""
+def kept_weights(weights: DataFrame, flagged: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(src, dst, w): flagged neighbours (src, dst) weigh nothing, and what they weighed goes to the node itself; every node of nodes has its own row."""
     marked = weights.where("src <> dst").join(flagged.select("src", "dst", F.lit(True).alias("bad")), ["src", "dst"], "left")
     kept = marked.where("bad IS NULL").select("src", "dst", "w")
-    everyone = messages.select(F.col("node_id").alias("src")).distinct()
-    own = everyone.join(kept.groupBy("src").agg(F.sum("w").alias("mass")), "src", "left").select("src", F.col("src").alias("dst"), (1 - F.coalesce("mass", F.lit(0.0))).alias("w"))
-    both = pairs(kept.unionByName(own), messages)
-    moved = both.withColumn("near", V.project("own", "other", radius))
+    own = nodes.select(F.col("node_id").alias("src")).distinct().join(kept.groupBy("src").agg(F.sum("w").alias("mass")), "src", "left")
+    return kept.unionByName(own.select("src", F.col("src").alias("dst"), (1 - F.coalesce("mass", F.lit(0.0))).alias("w")))
+
+
+def projected(weights: DataFrame, messages: DataFrame, before: DataFrame, flagged: DataFrame, radius: float) -> DataFrame:
+    """(src, dst, w, near): messages that a node keeps, its own among them, each moved to within radius of its model before the step."""
+    kept = kept_weights(weights, flagged, messages.select("node_id"))
+    return pairs(kept, messages, before).select("src", "dst", "w", V.project("own", "other", radius).alias("near"))
+
+
+def filtered_projection(weights: DataFrame, messages: DataFrame, before: DataFrame, flagged: DataFrame, radius: float) -> DataFrame:
+    """The kept weights' mean of the projected messages."""
+    moved = projected(weights, messages, before, flagged, radius)
     return _summed(moved.select("src", F.transform("near", lambda x: x * F.col("w")).alias("term")))
 
 
-def oracle_flags(edges: DataFrame, nodes: DataFrame, fnr: float = 0.0, fpr: float = 0.0, seed: int = 1) -> DataFrame:
-    """src, dst of flagged neighbours: attackers with probability 1 - fnr, honest ones with probability fpr, by a hash of the edge."""
+def oracle_flags(edges: DataFrame, nodes: DataFrame, rates: DataFrame, abstain: DataFrame | None = None, seed: int = 1) -> DataFrame:
+    """src, dst of flagged neighbours, by a hash of the edge: attackers with probability 1 - fnr, honest ones with probability fpr, by the node's own rates (node_id, fnr, fpr); attackers that abstain (node_id) are neither."""
     far = nodes.select(F.col("node_id").alias("dst"), "is_byz")
+    own = rates.select(F.col("node_id").alias("src"), "fnr", "fpr")
     u = F.pmod((F.col("src").cast("long") * 7919 + F.col("dst") * 104729 + seed * 1299709) * 48271, F.lit(2147483647)) / F.lit(2147483647.0)
-    return edges.where("src <> dst").join(F.broadcast(far), "dst").where(F.when(F.col("is_byz"), u >= fnr).otherwise(u < fpr)).select("src", "dst")
+    seen = edges.where("src <> dst").join(far, "dst").join(own, "src")
+    if abstain is not None:
+        seen = seen.join(abstain.select(F.col("node_id").alias("dst")), "dst", "left_anti")
+    return seen.where(F.when(F.col("is_byz"), u >= F.col("fnr")).otherwise(u < F.col("fpr"))).select("src", "dst")
 
 
 def clipped(weights: DataFrame, messages: DataFrame, radius: float = 0.3) -> DataFrame:

@@ -46,8 +46,7 @@ def from_round(df: DataFrame, least: int, k: str = "k") -> DataFrame:
 
 def last_rounds(df: DataFrame, by: list[str], n: int, k: str = "k") -> DataFrame:
     """The last n rounds of each group."""
-    top = df.groupBy(*by).agg(F.max(k).alias("top_"))
-    return df.join(F.broadcast(top), by).where(F.col(k) > F.col("top_") - n).drop("top_")
+    return df.withColumn("top_", F.max(k).over(Window.partitionBy(*by))).where(F.col(k) > F.col("top_") - n).drop("top_")
 
 
 def last_value(df: DataFrame, by: list[str], value: Column, order: Column, name: str) -> DataFrame:
@@ -68,16 +67,24 @@ def gap_to_best(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in columns], *[(F.col(c) - row_best(columns)).alias(c) for c in columns])
 
 
-def ewma(df: DataFrame, by: list[str], order: list[str], value: str, span: int, out: str = "ewma", block: int = 512) -> DataFrame:
-    """Exponentially weighted mean with adjusted weights, a = 2 / (span + 1).
+def numbered(df: DataFrame, by: list[str], order: list[str], coarse: Column, name: str = "k_") -> DataFrame:
+    """Adds each row's place in its group from 0, in the given order. Rows are numbered inside blocks of ``coarse``, which rises with the order; the blocks' counts are summed over one row for each block, so that no group is one task."""
+    cut = df.withColumn("cut_", coarse)
+    sizes = cut.groupBy(*by, "cut_").agg(F.count("*").alias("n_"))
+    before = sizes.select(*by, "cut_", F.coalesce(F.sum("n_").over(Window.partitionBy(*by).orderBy("cut_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
+    inside = F.row_number().over(Window.partitionBy(*by, "cut_").orderBy(*order))
+    return cut.withColumn("in_", inside).join(before, [*by, "cut_"]).withColumn(name, F.col("before_") + F.col("in_") - 1).drop("cut_", "in_", "before_")
+
+
+def ewma(df: DataFrame, by: list[str], order: list[str], value: str, span: int, out: str = "ewma", block: int = 512, coarse: Column | None = None) -> DataFrame:
+    """Exponentially weighted mean with adjusted weights, a = 2 / (span + 1). ``coarse`` rises with the order and cuts long groups into blocks (see ``numbered``).
 
     Weights (1 - a)^-k are summed as running sums from the start of each block of
     rows, so that they stay in range; each block's end is carried on to the next
     by the powers that lie between, over one row for each block.
     """
     q = 1 - 2.0 / (span + 1)
-    group = Window.partitionBy(*by).orderBy(*order)
-    rows = df.withColumn("k_", F.row_number().over(group) - 1)
+    rows = numbered(df, by, order, F.lit(0) if coarse is None else coarse)
     rows = rows.withColumn("b_", F.floor(F.col("k_") / block)).withColumn("j_", F.col("k_") % block)
     up = F.pow(F.lit(q), -F.col("j_"))
     inside = Window.partitionBy(*by, "b_").orderBy("j_").rowsBetween(Window.unboundedPreceding, 0)
@@ -120,6 +127,6 @@ def grid(spark, **axes: list) -> DataFrame:
 def floor_series(df: DataFrame, proj_const: float, db_pi: float, mu: float, test_fnr: float, enough: int = 130, small: float = 0.02, span: int = 30) -> DataFrame:
     """floor: proj_const^2 * EWMA(beta) * db_pi^2 / mu^2 by (grp, k); beta is the test rate where more than ``enough`` rounds have both rates below ``small``."""
     calm = df.groupBy("grp").agg((F.count_if((F.col("beta") < small) & (F.col("gamma") < small)) > enough).alias("calm"))
-    smooth = ewma(df, ["grp"], ["k"], "beta", span).join(F.broadcast(calm), "grp")
+    smooth = ewma(df, ["grp"], ["k"], "beta", span, coarse=F.floor(F.col("k") / 4096)).join(calm, "grp")
     beta = F.when(F.col("calm"), F.lit(test_fnr)).otherwise(F.col("ewma"))
     return smooth.select("grp", "k", (proj_const**2 * beta * db_pi**2 / mu**2).alias("floor"))

@@ -31,29 +31,30 @@ def robust_scale(coords: DataFrame, train: str = "split = 'train'") -> DataFrame
     return coords.join(F.broadcast(fit), "c").withColumn("v", (F.col("v") - F.col("q2")) / F.when(scale == 0, 1.0).otherwise(scale)).drop("q1", "q2", "q3")
 
 
-def whitened_pca(samples: DataFrame, share: float = 0.93, key: str = "vec_id", vector: str = "x") -> DataFrame:
-    """key, z: projections on the components that explain ``share`` of the variance, with unit variance.
+def whitened_pca(samples: DataFrame, share: float = 0.93, key: str = "vec_id", vector: str = "x", train: str = "true") -> DataFrame:
+    """key, z: projections on the components that explain ``share`` of the variance of the training rows, with unit variance there.
 
-    Only sums of coordinates and of their products (one row for each pair) reach the driver, where the spectrum is found.
+    Only sums of coordinates and of their products reach the driver, from slices
+    of rows that are summed where they stand; the spectrum is found there.
     """
-    pairs = samples.select(F.posexplode(vector).alias("i", "a"), F.col(vector)).select("i", "a", F.posexplode(vector).alias("j", "b")).where("j >= i")
-    sums = pairs.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("s"), F.count("*").alias("n")).collect()
-    means = {r.i: r.m for r in samples.select(F.posexplode(vector).alias("i", "a")).groupBy("i").agg(F.avg("a").alias("m")).collect()}
-    d = len(means)
-    mean = np.array([means[i] for i in range(d)])
-    cov, n = np.zeros((d, d)), 0
-    for r in sums:
-        cov[r.i, r.j] = cov[r.j, r.i] = r.s / r.n
-        n = r.n
-    cov = (cov - np.outer(mean, mean)) * n / max(1, n - 1)
+    one = samples.where(train).select(F.lit(0).alias("node_id"), F.concat(F.array(F.lit(1.0)), F.col(vector)).alias("x"))
+    rows = sorted((r.i, r.s, r.n) for r in _outer(one, "x", "x").collect())
+    d, n = int(round(len(rows) ** 0.5)), rows[0][2]
+    gram = np.array([s for _, s, _ in rows]).reshape(d, d) / n
+    mean = gram[0, 1:]
+    cov = (gram[1:, 1:] - np.outer(mean, mean)) * n / max(1, n - 1)
     values, axes = np.linalg.eigh(cov)
     values, axes = np.clip(values[::-1], 0, None), axes[:, ::-1]
     k = int(np.searchsorted(np.cumsum(values) / values.sum(), share - 1e-12)) + 1
     basis = axes[:, :k] / np.sqrt(values[:k] + 1e-300)
     signs = np.sign(basis[np.abs(basis).argmax(axis=0), np.arange(k)])
     basis *= signs
-    parts = [V.dot(V.minus(vector, F.array(*[F.lit(float(x)) for x in mean])), F.array(*[F.lit(float(x)) for x in basis[:, j]])) for j in range(k)]
-    return samples.select(key, F.array(*parts).alias("z"))
+
+    @F.pandas_udf("array<double>")
+    def project(x: pd.Series) -> pd.Series:
+        return pd.Series(list((np.stack(x.to_numpy()) - mean) @ basis))
+
+    return samples.select(key, project(vector).alias("z"))
 
 
 def with_bias(samples: DataFrame, vector: str = "x") -> DataFrame:
@@ -91,46 +92,90 @@ def heterogeneous(nodes: DataFrame, mean: float, spread: float, n: int) -> DataF
     return nodes.select("node_id", F.least(F.greatest(spread * line + mean, F.lit(0.0)), F.lit(0.95)).alias("rate"))
 
 
-def logits(samples: DataFrame, theta: DataFrame) -> DataFrame:
-    """node_id, vec_id, label, x, cls, z: every class's score; theta (node_id, cls, t) holds each class's vector."""
-    return samples.join(theta, "node_id").select("node_id", "vec_id", "label", "x", "cls", V.dot("x", "t").alias("z"))
+def drawn_pi(spark, n: int, concentration: float, seed: int = 12345) -> DataFrame:
+    """node_id, pi: a draw from the symmetric Dirichlet distribution over the nodes."""
+    drawn = np.random.default_rng(seed).dirichlet(np.full(n, concentration))
+    return spark.createDataFrame([(i, float(p / drawn.sum())) for i, p in enumerate(drawn)], "node_id int, pi double")
+
+
+def stacked(theta: DataFrame) -> DataFrame:
+    """node_id, ts: the class vectors (node_id, cls, t) in the classes' order; classes are 0, 1, ..."""
+    rows = F.sort_array(F.collect_list(F.struct("cls", "t")))
+    return theta.groupBy("node_id").agg(F.transform(rows, lambda r: r["t"]).alias("ts"))
+
+
+def scored(samples: DataFrame, theta: DataFrame) -> DataFrame:
+    """The samples with z, p (arrays over the classes) and lse, by the stable log-sum-exp; a sample stays one row."""
+    z = samples.join(stacked(theta), "node_id").withColumn("z", F.transform("ts", lambda t: V.dot("x", t))).drop("ts")
+    top = F.array_max("z")
+    z = z.withColumn("lse", top + F.log(F.aggregate(F.transform("z", lambda v: F.exp(v - top)), F.lit(0.0), lambda s, v: s + v)))
+    return z.withColumn("p", F.transform("z", lambda v: F.exp(v - F.col("lse"))))
+
+
+def residuals(samples: DataFrame, theta: DataFrame) -> DataFrame:
+    """scored, with r = p - onehot(label)."""
+    return scored(samples, theta).withColumn("r", F.transform("p", lambda v, i: v - (i == F.col("label")).cast("double")))
 
 
-def softmax(scores: DataFrame) -> DataFrame:
-    """Adds p (of the class) and ce (of the sample), by the stable log-sum-exp."""
-    own = Window.partitionBy("node_id", "vec_id")
-    top = F.max("z").over(own)
-    shifted = scores.withColumn("top", top).withColumn("total", F.sum(F.exp(F.col("z") - F.col("top"))).over(own))
-    return shifted.withColumn("p", F.exp(F.col("z") - F.col("top")) / F.col("total")).withColumn("lse", F.col("top") + F.log("total")).drop("top", "total")
+def _outer(rows: DataFrame, left: str, right: str) -> DataFrame:
+    """node_id, i (position in left x size of right + position in right), s, n: sums over the node's rows of left x right; slices of rows are summed where they stand."""
+
+    def part(batches):
+        held: dict[int, tuple[int, np.ndarray]] = {}
+        for b in batches:
+            for node, own in b.groupby("node_id"):
+                n, g = held.get(node, (0, 0.0))
+                held[node] = (n + len(own), g + np.stack(own[left].to_numpy()).T @ np.stack(own[right].to_numpy()))
+        yield pd.DataFrame([(int(k), n, g.ravel()) for k, (n, g) in held.items()], columns=["node_id", "n", "g"])
+
+    parts = rows.select(F.col("node_id").cast("int"), left, *([right] if right != left else [])).mapInPandas(part, "node_id int, n long, g array<double>")
+    return parts.select("node_id", "n", F.posexplode("g").alias("i", "g")).groupBy("node_id", "i").agg(F.sum("g").alias("s"), F.sum("n").alias("n"))
 
 
 def gradient(samples: DataFrame, theta: DataFrame, reg: float = 0.01) -> DataFrame:
     """node_id, cls, c, g: mean of (p - onehot) x, plus reg * theta."""
-    p = softmax(logits(samples, theta))
-    r = F.col("p") - (F.col("cls") == F.col("label")).cast("double")
-    terms = p.select("node_id", "cls", r.alias("r"), F.posexplode("x").alias("c", "v"))
-    mean = terms.groupBy("node_id", "cls", "c").agg(F.avg(F.col("r") * F.col("v")).alias("g"))
-    flat = theta.select("node_id", "cls", F.posexplode("t").alias("c", "tv"))
-    return mean.join(flat, ["node_id", "cls", "c"]).select("node_id", "cls", "c", (F.col("g") + reg * F.col("tv")).alias("g"))
+    flat = theta.select("node_id", "cls", F.size("t").alias("d"), F.posexplode("t").alias("c", "tv")).withColumn("i", F.col("cls") * F.col("d") + F.col("c"))
+    return _outer(residuals(samples, theta), "r", "x").join(flat, ["node_id", "i"]).select("node_id", "cls", "c", (F.col("s") / F.col("n") + reg * F.col("tv")).alias("g"))
+
+
+def half_step(samples: DataFrame, theta: DataFrame, alpha: float, reg: float = 0.01) -> DataFrame:
+    """node_id, c (class x d + coordinate), v, th: theta - alpha * gradient, and theta."""
+    flat = theta.select("node_id", "cls", F.size("t").alias("d"), F.posexplode("t").alias("c", "th"))
+    return gradient(samples, theta, reg).join(flat, ["node_id", "cls", "c"]).select("node_id", (F.col("cls") * F.col("d") + F.col("c")).alias("c"), (F.col("th") - alpha * F.col("g")).alias("v"), "th")
 
 
 def losses(samples: DataFrame, theta: DataFrame, reg: float = 0.01) -> DataFrame:
     """node_id, loss (mean cross entropy plus half reg |theta|^2), accuracy (the first of equal scores counts)."""
-    p = softmax(logits(samples, theta))
-    first = F.row_number().over(Window.partitionBy("node_id", "vec_id").orderBy(F.col("z").desc(), "cls"))
-    best = p.withColumn("first", first)
-    got = best.groupBy("node_id").agg(F.sum(F.when(F.col("cls") == F.col("label"), F.col("lse") - F.col("z"))).alias("ce"), F.count_if(F.col("first") == 1).alias("n"), F.count_if((F.col("first") == 1) & (F.col("cls") == F.col("label"))).alias("hit"))
+    hit = (V.argmax(F.col("z")) == F.col("label")).cast("double")
+    got = scored(samples, theta).groupBy("node_id").agg(F.avg(F.col("lse") - F.col("z")[F.col("label").cast("int")]).alias("ce"), F.avg(hit).alias("accuracy"))
     size = theta.groupBy("node_id").agg(F.sum(F.aggregate("t", F.lit(0.0), lambda s, x: s + x * x)).alias("sq"))
-    return got.join(size, "node_id").select("node_id", (F.col("ce") / F.col("n") + 0.5 * reg * F.col("sq")).alias("loss"), (F.col("hit") / F.col("n")).alias("accuracy"))
+    return got.join(size, "node_id").select("node_id", (F.col("ce") + 0.5 * reg * F.col("sq")).alias("loss"), "accuracy")
+
+
+def global_ce(samples: DataFrame, theta: DataFrame) -> DataFrame:
+    """ce: mean cross entropy of all samples under one model (cls, t), without penalty."""
+    got = scored(samples.drop("node_id").withColumn("node_id", F.lit(0)), theta.withColumn("node_id", F.lit(0)))
+    return got.agg(F.avg(F.col("lse") - F.col("z")[F.col("label").cast("int")]).alias("ce"))
+
+
+def averaged_model(theta: DataFrame, pi: DataFrame | None = None) -> DataFrame:
+    """cls, t: the (weighted) mean of the nodes' class vectors."""
+    w = theta.withColumn("pi", F.lit(1.0)) if pi is None else theta.join(pi.select("node_id", "pi"), "node_id")
+    by = w.select("cls", "pi", F.posexplode("t").alias("c", "tv")).groupBy("cls", "c").agg((F.sum(F.col("pi") * F.col("tv")) / F.sum("pi")).alias("v"))
+    return V.wide_form(by, "cls", out="t")
+
+
+def accuracy_of(samples: DataFrame, model: DataFrame) -> DataFrame:
+    """accuracy of one model (cls, t) on all samples."""
+    got = scored(samples.drop("node_id").withColumn("node_id", F.lit(0)), model.withColumn("node_id", F.lit(0)))
+    return got.agg(F.avg((V.argmax(F.col("z")) == F.col("label")).cast("double")).alias("accuracy"))
 
 
 def variance_within(samples: DataFrame, theta: DataFrame) -> DataFrame:
     """sigma_sq: the largest over nodes of mean |sample gradient|^2 - |mean gradient|^2."""
-    p = softmax(logits(samples, theta))
-    r = F.col("p") - (F.col("cls") == F.col("label")).cast("double")
-    each = p.withColumn("r", r)
-    squares = each.groupBy("node_id", "vec_id").agg((F.sum(F.col("r") * F.col("r")) * F.first(V.dot("x", "x"))).alias("sq")).groupBy("node_id").agg(F.avg("sq").alias("mean_sq"))
-    means = each.select("node_id", "cls", "r", F.posexplode("x").alias("c", "v")).groupBy("node_id", "cls", "c").agg(F.avg(F.col("r") * F.col("v")).alias("m")).groupBy("node_id").agg(F.sum(F.col("m") * F.col("m")).alias("sq_mean"))
+    each = residuals(samples, theta)
+    squares = each.groupBy("node_id").agg(F.avg(V.dot("r", "r") * V.dot("x", "x")).alias("mean_sq"))
+    means = _outer(each, "r", "x").groupBy("node_id").agg(F.sum(F.col("s") / F.col("n") * F.col("s") / F.col("n")).alias("sq_mean"))
     return squares.join(means, "node_id").agg(F.max(F.col("mean_sq") - F.col("sq_mean")).alias("sigma_sq"))
 
 
@@ -147,19 +192,8 @@ def smoothness(samples: DataFrame, reg: float = 0.01) -> DataFrame:
 
     A node's Gram matrix is summed over slices of its rows, so no node's rows meet in one task.
     """
-
-    def gram(batches):
-        held: dict[int, tuple[int, np.ndarray]] = {}
-        for b in batches:
-            for node, own in b.groupby("node_id"):
-                x = np.stack(own["x"].to_numpy())
-                n, g = held.get(node, (0, 0.0))
-                held[node] = (n + len(x), g + x.T @ x)
-        yield pd.DataFrame([(int(k), n, g.ravel()) for k, (n, g) in held.items()], columns=["node_id", "n", "g"])
-
-    parts = samples.select(F.col("node_id").cast("int"), "x").mapInPandas(gram, "node_id int, n long, g array<double>")
-    whole = parts.select("node_id", "n", F.posexplode("g").alias("i", "g")).groupBy("node_id", "i").agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
-    wide = whole.groupBy("node_id").agg(F.sort_array(F.collect_list(F.struct("i", (F.col("g") / F.col("n")).alias("g")))).alias("gs")).select("node_id", F.transform("gs", lambda s: s["g"]).alias("g"))
+    whole = _outer(samples, "x", "x")
+    wide = whole.groupBy("node_id").agg(F.sort_array(F.collect_list(F.struct("i", (F.col("s") / F.col("n")).alias("g")))).alias("gs")).select("node_id", F.transform("gs", lambda s: s["g"]).alias("g"))
 
     @F.pandas_udf("double")
     def top(g: pd.Series) -> pd.Series:
@@ -174,23 +208,19 @@ def mean_losses(node_losses: DataFrame, pi: DataFrame) -> DataFrame:
 
 
 def local_optimum(samples: DataFrame, pi: DataFrame | None = None, reg: float = 0.01, rounds: int = 200) -> tuple[DataFrame, float, float]:
-    """cls, c, v of the softmax regression without intercept that weighs nodes alike (or by pi); its objective; its unweighted log loss."""
+    """cls, t of the softmax regression without intercept that weighs the nodes of samples alike (or by pi); its objective; F*, its unweighted log loss plus half reg |theta|^2. Pass honest nodes' samples only."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
     sizes = samples.groupBy("node_id").agg(F.count("*").alias("n"))
-    share = sizes.withColumn("pi", F.lit(1.0)) if pi is None else sizes.join(F.broadcast(pi), "node_id")
+    share = sizes.withColumn("pi", F.lit(1.0)) if pi is None else sizes.join(pi, "node_id")
     total = share.agg(F.sum("pi")).head()[0]
-    rows = samples.join(F.broadcast(share.select("node_id", (F.col("pi") / total / F.col("n")).alias("w"))), "node_id").select("node_id", "label", "x", "w", array_to_vector("x").alias("features"))
+    rows = samples.join(share.select("node_id", (F.col("pi") / total / F.col("n")).alias("w")), "node_id").select("node_id", "label", "x", "w", array_to_vector("x").alias("features"))
     model = LogisticRegression(family="multinomial", labelCol="label", weightCol="w", fitIntercept=False, standardization=False, regParam=reg, maxIter=rounds, tol=1e-10).fit(rows)
     theta = model.coefficientMatrix.toArray()
-    spark = samples.sparkSession
-    classes = spark.createDataFrame([(c, [float(v) for v in row]) for c, row in enumerate(theta)], "cls int, t array<double>")
-    # the same vector for all samples: one node that holds everything
-    p = softmax(logits(rows.withColumn("node_id", F.lit(0)).withColumn("vec_id", F.monotonically_increasing_id()), classes.withColumn("node_id", F.lit(0))).join(F.broadcast(classes.select("cls")), "cls"))
-    loss = p.where("cls = label").agg(F.avg(F.col("lse") - F.col("z"))).head()[0]
-    flat = classes.select("cls", F.posexplode("t").alias("c", "v"))
-    return flat, float(model.summary.objectiveHistory[-1]), float(loss)
+    classes = samples.sparkSession.createDataFrame([(c, [float(v) for v in row]) for c, row in enumerate(theta)], "cls int, t array<double>")
+    f_star = global_ce(samples, classes).head().ce + 0.5 * reg * float((theta * theta).sum())
+    return classes, float(model.summary.objectiveHistory[-1]), float(f_star)
 
 
 def capacity_partition(samples: DataFrame, shares: DataFrame, nodes: int) -> DataFrame:

@@ -31,38 +31,59 @@ def proj_tau(spark, sf):
     return both.select("src", "dst", F.posexplode(V.project("own", "other", 0.15)).alias("c", "v")).select("src", "dst", "c", tidy("v").alias("v"))
 
 
+#: Each node's own rates; node 3 is an attacker that abstains.
+RATES = "rt AS (SELECT node_id, {fnr} AS fnr, {fpr} AS fpr FROM n)"
 FLAGGED = """
-fl AS (SELECT src, dst FROM g JOIN n ON n.node_id = g.dst WHERE CASE WHEN is_byz THEN u(src, dst) >= {fnr} ELSE u(src, dst) < {fpr} END),
+fl AS (SELECT g.src, g.dst FROM g JOIN n ON n.node_id = g.dst JOIN rt ON rt.node_id = g.src WHERE g.dst <> 3 AND CASE WHEN is_byz THEN u(g.src, g.dst) >= fnr ELSE u(g.src, g.dst) < fpr END),
 kept AS (SELECT w.* FROM w ANTI JOIN fl ON fl.src = w.src AND fl.dst = w.dst WHERE w.src <> w.dst),
 kw AS (SELECT src, dst, w FROM kept UNION ALL SELECT n.node_id, n.node_id, 1 - coalesce(sum(w), 0) FROM n LEFT JOIN kept ON kept.src = n.node_id GROUP BY n.node_id),
-kp AS (SELECT kw.src, kw.dst, kw.w, a.x AS own, b.x AS other FROM kw JOIN wide a ON a.node_id = kw.src JOIN wide b ON b.node_id = kw.dst),
+kp AS (SELECT kw.src, kw.dst, kw.w, a.t AS own, b.x AS other FROM kw JOIN wide a ON a.node_id = kw.src JOIN wide b ON b.node_id = kw.dst),
 """
-DRAW = "(((src * 7919::BIGINT + dst * 104729::BIGINT + 1299709) * 48271) % 2147483647) / 2147483647.0e0"
+DRAW = "(((g.src * 7919::BIGINT + g.dst * 104729::BIGINT + 1299709) * 48271) % 2147483647) / 2147483647.0e0"
+OWN_RATES = ("0.1e0 + 0.01e0 * node_id", "0.005e0 * node_id")
+
+
+def _near_sql(fnr: str, fpr: str) -> str:
+    return "WITH " + RATES.format(fnr=fnr, fpr=fpr) + "," + FLAGGED.replace("u(g.src, g.dst)", DRAW) + PROJECTED.format(pairs="kp", tau="0.1e0")
 
 
 def _filtered_sql(fnr: str, fpr: str) -> str:
-    flags = FLAGGED.format(fnr=fnr, fpr=fpr).replace("u(src, dst)", DRAW)
-    return "WITH " + flags + PROJECTED.format(pairs="kp", tau="0.3e0") + OUT + "(SELECT src AS node_id, c, sum(w * v) AS v FROM (SELECT src, w, CAST(unnest(range(len(p))) AS INTEGER) AS c, unnest(p) AS v FROM near) GROUP BY 1, 2)"
+    return _near_sql(fnr, fpr) + OUT + "(SELECT src AS node_id, c, sum(w * v) AS v FROM (SELECT src, w, CAST(unnest(range(len(p))) AS INTEGER) AS c, unnest(p) AS v FROM near) GROUP BY 1, 2)"
+
+
+def _rates(spark, fnr, fpr):
+    return base.nodes(spark).select("node_id", fnr.alias("fnr"), fpr.alias("fpr"))
+
+
+def _own_rates(spark):
+    return _rates(spark, 0.1 + 0.01 * F.col("node_id"), 0.005 * F.col("node_id"))
+
+
+def _flags(spark, rates):
+    return mixing.oracle_flags(base.edges(spark), base.nodes(spark), rates, base.nodes(spark).where("node_id = 3"))
+
+
+def _before(spark, sf):
+    return base.models(spark, sf).select("node_id", "c", "th")
 
 
-def _filtered(spark, sf, fnr, fpr):
-    flags = mixing.oracle_flags(base.edges(spark), base.nodes(spark), fnr, fpr)
-    return coords(mixing.filtered_projection(base.weights(spark), base.messages(spark, sf), flags, 0.3))
+def _filtered(spark, sf, rates):
+    return coords(mixing.filtered_projection(base.weights(spark), base.messages(spark, sf), _before(spark, sf), _flags(spark, rates), 0.1))
 
 
-@register("rdsgd_mix", _filtered_sql("0.2e0", "0.1e0"))
+@register("rdsgd_mix", _filtered_sql(*OWN_RATES))
 def rdsgd_mix(spark, sf):
-    return _filtered(spark, sf, 0.2, 0.1)
+    return _filtered(spark, sf, _own_rates(spark))
 
 
 @register("oracle_perfect", _filtered_sql("0.0e0", "0.0e0"))
 def oracle_perfect(spark, sf):
-    return _filtered(spark, sf, 0.0, 0.0)
+    return _filtered(spark, sf, _rates(spark, F.lit(0.0), F.lit(0.0)))
 
 
 @register("oracle_blind", _filtered_sql("1.0e0", "0.0e0"))
 def oracle_blind(spark, sf):
-    return _filtered(spark, sf, 1.0, 0.0)
+    return _filtered(spark, sf, _rates(spark, F.lit(1.0), F.lit(0.0)))
 
 
 def _ios_round(i: int, before: str) -> str:
@@ -131,9 +152,8 @@ def gaussian_msg(spark, sf):
     return coords(attacks.gaussian(base.messages(spark, sf)))
 
 
-def _z_values() -> str:
-    pairs = sorted({(n, m) for n in range(1, 21) for m in range(1, n + 1)})
-    return ", ".join(f"({n}, {m}, {attacks.z_of(n, m)!r}::DOUBLE)" for n, m in pairs)
+#: Normal quantiles of (n - m - s) / (n - m), s = n // 2 + 1 - m, from tables, for the degrees here.
+Z_VALUES = "(6, 1, -0.2533471031357997::DOUBLE), (8, 1, -0.18001236979270496::DOUBLE)"
 
 
 HONEST = """
@@ -141,7 +161,7 @@ hn AS (SELECT g.src, g.dst FROM g JOIN n a ON a.node_id = g.src AND a.is_byz JOI
 nm AS (SELECT g.src, count(*) + 1 AS n, count(*) FILTER (WHERE b.is_byz) + 1 AS m FROM g JOIN n b ON b.node_id = g.dst GROUP BY g.src)"""
 
 
-@register("alie_msg", f"""WITH zt(n, m, z) AS (VALUES {_z_values()}), {HONEST}
+@register("alie_msg", f"""WITH zt(n, m, z) AS (VALUES {Z_VALUES}), {HONEST}
 SELECT hn.src AS node_id, m.c, round(avg(m.v) - any_value(z) * stddev_samp(m.v), 6) + 0.0e0 AS v FROM hn JOIN m ON m.node_id = hn.dst JOIN nm ON nm.src = hn.src JOIN zt ON zt.n = nm.n AND zt.m = nm.m GROUP BY 1, 2 HAVING count(*) >= 2""")
 def alie_msg(spark, sf):
     return coords(attacks.little_is_enough(base.edges(spark), base.nodes(spark), base.messages(spark, sf)))
@@ -154,7 +174,7 @@ def ipm_msg(spark, sf):
     return coords(attacks.inner_product(base.edges(spark), base.nodes(spark), base.models(spark, sf)))
 
 
-@register("alie_z", f"""WITH zt(n, m, z) AS (VALUES {_z_values()}), {HONEST}
+@register("alie_z", f"""WITH zt(n, m, z) AS (VALUES {Z_VALUES}), {HONEST}
 SELECT nm.src AS node_id, nm.n, nm.m, round(z, 6) + 0.0e0 AS z FROM nm JOIN zt ON zt.n = nm.n AND zt.m = nm.m JOIN n ON n.node_id = nm.src AND n.is_byz""")
 def alie_z(spark, sf):
     rows = [(i, int(n), int(m), round(z, 6) + 0.0) for i, n, m, z in attacks.z_table(base.edges(spark), base.nodes(spark))]
@@ -239,7 +259,8 @@ def stationary_pi(spark, sf):
     return graph.stationary(_rated(spark)).select("node_id", tidy("pi").alias("pi"))
 
 
-@register("nu_bound", f"WITH {MIXING}, b AS (SELECT src AS node_id, q FROM qe UNION ALL SELECT dst, q FROM qe) SELECT round(max(2 * q / pi), 6) + 0.0e0 AS nu2_bound FROM (SELECT node_id, sum(q) AS q FROM b GROUP BY 1) x JOIN st ON st.node_id = x.node_id")
+@register("nu_bound", f"""WITH {MIXING} SELECT round(4 * (SELECT max(pi) / min(pi) FROM st) * max(w0.w) * (SELECT max(gamma * (1 - gamma)) FROM gn WHERE NOT is_byz), 6) + 0.0e0 AS nu2_bound
+FROM w0 JOIN n a ON a.node_id = w0.src AND NOT a.is_byz JOIN n b ON b.node_id = w0.dst AND NOT b.is_byz""")
 def nu_bound(spark, sf):
     rated = _rated(spark)
     return graph.nu_bound(base.weights(spark), graph.stationary(rated), rated).select(tidy("nu2_bound").alias("nu2_bound"))
@@ -356,16 +377,25 @@ def step_sizes(spark, sf):
 
 
 #: Each node's class vectors are the centroids of its shard's classes, 4 times as long; absent classes are zero.
-THETA = """
+OWN_THETA = """
 cc AS (SELECT node_id, label AS cls, c, 4 * avg(v) AS t FROM e GROUP BY 1, 2, 3),
 al AS (SELECT n.node_id, CAST(k.range AS INTEGER) AS cls, CAST(d.range AS INTEGER) AS c FROM n CROSS JOIN range(10) k CROSS JOIN (SELECT DISTINCT c AS range FROM e) d),
-th AS (SELECT al.node_id, al.cls, al.c, coalesce(cc.t, 0) AS t FROM al LEFT JOIN cc ON cc.node_id = al.node_id AND cc.cls = al.cls AND cc.c = al.c),
-z AS (SELECT e.node_id, e.vec_id, e.label, th.cls, sum(e.v * th.t) AS z FROM e JOIN th ON th.node_id = e.node_id AND th.c = e.c GROUP BY 1, 2, 3, 4),
+th AS (SELECT al.node_id, al.cls, list(coalesce(cc.t, 0) ORDER BY al.c) AS t FROM al LEFT JOIN cc ON cc.node_id = al.node_id AND cc.cls = al.cls AND cc.c = al.c GROUP BY 1, 2),
+us AS (SELECT * FROM s),"""
+#: One model for all honest nodes, the centroids of all their samples, and their samples only.
+HONEST_THETA = """
+us AS (SELECT s.* FROM s JOIN n ON n.node_id = s.node_id AND NOT is_byz),
+cc AS (SELECT label AS cls, c, 4 * avg(v) AS t FROM e JOIN n ON n.node_id = e.node_id AND NOT is_byz GROUP BY 1, 2),
+th AS (SELECT n.node_id, cls, t FROM n CROSS JOIN (SELECT cls, list(t ORDER BY c) AS t FROM cc GROUP BY 1) WHERE NOT is_byz),"""
+SOFTMAX = """
+z AS (SELECT us.node_id, us.vec_id, us.label, us.x, th.cls, list_dot_product(us.x, th.t) AS z FROM us JOIN th ON th.node_id = us.node_id),
 zz AS (SELECT *, max(z) OVER (PARTITION BY vec_id) AS top FROM z),
 p AS (SELECT *, exp(z - top) / sum(exp(z - top)) OVER (PARTITION BY vec_id) AS p, top + ln(sum(exp(z - top)) OVER (PARTITION BY vec_id)) AS lse FROM zz),
 rs AS (SELECT *, p - CASE WHEN cls = label THEN 1 ELSE 0 END AS r FROM p),
-gr AS (SELECT rs.node_id, rs.cls, e.c, avg(rs.r * e.v) AS g0 FROM rs JOIN e ON e.vec_id = rs.vec_id GROUP BY 1, 2, 3),
-gg AS (SELECT gr.node_id, gr.cls, gr.c, g0 + 0.01e0 * t AS g FROM gr JOIN th ON th.node_id = gr.node_id AND th.cls = gr.cls AND th.c = gr.c)"""
+gr AS (SELECT node_id, cls, c, avg(r * v) AS g0 FROM (SELECT node_id, cls, r, CAST(unnest(range(len(x))) AS INTEGER) AS c, unnest(x) AS v FROM rs) GROUP BY 1, 2, 3),
+gg AS (SELECT gr.node_id, gr.cls, gr.c, g0 + 0.01e0 * t[gr.c + 1] AS g, t[gr.c + 1] AS t FROM gr JOIN th ON th.node_id = gr.node_id AND th.cls = gr.cls)"""
+THETA, COMMON = OWN_THETA + SOFTMAX, HONEST_THETA + SOFTMAX
+SQUARES = "sq AS (SELECT node_id, sum(list_dot_product(t, t)) AS sq FROM th GROUP BY 1)"
 
 
 def _theta(spark, sf):
@@ -377,22 +407,74 @@ def _theta(spark, sf):
     return every.join(wide, ["node_id", "cls"], "left").crossJoin(F.broadcast(zero)).select("node_id", "cls", F.coalesce("t", "zero").alias("t"))
 
 
+def _honest(spark, sf):
+    return base.frame(spark, sf).join(base.nodes(spark).where("NOT is_byz").select("node_id"), "node_id", "left_semi")
+
+
+def _common_theta(spark, sf):
+    got = tables.coordinates(_honest(spark, sf)).groupBy(F.col("label").alias("cls"), "c").agg((4 * F.avg("v")).alias("t"))
+    return base.nodes(spark).where("NOT is_byz").select("node_id").crossJoin(V.wide_form(got, "cls", v="t", out="t"))
+
+
 @register("softmax_grad", f"WITH {THETA} SELECT node_id, cls, c, round(g, 6) + 0.0e0 AS g FROM gg")
 def softmax_grad(spark, sf):
     return training.gradient(base.frame(spark, sf), _theta(spark, sf)).select("node_id", "cls", "c", tidy("g").alias("g"))
 
 
-@register("node_loss", f"WITH {THETA}, sq AS (SELECT node_id, sum(t * t) AS sq FROM th GROUP BY 1) SELECT x.node_id, round(ce + 0.005e0 * sq, 6) + 0.0e0 AS loss FROM (SELECT node_id, avg(lse - z) AS ce FROM p WHERE cls = label GROUP BY 1) x JOIN sq ON sq.node_id = x.node_id")
+@register("half_step", f"WITH {THETA} SELECT node_id, cls * 64 + c AS c, round(t - 0.4e0 * g, 6) + 0.0e0 AS v FROM gg")
+def half_step(spark, sf):
+    return coords(training.half_step(base.frame(spark, sf), _theta(spark, sf), 0.4))
+
+
+@register("label_flip_msg", f"WITH {OWN_THETA.replace('us AS (SELECT * FROM s)', 'us AS (SELECT s.vec_id, s.node_id, s.x, CAST((label + CASE WHEN is_byz THEN 1 + s.node_id % 9 ELSE 0 END) % 10 AS INTEGER) AS label FROM s JOIN n ON n.node_id = s.node_id)') + SOFTMAX} SELECT node_id, cls * 64 + c AS c, round(t - 0.4e0 * g, 6) + 0.0e0 AS v FROM gg")
+def label_flip_msg(spark, sf):
+    """All messages of a round in which attackers take their step on moved labels."""
+    samples, theta = base.frame(spark, sf), _theta(spark, sf)
+    shifts = base.nodes(spark).where("is_byz").select("node_id", (1 + F.col("node_id") % 9).alias("shift"))
+    flips = attacks.flipped_step(samples, shifts, theta, 10, 0.4, 0.01)
+    return coords(attacks.attack("label_flip", base.edges(spark), base.nodes(spark), training.half_step(samples, theta, 0.4), flips))
+
+
+@register("node_loss", f"WITH {THETA}, {SQUARES} SELECT x.node_id, round(ce + 0.005e0 * sq, 6) + 0.0e0 AS loss FROM (SELECT node_id, avg(lse - z) AS ce FROM p WHERE cls = label GROUP BY 1) x JOIN sq ON sq.node_id = x.node_id")
 def node_loss(spark, sf):
     return training.losses(base.frame(spark, sf), _theta(spark, sf)).select("node_id", tidy("loss").alias("loss"))
 
 
-@register("accuracy_argmax", f"WITH {THETA}, b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY z DESC, cls) AS r FROM p) SELECT node_id, round(avg(CASE WHEN cls = label THEN 1.0e0 ELSE 0 END), 6) + 0.0e0 AS accuracy FROM b WHERE r = 1 GROUP BY 1")
+HITS = "ht AS (SELECT node_id, avg(CASE WHEN cls = label THEN 1.0e0 ELSE 0 END) AS accuracy FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY z DESC, cls) AS r FROM p) WHERE r = 1 GROUP BY 1)"
+
+
+@register("accuracy_argmax", f"WITH {THETA}, {HITS} SELECT node_id, round(accuracy, 6) + 0.0e0 AS accuracy FROM ht")
 def accuracy_argmax(spark, sf):
     return training.losses(base.frame(spark, sf), _theta(spark, sf)).select("node_id", tidy("accuracy").alias("accuracy"))
 
 
-@register("mean_losses", f"WITH {THETA}, sq AS (SELECT node_id, sum(t * t) AS sq FROM th GROUP BY 1), lo AS (SELECT x.node_id, ce + 0.005e0 * sq AS loss FROM (SELECT node_id, avg(lse - z) AS ce FROM p WHERE cls = label GROUP BY 1) x JOIN sq ON sq.node_id = x.node_id) SELECT round(avg(loss), 6) + 0.0e0 AS f_unif, round(sum((lo.node_id + 1) / 210.0e0 * loss) / sum((lo.node_id + 1) / 210.0e0), 6) + 0.0e0 AS f_pi FROM lo JOIN n ON n.node_id = lo.node_id AND NOT is_byz")
+@register("node_extremes", f"""WITH {THETA}, {SQUARES}, {HITS}, lo AS (SELECT x.node_id, ce + 0.005e0 * sq AS loss, accuracy FROM (SELECT node_id, avg(lse - z) AS ce FROM p WHERE cls = label GROUP BY 1) x JOIN sq ON sq.node_id = x.node_id JOIN ht ON ht.node_id = x.node_id JOIN n ON n.node_id = x.node_id AND NOT is_byz)
+SELECT round(avg(accuracy), 6) + 0.0e0 AS mean_test_acc, round(min(accuracy), 6) + 0.0e0 AS min_test_acc, round(max(accuracy), 6) + 0.0e0 AS max_test_acc, round(min(loss), 6) + 0.0e0 AS min_train_loss, round(max(loss), 6) + 0.0e0 AS max_train_loss FROM lo""")
+def node_extremes(spark, sf):
+    honest = base.nodes(spark).where("NOT is_byz").select("node_id")
+    got = rounds.extremes(training.losses(base.frame(spark, sf), _theta(spark, sf)).join(honest, "node_id", "left_semi"))
+    return got.select(*[tidy(c).alias(c) for c in got.columns])
+
+
+def _averaged_sql(pi: str) -> str:
+    return f"""(SELECT avg(CASE WHEN cls = label THEN 1.0e0 ELSE 0 END) FROM (SELECT s.vec_id, s.label, m.cls, row_number() OVER (PARTITION BY s.vec_id ORDER BY list_dot_product(s.x, m.t) DESC, m.cls) AS r
+FROM s CROSS JOIN (SELECT cls, list(v ORDER BY c) AS t FROM (SELECT cls, c, sum(pi * t) / sum(pi) AS v FROM (SELECT th.cls, {pi} AS pi, unnest(range(len(t))) AS c, unnest(t) AS t FROM th JOIN n ON n.node_id = th.node_id AND NOT is_byz) GROUP BY 1, 2) GROUP BY 1) m) WHERE r = 1)"""
+
+
+@register("averaged_accuracy", f"WITH {OWN_THETA.rstrip(',')} SELECT round({_averaged_sql('1.0e0')}, 6) + 0.0e0 AS test_acc, round({_averaged_sql('(th.node_id + 1) / 210.0e0')}, 6) + 0.0e0 AS test_acc_pi")
+def averaged_accuracy(spark, sf):
+    samples, theta = base.frame(spark, sf), _theta(spark, sf).join(base.nodes(spark).where("NOT is_byz").select("node_id"), "node_id", "left_semi")
+    plain, weighted = (training.accuracy_of(samples, training.averaged_model(theta, pi)) for pi in (None, _pi(spark)))
+    return plain.select(tidy("accuracy").alias("test_acc")).crossJoin(weighted.select(tidy("accuracy").alias("test_acc_pi")))
+
+
+@register("global_ce", f"WITH {COMMON} SELECT round(avg(lse - z), 6) + 0.0e0 AS ce FROM p WHERE cls = label")
+def global_ce(spark, sf):
+    theta = _common_theta(spark, sf).where("node_id = 0").drop("node_id")
+    return training.global_ce(_honest(spark, sf), theta).select(tidy("ce").alias("ce"))
+
+
+@register("mean_losses", f"WITH {THETA}, {SQUARES}, lo AS (SELECT x.node_id, ce + 0.005e0 * sq AS loss FROM (SELECT node_id, avg(lse - z) AS ce FROM p WHERE cls = label GROUP BY 1) x JOIN sq ON sq.node_id = x.node_id) SELECT round(avg(loss), 6) + 0.0e0 AS f_unif, round(sum((lo.node_id + 1) / 210.0e0 * loss) / sum((lo.node_id + 1) / 210.0e0), 6) + 0.0e0 AS f_pi FROM lo JOIN n ON n.node_id = lo.node_id AND NOT is_byz")
 def mean_losses(spark, sf):
     honest = _pi(spark).join(F.broadcast(base.nodes(spark).where("NOT is_byz")), "node_id", "left_semi")
     got = training.mean_losses(training.losses(base.frame(spark, sf), _theta(spark, sf)), honest)
@@ -403,11 +485,22 @@ def mean_losses(spark, sf):
 def local_optimum(spark, sf):
     out = []
     for name, pi in (("uniform", None), ("pi", _pi(spark))):
-        _, objective, loss = training.local_optimum(base.frame(spark, sf), pi, rounds=50)
-        out.append((name, round(objective, 4), round(loss, 4)))
+        _, objective, f_star = training.local_optimum(_honest(spark, sf), pi, rounds=50)
+        out.append((name, round(objective, 4), round(f_star, 4)))
     return spark.createDataFrame(out, "weights string, objective double, f_star double")
 
 
+@register("target_pi", f"WITH {GAMMA} SELECT node_id, round((1 - gamma) * pi, 6) + 0.0e0 AS pi FROM gn")
+def target_pi(spark, sf):
+    return _rated(spark).select("node_id", tidy((1 - F.col("gamma")) * F.col("pi")).alias("pi"))
+
+
+@register("drawn_pi")
+def drawn_pi(spark, sf):
+    """A stationary distribution drawn from a Dirichlet of 2."""
+    return training.drawn_pi(spark, base.N, 2.0).select("node_id", tidy("pi").alias("pi"))
+
+
 @register("capacity_shard")
 def capacity_shard(spark, sf):
     shares = spark.range(10).select(F.col("id").cast("int").alias("label")).crossJoin(base.nodes(spark).select("node_id")).withColumn("share", F.when(F.col("node_id") < 4, 0.13).otherwise(0.03))
@@ -415,33 +508,37 @@ def capacity_shard(spark, sf):
     return got.groupBy("node_id").agg(F.count("*").alias("n"))
 
 
-@register("sigma_sq", f"""WITH {THETA}, xx AS (SELECT vec_id, sum(v * v) AS xx FROM e GROUP BY 1),
-a AS (SELECT node_id, avg(sq) AS a FROM (SELECT rs.node_id, rs.vec_id, sum(r * r) * any_value(xx) AS sq FROM rs JOIN xx ON xx.vec_id = rs.vec_id GROUP BY 1, 2) GROUP BY 1),
+@register("sigma_sq", f"""WITH {COMMON},
+a AS (SELECT node_id, avg(sq) AS a FROM (SELECT node_id, vec_id, sum(r * r) * any_value(list_dot_product(x, x)) AS sq FROM rs GROUP BY 1, 2) GROUP BY 1),
 b AS (SELECT node_id, sum(g0 * g0) AS b FROM gr GROUP BY 1)
 SELECT round(max(a - b), 6) + 0.0e0 AS sigma_sq FROM a JOIN b ON a.node_id = b.node_id""")
 def sigma_sq(spark, sf):
-    return training.variance_within(base.frame(spark, sf), _theta(spark, sf)).select(tidy("sigma_sq").alias("sigma_sq"))
+    return training.variance_within(_honest(spark, sf), _common_theta(spark, sf)).select(tidy("sigma_sq").alias("sigma_sq"))
 
 
 def _zeta_sql(pi: str) -> str:
-    return f"""WITH {THETA}, q AS (SELECT gg.*, {pi} AS pi FROM gg), mn AS (SELECT cls, c, sum(pi * g) / sum(pi) AS mean FROM q GROUP BY 1, 2),
-d AS (SELECT node_id, any_value(pi) AS pi, sum((g - mean) * (g - mean)) AS d FROM q JOIN mn ON mn.cls = q.cls AND mn.c = q.c GROUP BY 1)
+    return f"""WITH {COMMON}, q AS (SELECT gr.*, {pi} AS pi FROM gr), mn AS (SELECT cls, c, sum(pi * g0) / sum(pi) AS mean FROM q GROUP BY 1, 2),
+d AS (SELECT node_id, any_value(pi) AS pi, sum((g0 - mean) * (g0 - mean)) AS d FROM q JOIN mn ON mn.cls = q.cls AND mn.c = q.c GROUP BY 1)
 SELECT round(sum(pi * d) / sum(pi), 6) + 0.0e0 AS zeta_sq FROM d"""
 
 
+def _shared_gradients(spark, sf):
+    return training.gradient(_honest(spark, sf), _common_theta(spark, sf), 0.0)
+
+
 @register("zeta_sq", _zeta_sql("1.0e0"))
 def zeta_sq(spark, sf):
-    return training.variance_between(training.gradient(base.frame(spark, sf), _theta(spark, sf))).select(tidy("zeta_sq").alias("zeta_sq"))
+    return training.variance_between(_shared_gradients(spark, sf)).select(tidy("zeta_sq").alias("zeta_sq"))
 
 
 @register("zeta_sq_pi", _zeta_sql("(node_id + 1) / 210.0e0"))
 def zeta_sq_pi(spark, sf):
-    return training.variance_between(training.gradient(base.frame(spark, sf), _theta(spark, sf)), _pi(spark)).select(tidy("zeta_sq").alias("zeta_sq"))
+    return training.variance_between(_shared_gradients(spark, sf), _pi(spark)).select(tidy("zeta_sq").alias("zeta_sq"))
 
 
 @register("smoothness")
 def smoothness(spark, sf):
-    return training.smoothness(base.frame(spark, sf)).select(tidy("L").alias("L"), tidy("mu").alias("mu"))
+    return training.smoothness(_honest(spark, sf)).select(tidy("L").alias("L"), tidy("mu").alias("mu"))
 
 
 # ---- features ----
@@ -478,7 +575,8 @@ def consensus_features(spark, sf):
 
 @register("shift_margin", f"""WITH {THETA},
 cs AS (SELECT node_id AS src, label AS cls, c, sum(v) AS v FROM e GROUP BY 1, 2, 3),
-dc AS (SELECT g.src, g.dst, a.cls, a.c, a.t - b.t AS v FROM g JOIN th a ON a.node_id = g.src JOIN th b ON b.node_id = g.dst AND b.cls = a.cls AND b.c = a.c),
+tl AS (SELECT node_id, cls, CAST(unnest(range(len(t))) AS INTEGER) AS c, unnest(t) AS t FROM th),
+dc AS (SELECT g.src, g.dst, a.cls, a.c, a.t - b.t AS v FROM g JOIN tl a ON a.node_id = g.src JOIN tl b ON b.node_id = g.dst AND b.cls = a.cls AND b.c = a.c),
 sc AS (SELECT cs.src, dc.dst, k.range AS s, cs.cls, sum(cs.v * dc.v) / (sqrt(sum(cs.v * cs.v)) * sqrt(sum(dc.v * dc.v)) + 1e-12) AS cos FROM cs CROSS JOIN range(10) k JOIN dc ON dc.src = cs.src AND dc.cls = (cs.cls + k.range) % 10 AND dc.c = cs.c GROUP BY 1, 2, 3, 4),
 ro AS (SELECT src, dst, s, -avg(cos) AS rho FROM sc GROUP BY 1, 2, 3)
 SELECT src, dst, round(max(rho) - max(rho) FILTER (WHERE s = 0), 6) + 0.0e0 AS margin FROM ro GROUP BY 1, 2""")
@@ -497,32 +595,21 @@ def stable_rank(spark, sf):
 
 
 NEIGHBOUR = """
-zn AS (SELECT g.src, g.dst, e.vec_id, e.label, th.cls, sum(e.v * th.t) AS z FROM g JOIN e ON e.node_id = g.src JOIN th ON th.node_id = g.dst AND th.c = e.c GROUP BY 1, 2, 3, 4, 5),
+zn AS (SELECT g.src, g.dst, s.vec_id, s.label, th.cls, list_dot_product(s.x, th.t) AS z FROM g JOIN s ON s.node_id = g.src JOIN th ON th.node_id = g.dst),
 zt AS (SELECT *, max(z) OVER (PARTITION BY src, dst, vec_id) AS top FROM zn),
 zp AS (SELECT *, top + ln(sum(exp(z - top)) OVER (PARTITION BY src, dst, vec_id)) AS lse, row_number() OVER (PARTITION BY src, dst, vec_id ORDER BY z DESC, cls) AS r FROM zt),
 cw AS (SELECT node_id, label, 1.0e0 / (count(*) OVER (PARTITION BY node_id) * n) AS wt FROM (SELECT node_id, label, count(*) AS n FROM s GROUP BY 1, 2))"""
 
 
-@register("neighbour_loss", f"""WITH {THETA}, {NEIGHBOUR}, sq AS (SELECT node_id, sum(t * t) AS sq FROM th GROUP BY 1),
+@register("neighbour_loss", f"""WITH {THETA}, {NEIGHBOUR}, {SQUARES},
 ce AS (SELECT src, dst, sum(wt * (lse - z)) AS ce FROM zp JOIN cw ON cw.node_id = src AND cw.label = zp.label WHERE cls = zp.label GROUP BY 1, 2),
 ac AS (SELECT src, dst, avg(CASE WHEN cls = label THEN 1.0e0 ELSE 0 END) AS acc FROM zp WHERE r = 1 GROUP BY 1, 2),
 lo AS (SELECT ce.src, ce.dst, ce + 0.005e0 * sq AS loss FROM ce JOIN sq ON sq.node_id = ce.dst),
 mm AS (SELECT a.src, a.dst, any_value(a.loss) AS loss, median(b.loss) AS med, count(*) AS k FROM lo a JOIN lo b ON a.src = b.src AND a.dst <> b.dst GROUP BY 1, 2)
 SELECT lo.src, lo.dst, round(acc, 6) + 0.0e0 AS acc, round(CASE WHEN coalesce(k, 0) < 2 THEN 0 ELSE lo.loss - med END, 6) + 0.0e0 AS ce_diff_nbr FROM lo JOIN ac ON ac.src = lo.src AND ac.dst = lo.dst LEFT JOIN mm ON mm.src = lo.src AND mm.dst = lo.dst""")
 def neighbour_loss(spark, sf):
-    from pyspark.sql import Window
-
-    samples, th = base.frame(spark, sf), _theta(spark, sf)
-    seen = base.edges(spark).join(samples.withColumnRenamed("node_id", "src"), "src").join(th.withColumnRenamed("node_id", "dst"), "dst").select("src", "dst", "vec_id", "label", "cls", V.dot("x", "t").alias("z"))
-    own = Window.partitionBy("src", "dst", "vec_id")
-    best = F.row_number().over(own.orderBy(F.col("z").desc(), "cls"))
-    p = seen.withColumn("top", F.max("z").over(own)).withColumn("lse", F.col("top") + F.log(F.sum(F.exp(F.col("z") - F.col("top"))).over(own))).withColumn("r", best)
-    wt = features.class_weights(samples).select(F.col("node_id").alias("src"), "label", "weight")
-    got = p.join(wt, ["src", "label"]).groupBy("src", "dst").agg(F.sum(F.when(F.col("cls") == F.col("label"), F.col("weight") * (F.col("lse") - F.col("z")))).alias("ce"), (F.count_if((F.col("r") == 1) & (F.col("cls") == F.col("label"))) / F.count_if(F.col("r") == 1)).alias("acc"))
-    size = th.groupBy(F.col("node_id").alias("dst")).agg(F.sum(F.aggregate("t", F.lit(0.0), lambda s, x: s + x * x)).alias("sq"))
-    loss = got.join(size, "dst").withColumn("loss", F.col("ce") + 0.005 * F.col("sq"))
-    diff = features.against_others(loss.select("src", "dst", "loss"), "loss", "ce_diff_nbr")
-    return features.finite(loss.join(diff, ["src", "dst"]).select("src", "dst", tidy("acc").alias("acc"), tidy("ce_diff_nbr").alias("ce_diff_nbr")), "acc", "ce_diff_nbr")
+    got = features.neighbour_loss(base.edges(spark), base.frame(spark, sf), _theta(spark, sf))
+    return features.finite(got.select("src", "dst", tidy("acc").alias("acc"), tidy("ce_diff_nbr").alias("ce_diff_nbr")), "acc", "ce_diff_nbr")
 
 
 # ---- rounds ----
@@ -542,14 +629,15 @@ def optimality_gap(spark, sf):
     return rounds.optimality_gap(base.messages(spark, sf), _pi(spark), goal).select(tidy("opt_gap").alias("opt_gap"))
 
 
-DECISIONS = "dc AS (SELECT w0.src, w0.dst, w0.w, b.is_byz AS is_adv, (w0.src * 3 + w0.dst * 5) % 4 = 0 AS flagged FROM w0 JOIN n a ON a.node_id = w0.src AND NOT a.is_byz JOIN n b ON b.node_id = w0.dst)"
-CONF = DECISIONS + ", cf AS (SELECT src AS node_id, " + ", ".join(f"count(*) FILTER (WHERE {e}) AS {k}, coalesce(sum(w) FILTER (WHERE {e}), 0) AS {k}_w" for k, e in (("tp", "flagged AND is_adv"), ("fp", "flagged AND NOT is_adv"), ("tn", "NOT flagged AND NOT is_adv"), ("fn", "NOT flagged AND is_adv"))) + " FROM dc GROUP BY src)"
+DECISIONS = "dc AS (SELECT w0.src, w0.dst, w0.w, b.is_byz AND w0.dst <> 3 AS is_adv, NOT b.is_byz AS is_hon, (w0.src * 3 + w0.dst * 5) % 4 = 0 AS flagged FROM w0 JOIN n a ON a.node_id = w0.src AND NOT a.is_byz JOIN n b ON b.node_id = w0.dst)"
+CONF = DECISIONS + ", cf AS (SELECT src AS node_id, sum(w) AS row_w, " + ", ".join(f"count(*) FILTER (WHERE {e}) AS {k}, coalesce(sum(w) FILTER (WHERE {e}), 0) AS {k}_w" for k, e in (("tp", "flagged AND is_adv"), ("fp", "flagged AND is_hon"), ("tn", "NOT flagged AND is_hon"), ("fn", "NOT flagged AND is_adv"))) + " FROM dc GROUP BY src)"
 
 
 def _decisions(spark):
     n = base.nodes(spark)
-    w = base.weights(spark).where("src <> dst").join(F.broadcast(n.where("NOT is_byz").select(F.col("node_id").alias("src"))), "src", "left_semi")
-    return w.join(F.broadcast(n.select(F.col("node_id").alias("dst"), F.col("is_byz").alias("is_adv"))), "dst").withColumn("flagged", F.expr("(src * 3 + dst * 5) % 4 = 0"))
+    w = base.weights(spark).where("src <> dst").join(n.where("NOT is_byz").select(F.col("node_id").alias("src")), "src", "left_semi")
+    far = n.select(F.col("node_id").alias("dst"), F.expr("is_byz AND node_id <> 3").alias("is_adv"), (~F.col("is_byz")).alias("is_hon"))
+    return w.join(far, "dst").withColumn("flagged", F.expr("(src * 3 + dst * 5) % 4 = 0"))
 
 
 @register("edge_confusion", f"WITH {CONF} SELECT node_id, tp, fp, tn, fn, " + ", ".join(f"round({k}_w, 6) + 0.0e0 AS {k}_w" for k in ("tp", "fp", "tn", "fn")) + " FROM cf")
@@ -558,28 +646,34 @@ def edge_confusion(spark, sf):
 
 
 @register("realized_rates", f"""WITH {CONF} SELECT round(sum(fp) / (sum(fp) + sum(tn) + 1e-12), 6) + 0.0e0 AS gamma_k, round(sum(fn) / (sum(fn) + sum(tp) + 1e-12), 6) + 0.0e0 AS beta_k,
-round(sum((node_id + 1) / 210.0e0 * fn_w * 0.2e0), 6) + 0.0e0 AS byz_w_k, round(sum((node_id + 1) / 210.0e0 * (tp_w + tn_w + fn_w) * 0.9e0), 6) + 0.0e0 AS hon_w_k FROM cf""")
+round(sum((node_id + 1) / 210.0e0 * fn_w * (0.1e0 + 0.01e0 * node_id)), 6) + 0.0e0 AS byz_w_k, round(sum((node_id + 1) / 210.0e0 * (row_w - fp_w) * (1 - 0.005e0 * node_id)), 6) + 0.0e0 AS hon_w_k FROM cf""")
 def realized_rates(spark, sf):
-    got = rounds.realized_rates(rounds.edge_confusion(_decisions(spark)), _pi(spark), 0.2, 0.1)
+    got = rounds.realized_rates(rounds.edge_confusion(_decisions(spark)), _pi(spark), _own_rates(spark))
     return got.select(*[tidy(c).alias(c) for c in got.columns])
 
 
-@register("attacker_pull", """WITH pl AS (SELECT w0.src, m.c, sum(w0.w * (m.v - o.th)) AS d FROM w0 JOIN n b ON b.node_id = w0.dst AND b.is_byz JOIN m ON m.node_id = w0.dst JOIN m o ON o.node_id = w0.src AND o.c = m.c GROUP BY 1, 2)
-SELECT round(sum((src + 1) / 210.0e0 * d * d), 6) + 0.0e0 AS rho2_k FROM pl""")
+@register("node_rates", f"WITH {CONF} SELECT node_id, round(fp / (fp + tn + 1e-12), 6) + 0.0e0 AS gamma_k_node FROM cf")
+def node_rates(spark, sf):
+    return rounds.node_rates(rounds.edge_confusion(_decisions(spark))).select("node_id", tidy("gamma_k_node").alias("gamma_k_node"))
+
+
+@register("attacker_pull", _near_sql(*OWN_RATES) + """, nl AS (SELECT src, dst, w, CAST(unnest(range(len(p))) AS INTEGER) AS c, unnest(p) AS v FROM near WHERE src <> dst),
+pl AS (SELECT nl.src, nl.c, sum(nl.w * (nl.v - o.th)) AS d FROM nl JOIN n b ON b.node_id = nl.dst AND b.is_byz JOIN m o ON o.node_id = nl.src AND o.c = nl.c GROUP BY 1, 2)
+SELECT round(sum((src + 1) / 210.0e0 * d * d), 9) + 0.0e0 AS rho2_k FROM pl""")
 def attacker_pull(spark, sf):
-    m = base.models(spark, sf)
-    kept = mixing.received(base.weights(spark).where("src <> dst"), m.select("node_id", "c", "v"))
-    return rounds.attacker_pull(kept, _pi(spark), base.nodes(spark), m.select("node_id", "c", "th")).select(tidy("rho2_k").alias("rho2_k"))
+    near = mixing.projected(base.weights(spark), base.messages(spark, sf), _before(spark, sf), _flags(spark, _own_rates(spark)), 0.1)
+    return rounds.attacker_pull(near, _pi(spark), base.nodes(spark), _before(spark, sf)).select(V.tidy(F.col("rho2_k"), 9).alias("rho2_k"))
 
 
-@register("theory_bounds", """WITH t AS (SELECT node_id, 2.0e0 AS L, 0.01e0 AS mu, 0.001e0 AS nu2, 0.6e0 AS lam, 0.8e0 AS sigma_sq, 0.3e0 AS zeta_sq, 1.5e0 AS tau, 0.25e0 AS db_max, 0.02e0 * (node_id + 1) AS fnr, 17 AS h, 0.05e0 AS alpha FROM n)
-SELECT node_id, round(1 - (lam * lam + nu2), 6) + 0.0e0 AS g, round(least(1 / L, (1 - (lam * lam + nu2)) / (4 * L)), 6) + 0.0e0 AS alpha_max_conv, round(2 / L, 6) + 0.0e0 AS alpha_max_stab, round(alpha * (sigma_sq / h + zeta_sq) / mu, 6) + 0.0e0 AS eps_opt,
-round(tau * tau * fnr * db_max * db_max / (mu * mu), 4) + 0.0e0 AS eps_byz, round(tau * tau * fnr * db_max * db_max / (1 - (lam * lam + nu2)), 6) + 0.0e0 AS byz_cons_floor FROM t""")
+@register("theory_bounds", """WITH t AS (SELECT node_id, 2.0e0 AS L, 0.5e0 AS mu, 0.001e0 AS nu2, 0.6e0 AS lam, 0.8e0 AS sigma_sq, 0.3e0 AS zeta_sq, 1.5e0 AS pc, 0.25e0 AS db_max, 0.1e0 AS db_pi, 0.02e0 * (node_id + 1) AS fnr, 17.0e0 AS h, 25.0e0 AS nl, 0.05e0 AS alpha, 0.09e0 AS pi_max, 0.004e0 AS pd FROM n)
+SELECT node_id, round(1 - lam * lam - nu2, 6) + 0.0e0 AS g, round(lam * lam + nu2, 6) + 0.0e0 AS s2, round(pc * alpha, 6) + 0.0e0 AS tau, round((1 - lam * lam - nu2) / (6 * L), 6) + 0.0e0 AS alpha_max_conv, round(2 / (mu + L), 6) + 0.0e0 AS alpha_max_stab,
+round(8 * L * (1 + fnr * db_max) / (mu * h * nl), 6) + 0.0e0 AS eps_opt, round(8 * h * (pc * alpha) * fnr * db_pi / (alpha * mu * nl), 6) + 0.0e0 AS eps_byz, round(8 * L * (1 + fnr * db_max) / (mu * h * nl) + 8 * h * (pc * alpha) * fnr * db_pi / (alpha * mu * nl), 6) + 0.0e0 AS epsilon,
+round(pc * pc * fnr * db_max * db_max / (mu * mu), 6) + 0.0e0 AS byz_cons_floor, round(3 / (mu * mu) * (zeta_sq * h * pd + sigma_sq / nl * (1 / h + pi_max)), 6) + 0.0e0 AS opt_gap_ub FROM t""")
 def theory_bounds(spark, sf):
-    fixed = {"L": 2.0, "mu": 0.01, "nu2": 0.001, "lam": 0.6, "sigma_sq": 0.8, "zeta_sq": 0.3, "tau": 1.5, "db_max": 0.25, "alpha": 0.05, "h": 17}
+    fixed = {"L": 2.0, "mu": 0.5, "nu2": 0.001, "lam": 0.6, "sigma_sq": 0.8, "zeta_sq": 0.3, "proj_const": 1.5, "db_max": 0.25, "db_pi": 0.1, "alpha": 0.05, "h": 17.0, "n_loc": 25.0, "pi_max": 0.09, "pi_dist_sq": 0.004}
     t = base.nodes(spark).select("node_id", *[F.lit(v).alias(k) for k, v in fixed.items()], (0.02 * (F.col("node_id") + 1)).alias("fnr"))
-    got = rounds.bounds(t)
-    return got.select("node_id", *[tidy(c).alias(c) for c in ("g", "alpha_max_conv", "alpha_max_stab", "eps_opt")], V.tidy(F.col("eps_byz"), 4).alias("eps_byz"), tidy("byz_cons_floor").alias("byz_cons_floor"))
+    names = ("g", "s2", "tau", "alpha_max_conv", "alpha_max_stab", "eps_opt", "eps_byz", "epsilon", "byz_cons_floor", "opt_gap_ub")
+    return rounds.bounds(t).select("node_id", *[tidy(c).alias(c) for c in names])
 
 
 @register("simulated_runs")

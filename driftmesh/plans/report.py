@@ -53,10 +53,10 @@ def unpivot_ranges(spark, sf):
     return R.unpivot(got, ["graph", "attack"], ["lo", "hi"], "stat", "value")
 
 
-@register("outer_concat", "WITH a AS (SELECT o_custkey % 50 AS key, count(*) AS n_orders FROM orders WHERE o_custkey % 50 < 40 GROUP BY 1), b AS (SELECT c_custkey % 50 AS key, count(*) AS n_cust FROM customer WHERE c_custkey % 50 >= 10 GROUP BY 1) SELECT coalesce(a.key, b.key) AS key, n_orders, n_cust FROM a FULL JOIN b ON a.key = b.key", shared=False)
+@register("outer_concat", "WITH a AS (SELECT o_custkey AS key, count(*) AS n_orders FROM orders GROUP BY 1), b AS (SELECT s_suppkey AS key, count(*) AS n_supp FROM supplier GROUP BY 1) SELECT coalesce(a.key, b.key) AS key, n_orders, n_supp FROM a FULL JOIN b ON a.key = b.key", shared=False)
 def outer_concat(spark, sf):
-    a = load(spark, sf, "orders").where("o_custkey % 50 < 40").groupBy((F.col("o_custkey") % 50).alias("key")).agg(F.count("*").alias("n_orders"))
-    b = load(spark, sf, "customer").where("c_custkey % 50 >= 10").groupBy((F.col("c_custkey") % 50).alias("key")).agg(F.count("*").alias("n_cust"))
+    a = load(spark, sf, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.count("*").alias("n_orders"))
+    b = load(spark, sf, "supplier").groupBy(F.col("s_suppkey").alias("key")).agg(F.count("*").alias("n_supp"))
     return R.beside(a, b, ["key"])
 
 
@@ -96,7 +96,7 @@ EWMA = """x AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION
 w AS (SELECT event_type, event_id, k, value AS s, 1.0e0 AS t FROM x WHERE k = 0 UNION ALL SELECT x.event_type, x.event_id, x.k, w.s * (1 - 2.0e0 / 31) + x.value, w.t * (1 - 2.0e0 / 31) + 1 FROM w JOIN x ON x.event_type = w.event_type AND x.k = w.k + 1)
 SELECT event_type, event_id, round(s / t, 6) + 0.0e0 AS ewma FROM w""", shared=False)
 def ewma(spark, sf):
-    got = R.ewma(load(spark, sf, "events").select("event_type", "event_id", "ts", "value"), ["event_type"], ["ts", "event_id"], "value", 30)
+    got = R.ewma(load(spark, sf, "events").select("event_type", "event_id", "ts", "value"), ["event_type"], ["ts", "event_id"], "value", 30, coarse=F.to_date("ts"))
     return got.select("event_type", "event_id", tidy("ewma").alias("ewma"))
 
 
@@ -105,18 +105,20 @@ w AS (SELECT grp, k, beta AS s, 1.0e0 AS t FROM x WHERE k = 0 UNION ALL SELECT x
 c AS (SELECT grp, count(*) FILTER (WHERE beta < 0.02 AND gamma < 0.02) > 600 AS calm FROM x GROUP BY 1)
 SELECT w.grp, w.k, round(2.25e0 * CASE WHEN calm THEN 0.01e0 ELSE s / t END * 0.04e0 / 0.01e0, 6) + 0.0e0 AS floor FROM w JOIN c ON c.grp = w.grp""", shared=False)
 def floor_series(spark, sf):
-    from pyspark.sql import Window
-
-    e = load(spark, sf, "events").withColumn("grp", F.col("user_id") % 10)
-    k = F.row_number().over(Window.partitionBy("grp").orderBy("ts", "event_id")) - 1
-    rows = e.select("grp", k.cast("long").alias("k"), (F.col("value") / 5000).alias("beta"), (F.col("value") / 20000).alias("gamma"))
+    e = load(spark, sf, "events").select((F.col("user_id") % 10).alias("grp"), "ts", "event_id", "value")
+    rows = R.numbered(e, ["grp"], ["ts", "event_id"], F.to_date("ts"), "k").select("grp", F.col("k").cast("long").alias("k"), (F.col("value") / 5000).alias("beta"), (F.col("value") / 20000).alias("gamma"))
     return R.floor_series(rows, 1.5, 0.2, 0.1, 0.01, 600).select("grp", "k", tidy("floor").alias("floor"))
 
 
-@register("stability_series", "WITH x AS (SELECT o_custkey % 20 AS grp, avg(o_totalprice) AS x, stddev_pop(o_totalprice) AS y FROM orders GROUP BY 1) SELECT grp, round(4 * 17 * (x + y) / (100000.0e0 * 20), 6) + 0.0e0 AS bound FROM x", shared=False)
+@register("stability_series", """WITH RECURSIVE x AS (SELECT user_id AS grp, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, 4 * 17 * (2.0e0 * 0.9e0 * (value / 500) / 17 + 1.5e0 * 25 * 0.05e0 * (value / 1000)) / (0.5e0 * 25) AS eps FROM events),
+w AS (SELECT grp, k, eps AS s, 1.0e0 AS t FROM x WHERE k = 0 UNION ALL SELECT x.grp, x.k, w.s * (1 - 2.0e0 / 41) + x.eps, w.t * (1 - 2.0e0 / 41) + 1 FROM w JOIN x ON x.grp = w.grp AND x.k = w.k + 1)
+SELECT grp, k, round(s / t, 6) + 0.0e0 AS bound FROM w""", shared=False)
 def stability_series(spark, sf):
-    got = load(spark, sf, "orders").groupBy((F.col("o_custkey") % 20).alias("grp")).agg(F.avg("o_totalprice").alias("x"), F.stddev_pop("o_totalprice").alias("y"))
-    return got.select("grp", tidy(4 * 17 * (F.col("x") + F.col("y")) / (100000.0 * 20)).alias("bound"))
+    from ..operators import rounds
+
+    e = load(spark, sf, "events").select(F.col("user_id").alias("grp"), "ts", "event_id", "value")
+    rows = R.numbered(e, ["grp"], ["ts", "event_id"], F.to_date("ts"), "k").select("grp", F.col("k").cast("long").alias("k"), (F.col("value") / 500).alias("hon_w_k"), (F.col("value") / 1000).alias("byz_w_k"))
+    return rounds.stability_series(rows, 2.0, 0.5, 17, 25, 1.5, 0.1, 0.05).select("grp", "k", tidy("bound").alias("bound"))
 
 
 @register("lyapunov", f"WITH {ITEMS}, x AS (SELECT graph, k, var_pop(acc) AS c, avg(acc) AS g FROM it GROUP BY 1, 2) SELECT graph, k, round(c + g * g, 6) + 0.0e0 AS lyapunov FROM x", shared=False)
@@ -152,9 +154,18 @@ def key_lookup(spark, sf):
     return counts.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "r_name", "n")
 
 
-@register("anti_attack", "SELECT c_custkey FROM customer ANTI JOIN orders ON o_custkey = c_custkey", shared=False)
+@register("anti_attack", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)", shared=False)
 def anti_attack(spark, sf):
-    return load(spark, sf, "customer").join(load(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    rich = load(spark, sf, "supplier").where("s_acctbal > 5000")
+    return load(spark, sf, "nation").join(rich, F.col("n_nationkey") == F.col("s_nationkey"), "left_anti").select("n_nationkey", "n_name")
+
+
+@register("other_events", "SELECT user_id, event_type, count(*) AS n FROM events WHERE event_type <> 'view' GROUP BY 1, 2", shared=False)
+def other_events(spark, sf):
+    """All kinds but one."""
+    e = load(spark, sf, "events")
+    left = e.select("event_type").distinct().join(spark.createDataFrame([("view",)], "event_type string"), "event_type", "left_anti")
+    return e.join(left, "event_type", "left_semi").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
 @register("membership", "SELECT s_suppkey FROM supplier SEMI JOIN lineitem ON l_suppkey = s_suppkey AND l_returnflag = 'R'", shared=False)
@@ -196,10 +207,18 @@ def vector_parse(spark, sf):
     return parsed.select("vec_id", F.size("v").cast("long").alias("d"), (F.round(F.aggregate("v", F.lit(0.0), lambda t, x: t + x), 4) + 0.0).alias("total"))
 
 
-@register("sorted_keys", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders QUALIFY place <= 100", shared=False)
+@register("sorted_keys", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders", shared=False)
 def sorted_keys(spark, sf):
-    from pyspark.sql import Window
+    """Every order's place by falling date: orders are numbered inside a day, and the days' counts are summed."""
+    rows = load(spark, sf, "orders").select(F.lit(0).alias("all"), "o_orderkey", "o_orderdate", (-F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))).alias("late"))
+    got = R.numbered(rows, ["all"], ["late", "o_orderkey"], F.floor(F.col("late") / 86400), "place")
+    return got.select("o_orderkey", (F.col("place") + 1).cast("long").alias("place"))
+
+
+@register("feature_columns", "SELECT c AS feature, max(v) FILTER (WHERE label = 0) AS c0, max(v) FILTER (WHERE label = 1) AS c1, max(v) FILTER (WHERE label = 2) AS c2 FROM (SELECT label, 'f' || c AS c, round(avg(v), 6) + 0.0e0 AS v FROM (SELECT label, unnest(range(len(embedding))) AS c, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) GROUP BY 1, 2) GROUP BY 1", shared=False)
+def feature_columns(spark, sf):
+    """A table turned over: features become rows and groups become columns, in a given order."""
+    long = load(spark, sf, "embeddings").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("c", "v")).groupBy("label", F.concat(F.lit("f"), "c").alias("feature")).agg(tidy(F.avg("v")).alias("v"))
+    return R.pivot(long, ["feature"], "label", [0, 1, 2], F.max("v")).withColumnsRenamed({"0": "c0", "1": "c1", "2": "c2"})
+
 
-    # a top-k report: the hundred newest are found first, and only they are ranked
-    top = load(spark, sf, "orders").select("o_orderkey", "o_orderdate").orderBy(F.col("o_orderdate").desc(), "o_orderkey").limit(100)
-    return top.select("o_orderkey", F.row_number().over(Window.orderBy(F.col("o_orderdate").desc(), "o_orderkey")).cast("long").alias("place"))

@@ -126,8 +126,11 @@ def grid_search(spark, sf):
 
 @register("permutation_importance")
 def permutation_importance(spark, sf):
-    got = evaluate.permutation_importance(_features(spark, sf), ["f_toxic", "f_len"], F.col("f_len") - F.col("f_toxic"), "key", 2)
-    return got.select("feature", "repeat", tidy("drop").alias("drop"))
+    """Of a fitted model, on rows that it wasn't fitted on."""
+    rows, names = _features(spark, sf), ["f_toxic", "f_len", "f_src"]
+    model = evaluate.fit_logistic(rows.where("grp < 4"), names)
+    got = evaluate.permutation_importance(rows.where("grp >= 4"), names, model, "key", 3)
+    return got.select("feature", "repeat", F.round("drop", 4).alias("drop"))
 
 
 @register("leave_one_out_table")
@@ -142,15 +145,19 @@ def leave_one_out_table(spark, sf):
     return spark.createDataFrame(out, "left_out string, roc_auc double")
 
 
-@register("train_test_matrix", f"""WITH {SCORED}, r AS (SELECT a.lang AS train, b.lang AS test, b.y, b.score * CASE WHEN a.up THEN 1 ELSE -1 END AS score FROM (SELECT lang, avg(score) FILTER (WHERE y = 1) >= avg(score) FILTER (WHERE y = 0) AS up FROM sc GROUP BY 1) a CROSS JOIN sc b),
-k AS (SELECT *, rank() OVER (PARTITION BY train, test ORDER BY score) + (count(*) OVER (PARTITION BY train, test, score) - 1) / 2.0e0 AS r FROM r)
-SELECT train, test, round((sum(r) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0e0) / nullif(sum(y) * sum(1 - y), 0), 6) + 0.0e0 AS auc FROM k GROUP BY 1, 2""", shared=False)
+@register("train_test_matrix")
 def train_test_matrix(spark, sf):
-    """Every training language's direction of the score against every test language."""
-    s = scored(spark, sf)
-    up = s.groupBy("lang").agg((F.avg(F.when(F.col("y") == 1, F.col("score"))) >= F.avg(F.when(F.col("y") == 0, F.col("score")))).alias("up")).select(F.col("lang").alias("train"), "up")
-    rows = s.join(F.broadcast(up)).select("train", F.col("lang").alias("test"), "y", (F.col("score") * F.when(F.col("up"), 1).otherwise(-1)).alias("score"))
-    return evaluate.auc(rows, "train", "test").select("train", "test", tidy("auc").alias("auc"))
+    """Every language's model against every test language: each is trained on the language's first groups, and tested on the others."""
+    rows = _features(spark, sf).cache()
+    langs = [r.lang for r in rows.select("lang").distinct().orderBy("lang").collect()]
+    parts = []
+    for lang in langs:
+        model = evaluate.fit_logistic(rows.where((F.col("lang") == lang) & (F.col("grp") < 4)), ["f_toxic", "f_len", "f_src"])
+        parts.append(model(rows.where("grp >= 4")).select(F.lit(lang).alias("train"), F.col("lang").alias("test"), "y", "score"))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return evaluate.auc(every, "train", "test").select("train", "test", F.round("auc", 4).alias("auc"))
 
 
 @register("config_json", """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, md5(event_type) AS key FROM events""", shared=False)
