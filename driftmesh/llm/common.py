@@ -18,8 +18,8 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def map_many(df: DataFrame, columns: list, rows: Callable[..., list[tuple]], schema: str, setup: Callable | None = None) -> DataFrame:
-    """One output tuple for each row, from the named columns only; rows(state, *lists) gets up to ROWS_AT_ONCE rows.
+def map_many(df: DataFrame, columns: list, rows: Callable[..., list[tuple]], schema: str, setup: Callable | None = None, at_once: int = ROWS_AT_ONCE) -> DataFrame:
+    """One output tuple for each row, from the named columns only; rows(state, *lists) gets up to at_once rows.
 
     setup() runs once in each task and gives the state (None without it).
     Columns that the operator doesn't name are neither read nor passed on.
@@ -30,8 +30,8 @@ def map_many(df: DataFrame, columns: list, rows: Callable[..., list[tuple]], sch
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(at, ROWS_AT_ONCE)
+            for at in range(0, batch.num_rows, at_once):
+                part = batch.slice(at, at_once)
                 out = rows(state, *(c.to_pylist() for c in part.columns))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
