@@ -81,20 +81,21 @@ def operating_point(scored: DataFrame, cost_fp: float = 1.0, cost_fn: float = 1.
 
 
 def threshold_at(scored: DataFrame, targets: list[float], mode: str = "below") -> DataFrame:
-    """target, idx, threshold: the last ROC point with fpr <= target, or with ``nearest`` the closer of it and the next (the lower one if alike)."""
+    """target, idx, threshold, fpr, tpr: the last ROC point with fpr <= target, or with ``nearest`` the closer of it and the next (the lower one if alike)."""
     if mode not in ("below", "nearest"):
         raise ValueError(f"unknown mode {mode!r}")
     roc = roc_curve(scored)
     spark = scored.sparkSession
     wanted = spark.createDataFrame([(float(t),) for t in targets], "target double")
-    ahead = roc.select((F.col("idx") - 1).alias("idx"), F.col("fpr").alias("next_fpr"), F.col("threshold").alias("next_threshold"))
-    points = roc.select("idx", "threshold", "fpr").join(ahead, "idx", "left")
+    ahead = roc.select((F.col("idx") - 1).alias("idx"), F.struct("threshold", "fpr", "tpr").alias("next"))
+    points = roc.select("idx", F.struct("threshold", "fpr", "tpr").alias("own")).join(ahead, "idx", "left")
     # an as-of join: one pass over the curve for each of the few targets, summed to one row
-    below = points.join(F.broadcast(wanted), F.col("fpr") <= F.col("target")).groupBy("target").agg(F.max_by(F.struct("idx", "threshold", "fpr", "next_fpr", "next_threshold"), "idx").alias("at"))
+    below = points.join(F.broadcast(wanted), F.col("own.fpr") <= F.col("target")).groupBy("target").agg(F.max_by(F.struct("idx", "own", "next"), "idx").alias("at"))
     if mode == "below":
-        return below.select("target", "at.idx", "at.threshold")
-    later = F.col("at.next_fpr").isNotNull() & (F.col("at.next_fpr") - F.col("target") < F.col("target") - F.col("at.fpr"))
-    return below.select("target", (F.col("at.idx") + later.cast("int")).alias("idx"), F.when(later, F.col("at.next_threshold")).otherwise(F.col("at.threshold")).alias("threshold"))
+        return below.select("target", "at.idx", "at.own.threshold", "at.own.fpr", "at.own.tpr")
+    later = F.col("at.next").isNotNull() & (F.col("at.next.fpr") - F.col("target") < F.col("target") - F.col("at.own.fpr"))
+    at = F.when(later, F.col("at.next")).otherwise(F.col("at.own"))
+    return below.withColumn("own", at).select("target", (F.col("at.idx") + later.cast("int")).alias("idx"), "own.threshold", "own.fpr", "own.tpr")
 
 
 def confusion(scored: DataFrame, tau: float, *by: str) -> DataFrame:
@@ -145,7 +146,12 @@ def fit_logistic(train: DataFrame, features: list[str], strength: float = 1.0):
     weight = F.create_map(*[F.lit(x) for y, k in n.items() for x in (y, total / (len(n) * k))])[F.col("y")]
     ready = VectorAssembler(inputCols=features, outputCol="features_")
     model = LogisticRegression(featuresCol="features_", labelCol="y", weightCol="w_", standardization=False, regParam=1 / (strength * total), maxIter=200).fit(ready.transform(train.withColumn("w_", weight)))
-    return lambda df: model.transform(ready.transform(df)).withColumn("score", vector_to_array("probability")[1]).drop("features_", "rawPrediction", "probability", "prediction")
+
+    def scored(df: DataFrame) -> DataFrame:
+        return model.transform(ready.transform(df)).withColumn("score", vector_to_array("probability")[1]).drop("features_", "rawPrediction", "probability", "prediction")
+
+    scored.coefficients, scored.intercept = model.coefficients.toArray(), float(model.intercept)
+    return scored
 
 
 def fit_trees(train: DataFrame, features: list[str], rounds: int = 30, depth: int = 4, rate: float = 0.1, seed: int = 0):

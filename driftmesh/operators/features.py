@@ -124,17 +124,22 @@ def edge_features(edges: DataFrame, samples: DataFrame, before: DataFrame, after
     return assembled(direction(vectors, alpha), shift_margin(sums, columns, classes), rank, neighbour_loss(edges, samples, after, reg), consensus(vectors))
 
 
-def heavy_first(rows: DataFrame, train: str = "split = 'train'", keys: tuple[str, ...] = ("split",)) -> DataFrame:
-    """keys and the scaled features, heavy ones first: those by median and quartiles, the others by mean and deviation of the training rows."""
-    from .training import robust_scale, standard_scale
-
-    key = "row_"
-    numbered = rows.withColumn(key, F.xxhash64(*rows.columns))
-    others = [f for f in FEATURES if f not in HEAVY]
-    long = lambda names: numbered.select(key, "split", F.posexplode(F.array(*names)).alias("c", "v")).dropDuplicates([key, "c"])
-    wide = lambda df, names: df.groupBy(key).agg(*[F.max(F.when(F.col("c") == i, F.col("v"))).alias(f) for i, f in enumerate(names)])
-    scaled = wide(robust_scale(long(HEAVY), train), HEAVY).join(wide(standard_scale(long(others), train), others), key)
-    return numbered.select(key, *keys).join(scaled, key).select(*keys, *HEAVY, *others)
+def fit_scaler(rows: DataFrame) -> dict[str, tuple[float, float]]:
+    """(centre, width) of each feature: median and unit-normal quartile range of the heavy ones, mean and population deviation of the others; a width of 0 counts as 1. One aggregation, one row."""
+    unit = 1.3489795003921634
+    wanted = []
+    for f in FEATURES:
+        q = lambda share, f=f: F.percentile(f, F.lit(share))
+        centre, width = (q(0.5), (q(0.75) - q(0.25)) / unit) if f in HEAVY else (F.avg(f), F.stddev_pop(f))
+        wanted.append(F.struct(centre.alias("centre"), F.when(width == 0, 1.0).otherwise(width).alias("width")).alias(f))
+    got = rows.agg(*wanted).head()
+    return {f: (float(got[f].centre), float(got[f].width)) for f in FEATURES}
+
+
+def scale(rows: DataFrame, scaler: dict[str, tuple[float, float]]) -> DataFrame:
+    """The other columns and the scaled features, heavy ones first."""
+    order = [*HEAVY, *(f for f in FEATURES if f not in HEAVY)]
+    return rows.select(*[c for c in rows.columns if c not in FEATURES], *[((F.col(f) - scaler[f][0]) / scaler[f][1]).alias(f) for f in order])
 
 
 def against_others(values: DataFrame, value: str, out: str) -> DataFrame:

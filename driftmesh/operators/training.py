@@ -215,9 +215,13 @@ def local_optimum(samples: DataFrame, pi: DataFrame | None = None, reg: float =
     sizes = samples.groupBy("node_id").agg(F.count("*").alias("n"))
     share = sizes.withColumn("pi", F.lit(1.0)) if pi is None else sizes.join(pi, "node_id")
     total = share.agg(F.sum("pi")).head()[0]
-    rows = samples.join(share.select("node_id", (F.col("pi") / total / F.col("n")).alias("w")), "node_id").select("node_id", "label", "x", "w", array_to_vector("x").alias("features"))
+    # the library gives a constant column, such as the bias, no weight; a reflection, which changes no norm, leaves none constant
+    turned = F.transform("x", lambda v: v - F.col("twice") / F.size("x"))
+    rows = samples.join(share.select("node_id", (F.col("pi") / total / F.col("n")).alias("w")), "node_id").withColumn("twice", 2 * F.aggregate("x", F.lit(0.0), lambda t, v: t + v))
+    rows = rows.select("label", "w", array_to_vector(turned).alias("features"))
     model = LogisticRegression(family="multinomial", labelCol="label", weightCol="w", fitIntercept=False, standardization=False, regParam=reg, maxIter=rounds, tol=1e-10).fit(rows)
     theta = model.coefficientMatrix.toArray()
+    theta = theta - 2 * theta.mean(axis=1, keepdims=True)
     classes = samples.sparkSession.createDataFrame([(c, [float(v) for v in row]) for c, row in enumerate(theta)], "cls int, t array<double>")
     f_star = global_ce(samples, classes).head().ce + 0.5 * reg * float((theta * theta).sum())
     return classes, float(model.summary.objectiveHistory[-1]), float(f_star)

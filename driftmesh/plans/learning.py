@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import attacks, features, graph, mixing, rounds, simulate, training
+from ..operators import attacks, experiment, features, graph, mixing, rounds, simulate, training
 from ..sources import tables
 from . import base
 from .base import coords, register, tidy
@@ -683,3 +683,94 @@ def simulated_runs(spark, sf):
     grid = reporting.grid(spark, graph=["complete", "random_regular"], attack=["sign_flip", "inner_product"], seed=[0], alg=["filtered", "median", "trimmed"])
     got = simulate.simulate(grid, base.frame(spark, sf), rounds=8)
     return got.select("graph", "attack", "seed", "alg", "k", tidy("test_acc").alias("test_acc"), tidy("c_unif").alias("c_unif"))
+
+
+ROUND_FEATURES = ("cos_g", "log_norm_ratio", "margin", "stable_rank", "acc", "cos_gbar", "log_dev_norm", "ce_diff_nbr", "log_alpha")
+
+
+@register("edge_feature_table")
+def edge_feature_table(spark, sf):
+    """The nine features of every edge of a round of half steps."""
+    samples, theta = base.frame(spark, sf), _theta(spark, sf)
+    grads = training.gradient(samples, theta)
+    steps = V.wide_form(grads.join(theta.select("node_id", "cls", F.posexplode("t").alias("c", "tv")), ["node_id", "cls", "c"]).select("node_id", "cls", "c", (F.col("tv") - 0.4 * F.col("g")).alias("v")), "node_id", "cls", out="t")
+    got = features.edge_features(base.edges(spark), samples, theta, steps, grads, 10, 0.4)
+    return got.select("src", "dst", *[tidy(c).alias(c) for c in ROUND_FEATURES])
+
+
+def _small(**how):
+    return simulate.Config(rounds=8, batch=8, reg=0.1, **how)
+
+
+def _edges_of_runs(spark, sf, attacks_=("sign_flip", "inner_product"), splits=tuple(simulate.SPLITS)):
+    samples = base.frame(spark, sf)
+    proj = experiment.projection_constants(spark, samples, ["complete"], _small())
+    return proj, experiment.labelled_edges(spark, samples, proj, _small(), attacks_, splits=splits)
+
+
+@register("proj_const_run")
+def proj_const_run(spark, sf):
+    got = experiment.projection_constants(spark, base.frame(spark, sf), ["complete", "random_regular"], _small())
+    return spark.createDataFrame([(g, round(v, 4)) for g, v in sorted(got.items())], "graph string, proj_const double")
+
+
+@register("labelled_edges")
+def labelled_edges(spark, sf):
+    _, edges = _edges_of_runs(spark, sf)
+    return edges.select("graph", "split", "atk_id", "grp", "y", *[F.round(f, 4).alias(f) for f in ROUND_FEATURES])
+
+
+@register("scaled_edges")
+def scaled_edges(spark, sf):
+    _, edges = _edges_of_runs(spark, sf, splits=("train", "test"))
+    got = features.scale(edges, features.fit_scaler(edges.where("split = 'train'")))
+    return got.select(*[F.round(c, 4).alias(c) if t == "double" else c for c, t in got.dtypes])
+
+
+@register("leave_one_attack_out")
+def leave_one_attack_out(spark, sf):
+    """Each attack is left out of training once and tested on."""
+    samples, out = base.frame(spark, sf), []
+    kinds = ("sign_flip", "gaussian", "inner_product")
+    proj = experiment.projection_constants(spark, samples, ["complete"], _small())
+    for left in kinds:
+        edges = experiment.labelled_edges(spark, samples, proj, _small(), tuple(a for a in kinds if a != left), (left,)).cache()
+        got = experiment.fit(edges, proj["complete"], _small(), (1.0,), 2)
+        out.append((left, round(got.metrics["roc_auc"], 4), round(got.metrics["avg_prec"], 4)))
+        edges.unpersist()
+    return spark.createDataFrame(out, "left_out string, roc_auc double, avg_prec double")
+
+
+_cycles: dict = {}
+
+
+def _cycle(spark, sf):
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _cycles:
+        train, system, permute = experiment.experiments(_small(), _small())["tm_3_baseline"]
+        _cycles[key] = experiment.run_cycle(spark, base.frame(spark, sf), train, system, ["complete", "random_regular"], ["sign_flip", "inner_product"], [111, 333], permute=permute, grid=(0.1, 1.0))
+    return _cycles[key]
+
+
+def _rounded(df):
+    return df.select(*[F.round(c, 4).alias(c) if t == "double" else c for c, t in df.dtypes])
+
+
+@register("clf_metrics")
+def clf_metrics(spark, sf):
+    return _rounded(_cycle(spark, sf)["clf_metrics"])
+
+
+@register("sys_sim")
+def sys_sim(spark, sf):
+    return _rounded(_cycle(spark, sf)["sys_sim"])
+
+
+@register("sys_metrics")
+def sys_metrics(spark, sf):
+    return _rounded(_cycle(spark, sf)["sys_metrics"])
+
+
+@register("test_accuracy")
+def test_accuracy(spark, sf):
+    return _rounded(_cycle(spark, sf)["test_accuracy"])

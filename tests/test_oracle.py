@@ -44,6 +44,6 @@ def test_same_rows(spark, sf, duck, name):
                 assert x == y or abs(float(x) - float(y)) < 2e-5
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL) - {"simulated_runs", "topology_study", "model_table"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_runs(spark, sf, name):
     assert catalog.QUERIES[name](spark, sf).count() > 0
