@@ -1,4 +1,12 @@
-"""A training corpus from ``documents``: judged, deduplicated, decontaminated, masked, mixed."""
+"""A training corpus from ``documents``: judged, deduplicated, decontaminated, masked, mixed.
+
+Each stage reads its predecessor's rows from the shared folder and works on all
+of them. Null and empty texts fail the quality rules, so later stages see them
+only when they are run alone; each stage's own docstring says what it does with
+nulls in any column, very long texts, ties, repeated rows, rows of one id, extra
+columns of clashing names, and empty tables (which stay empty). Columns that no
+stage names are passed on.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +23,7 @@ STAGES = [
     ("mixing", mixing.stage),
 ]
 
-#: The tagger's spans and the alignment can't be said in SQL; the tests hold run() against brute force.
+#: The tagger's spans and the alignment can't be said in SQL; tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
