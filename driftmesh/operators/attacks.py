@@ -16,7 +16,7 @@ def sign_flip(steps: DataFrame, scale: float = 1.0) -> DataFrame:
 def label_flip(samples: DataFrame, shifts: DataFrame, classes: int) -> DataFrame:
     """Labels of attackers' samples moved by the attacker's shift (node_id, shift); others keep theirs."""
     moved = F.pmod(F.col("label") + F.coalesce("shift", F.lit(0)), F.lit(classes))
-    return samples.join(F.broadcast(shifts), "node_id", "left").withColumn("label", moved.cast("int")).drop("shift")
+    return samples.join(shifts, "node_id", "left").withColumn("label", moved.cast("int")).drop("shift")
 
 
 def gaussian(messages: DataFrame, seed: int = 11) -> DataFrame:
@@ -36,8 +36,8 @@ def z_of(n: int, m: int) -> float:
 def z_table(edges: DataFrame, nodes: DataFrame) -> list[tuple[int, int, int, float]]:
     """(node_id, n, m, z) of each attacker: n its degree + 1, m its attacking neighbours + 1."""
     far = nodes.select(F.col("node_id").alias("dst"), "is_byz")
-    near = edges.where("src <> dst").join(F.broadcast(far), "dst").groupBy(F.col("src").alias("node_id")).agg((F.count("*") + 1).alias("n"), (F.count_if("is_byz") + 1).alias("m"))
-    rows = near.join(F.broadcast(nodes.where("is_byz").select("node_id")), "node_id", "left_semi").collect()
+    near = edges.where("src <> dst").join(far, "dst").groupBy(F.col("src").alias("node_id")).agg((F.count("*") + 1).alias("n"), (F.count_if("is_byz") + 1).alias("m"))
+    rows = near.join(nodes.where("is_byz").select("node_id"), "node_id", "left_semi").collect()
     return sorted((r.node_id, r.n, r.m, z_of(r.n, r.m)) for r in rows)
 
 
@@ -45,8 +45,8 @@ def honest_neighbours(edges: DataFrame, nodes: DataFrame, messages: DataFrame) -
     """src (attacker), dst (honest), c, and the messages' columns."""
     attackers = nodes.where("is_byz").select(F.col("node_id").alias("src"))
     honest = nodes.where("NOT is_byz").select(F.col("node_id").alias("dst"))
-    inner = edges.where("src <> dst").join(F.broadcast(attackers), "src", "left_semi").join(F.broadcast(honest), "dst", "left_semi")
-    return messages.withColumnRenamed("node_id", "dst").join(F.broadcast(inner.select("src", "dst")), "dst")
+    inner = edges.where("src <> dst").join(attackers, "src", "left_semi").join(honest, "dst", "left_semi")
+    return messages.withColumnRenamed("node_id", "dst").join(inner.select("src", "dst"), "dst")
 
 
 def little_is_enough(edges: DataFrame, nodes: DataFrame, messages: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def little_is_enough(edges: DataFrame, nodes: DataFrame, messages: DataFrame) ->
     spark = messages.sparkSession
     z = spark.createDataFrame([(i, z) for i, _, _, z in z_table(edges, nodes)], "node_id int, z double")
     got = honest_neighbours(edges, nodes, messages).groupBy(F.col("src").alias("node_id"), "c").agg(F.count("*").alias("k"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"))
-    return got.where("k >= 2").join(F.broadcast(z), "node_id").select("node_id", "c", (F.col("mean") - F.col("z") * F.col("sd")).alias("v"))
+    return got.where("k >= 2").join(z, "node_id").select("node_id", "c", (F.col("mean") - F.col("z") * F.col("sd")).alias("v"))
 
 
 def inner_product(edges: DataFrame, nodes: DataFrame, steps: DataFrame, epsilon: float = 0.5) -> DataFrame:

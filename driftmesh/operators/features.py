@@ -42,7 +42,7 @@ def consensus(edges: DataFrame) -> DataFrame:
     med = left_out_median(d, "v", ["src", "c"])
     sums = med.groupBy("src", "dst").agg(F.sum(F.col("v") * F.col("med")).alias("dot"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("nv"), F.sqrt(F.sum(F.col("med") * F.col("med"))).alias("nm"), F.sqrt(F.sum((F.col("v") - F.col("med")) * (F.col("v") - F.col("med")))).alias("dev"))
     typical = sums.groupBy("src").agg(F.median("dev").alias("typical"), F.count("*").alias("m"))
-    both = sums.join(F.broadcast(typical), "src")
+    both = sums.join(typical, "src")
     few = F.col("m") < 3
     return both.select("src", "dst", F.when(few, 0.0).otherwise(F.col("dot") / (F.col("nv") * F.col("nm") + EPS)).alias("cos_gbar"), F.when(few, 0.0).otherwise(F.log(F.col("dev") / (F.col("typical") + EPS) + EPS)).alias("log_dev_norm"))
 
@@ -51,7 +51,7 @@ def class_weights(samples: DataFrame) -> DataFrame:
     """node_id, label, n, weight: 1 / (classes present * the class's samples), so each class weighs alike."""
     n = samples.groupBy("node_id", "label").agg(F.count("*").alias("n"))
     present = n.groupBy("node_id").agg(F.count("*").alias("classes"))
-    return n.join(F.broadcast(present), "node_id").select("node_id", "label", "n", (1.0 / (F.col("classes") * F.col("n"))).alias("weight"))
+    return n.join(present, "node_id").select("node_id", "label", "n", (1.0 / (F.col("classes") * F.col("n"))).alias("weight"))
 
 
 def shift_margin(sums: DataFrame, columns: DataFrame, classes: int) -> DataFrame:

@@ -111,7 +111,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def _with_degrees(edges: DataFrame) -> DataFrame:
     d = degrees(edges)
-    return edges.join(F.broadcast(d.select(F.col("node_id").alias("src"), F.col("deg").alias("d_src"))), "src").join(F.broadcast(d.select(F.col("node_id").alias("dst"), F.col("deg").alias("d_dst"))), "dst")
+    return edges.join(d.select(F.col("node_id").alias("src"), F.col("deg").alias("d_src")), "src").join(d.select(F.col("node_id").alias("dst"), F.col("deg").alias("d_dst")), "dst")
 
 
 def with_self(weights: DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def mh_weights_for(edges: DataFrame, pi: DataFrame) -> DataFrame:
 
     A node of pi without an edge raises an error.
     """
-    both = _with_degrees(edges).join(F.broadcast(pi.select(F.col("node_id").alias("src"), F.col("pi").alias("pi_src"))), "src").join(F.broadcast(pi.select(F.col("node_id").alias("dst"), F.col("pi").alias("pi_dst"))), "dst")
+    both = _with_degrees(edges).join(pi.select(F.col("node_id").alias("src"), F.col("pi").alias("pi_src")), "src").join(pi.select(F.col("node_id").alias("dst"), F.col("pi").alias("pi_dst")), "dst")
     accept = F.least(F.lit(1.0), (F.col("pi_dst") / F.col("d_dst")) / (F.col("pi_src") / F.col("d_src")))
     out = with_self(both.select("src", "dst", (accept / F.col("d_src")).alias("w")))
     lone = pi.join(edges, pi.node_id == edges.src, "left_anti").select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.raise_error(F.lit("a node has no neighbour")).cast("double").alias("w"))
@@ -140,7 +140,7 @@ def mh_weights_for(edges: DataFrame, pi: DataFrame) -> DataFrame:
 def induced(edges: DataFrame, keep: DataFrame) -> DataFrame:
     """Edges with both ends among keep.node_id."""
     ids = keep.select("node_id")
-    return edges.join(F.broadcast(ids), F.col("src") == F.col("node_id"), "left_semi").join(F.broadcast(ids), F.col("dst") == F.col("node_id"), "left_semi")
+    return edges.join(ids, F.col("src") == F.col("node_id"), "left_semi").join(ids, F.col("dst") == F.col("node_id"), "left_semi")
 
 
 def is_connected(edges: DataFrame, keep: DataFrame) -> DataFrame:
@@ -156,20 +156,20 @@ def is_connected(edges: DataFrame, keep: DataFrame) -> DataFrame:
         if before.join(labels, ["node_id", "label"], "left_anti").isEmpty():
             break
     first = labels.agg(F.min("label").alias("label"))
-    return labels.join(F.broadcast(first), "label", "left_semi").agg(F.count("*").alias("n_reached")).select(F.lit(n).cast("long").alias("n_nodes"), "n_reached", (F.col("n_reached") == n).alias("connected"))
+    return labels.join(first, "label", "left_semi").agg(F.count("*").alias("n_reached")).select(F.lit(n).cast("long").alias("n_nodes"), "n_reached", (F.col("n_reached") == n).alias("connected"))
 
 
 def attacker_mass(weights: DataFrame, nodes: DataFrame) -> DataFrame:
     """node_id, byz_mass, hon_mass, of honest nodes; 0 without such neighbours."""
     far = nodes.select(F.col("node_id").alias("dst"), "is_byz")
-    mass = weights.where("src <> dst").join(F.broadcast(far), "dst").groupBy(F.col("src").alias("node_id")).agg(F.sum(F.when(F.col("is_byz"), F.col("w")).otherwise(0.0)).alias("byz_mass"), F.sum(F.when(~F.col("is_byz"), F.col("w")).otherwise(0.0)).alias("hon_mass"))
+    mass = weights.where("src <> dst").join(far, "dst").groupBy(F.col("src").alias("node_id")).agg(F.sum(F.when(F.col("is_byz"), F.col("w")).otherwise(0.0)).alias("byz_mass"), F.sum(F.when(~F.col("is_byz"), F.col("w")).otherwise(0.0)).alias("hon_mass"))
     return nodes.where("NOT is_byz").select("node_id").join(mass, "node_id", "left").fillna(0.0, ["byz_mass", "hon_mass"])
 
 
 def abstainers(edges: DataFrame, nodes: DataFrame, needs: dict[str, int]) -> DataFrame:
     """attack, node_id, n_honest, abstain: attackers with too few honest neighbours behave honestly."""
     far = nodes.select(F.col("node_id").alias("dst"), F.col("is_byz").alias("far_byz"))
-    near = edges.join(F.broadcast(far), "dst").groupBy(F.col("src").alias("node_id")).agg(F.count_if(~F.col("far_byz")).alias("n_honest"))
+    near = edges.join(far, "dst").groupBy(F.col("src").alias("node_id")).agg(F.count_if(~F.col("far_byz")).alias("n_honest"))
     attackers = nodes.where("is_byz").select("node_id").join(near, "node_id", "left").fillna(0, ["n_honest"])
     table = F.explode(F.create_map(*[F.lit(x) for pair in needs.items() for x in pair])).alias("attack", "need")
     return attackers.select("node_id", "n_honest", table).select("attack", "node_id", "n_honest", (F.col("n_honest") < F.col("need")).alias("abstain"))
@@ -178,14 +178,14 @@ def abstainers(edges: DataFrame, nodes: DataFrame, needs: dict[str, int]) -> Dat
 def trim_count(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """q: mean number of attackers next to an honest node, rounded up; nodes without any count."""
     bad = nodes.where("is_byz").select(F.col("node_id").alias("dst"))
-    counts = edges.join(F.broadcast(bad), "dst", "left_semi").groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("k"))
+    counts = edges.join(bad, "dst", "left_semi").groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("k"))
     return nodes.where("NOT is_byz").join(counts, "node_id", "left").agg(F.ceil(F.avg(F.coalesce("k", F.lit(0)))).cast("int").alias("q"))
 
 
 def effective_mixing(weights: DataFrame, nodes: DataFrame) -> DataFrame:
     """src, dst, w of the honest part: off-diagonals times (1 - gamma of src), diagonals complete; nodes has gamma."""
     honest = nodes.where("NOT is_byz")
-    inner = induced(weights.where("src <> dst"), honest).join(F.broadcast(honest.select(F.col("node_id").alias("src"), "gamma")), "src")
+    inner = induced(weights.where("src <> dst"), honest).join(honest.select(F.col("node_id").alias("src"), "gamma"), "src")
     off = inner.select("src", "dst", ((1 - F.col("gamma")) * F.col("w")).alias("w"))
     lone = honest.select(F.col("node_id").alias("src")).join(off, "src", "left_anti").select("src", F.col("src").alias("dst"), F.lit(1.0).alias("w"))
     return with_self(off).unionByName(lone)
@@ -201,7 +201,7 @@ def stationary(nodes: DataFrame) -> DataFrame:
 def detailed_balance(mixing: DataFrame, pi: DataFrame) -> DataFrame:
     """max_gap: largest |pi_i w_ij - pi_j w_ji|; max_row: largest |row sum - 1|."""
     a = pi.select(F.col("node_id").alias("src"), F.col("pi").alias("pi_src"))
-    flow = mixing.join(F.broadcast(a), "src").select("src", "dst", (F.col("pi_src") * F.col("w")).alias("flow"))
+    flow = mixing.join(a, "src").select("src", "dst", (F.col("pi_src") * F.col("w")).alias("flow"))
     back = flow.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("flow").alias("back"))
     gap = flow.join(back, ["src", "dst"], "left").agg(F.max(F.abs(F.col("flow") - F.coalesce("back", F.lit(0.0)))).alias("max_gap"))
     rows = mixing.groupBy("src").agg(F.sum("w").alias("total")).agg(F.max(F.abs(F.col("total") - 1)).alias("max_row"))
@@ -213,7 +213,7 @@ def nu_entries(weights: DataFrame, pi: DataFrame, nodes: DataFrame) -> DataFrame
     honest = nodes.where("NOT is_byz")
     inner = induced(weights.where("src <> dst"), honest)
     own = honest.select("node_id", "gamma").join(pi, "node_id").select(F.col("node_id").alias("src"), "gamma", F.col("pi"))
-    return inner.join(F.broadcast(own), "src").select("src", "dst", (F.col("pi") * F.col("w") * F.col("w") * F.col("gamma") * (1 - F.col("gamma"))).alias("q"))
+    return inner.join(own, "src").select("src", "dst", (F.col("pi") * F.col("w") * F.col("w") * F.col("gamma") * (1 - F.col("gamma"))).alias("q"))
 
 
 def nu_bound(weights: DataFrame, pi: DataFrame, nodes: DataFrame) -> DataFrame:

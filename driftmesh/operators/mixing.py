@@ -91,7 +91,7 @@ def coordinate_median(weights: DataFrame, messages: DataFrame) -> DataFrame:
     """(1 - w_ii) times the neighbours' median plus w_ii times the own value."""
     med = received(weights.where("src <> dst"), messages).groupBy(F.col("src").alias("node_id"), "c").agg(F.median("v").alias("med"))
     own = weights.where("src = dst").select(F.col("src").alias("node_id"), F.col("w").alias("own_w"))
-    return messages.withColumnRenamed("v", "own").join(med, ["node_id", "c"]).join(F.broadcast(own), "node_id").select("node_id", "c", ((1 - F.col("own_w")) * F.col("med") + F.col("own_w") * F.col("own")).alias("v"))
+    return messages.withColumnRenamed("v", "own").join(med, ["node_id", "c"]).join(own, "node_id").select("node_id", "c", ((1 - F.col("own_w")) * F.col("med") + F.col("own_w") * F.col("own")).alias("v"))
 
 
 def outlier_rounds(weights: DataFrame, messages: DataFrame, q: int) -> DataFrame:

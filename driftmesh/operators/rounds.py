@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def consensus_distance(models: DataFrame, pi: DataFrame) -> DataFrame:
     """c_pi, c_unif: weighted squared distances of models (node_id, c, v) to their pi-mean."""
-    own = models.join(F.broadcast(pi), "node_id")
+    own = models.join(pi, "node_id")
     mean = own.groupBy("c").agg((F.sum(F.col("pi") * F.col("v")) / F.sum("pi")).alias("mean"))
     d = own.join(mean, "c").groupBy("node_id").agg(F.first("pi").alias("pi"), F.sum((F.col("v") - F.col("mean")) * (F.col("v") - F.col("mean"))).alias("d2"))
     return d.agg(F.sum(F.col("pi") * F.col("d2")).alias("c_pi"), F.avg("d2").alias("c_unif"))
@@ -16,7 +16,7 @@ def consensus_distance(models: DataFrame, pi: DataFrame) -> DataFrame:
 
 def optimality_gap(models: DataFrame, pi: DataFrame, goal: DataFrame) -> DataFrame:
     """opt_gap: distance of the pi-mean from the goal (c, v)."""
-    mean = models.join(F.broadcast(pi), "node_id").groupBy("c").agg((F.sum(F.col("pi") * F.col("v")) / F.sum("pi")).alias("mean"))
+    mean = models.join(pi, "node_id").groupBy("c").agg((F.sum(F.col("pi") * F.col("v")) / F.sum("pi")).alias("mean"))
     return mean.join(goal.withColumnRenamed("v", "goal"), "c").agg(F.sqrt(F.sum((F.col("mean") - F.col("goal")) * (F.col("mean") - F.col("goal")))).alias("opt_gap"))
 
 

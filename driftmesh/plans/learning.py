@@ -327,7 +327,8 @@ def robust_scale(spark, sf):
 
 @register("whitened_pca")
 def whitened_pca(spark, sf):
-    got = training.whitened_pca(base.frame(spark, sf)).select("vec_id", F.posexplode("z").alias("j", "z"))
+    rows = tables.split(base.frame(spark, sf))
+    got = training.whitened_pca(rows, train="split = 'train'").join(rows.where("split = 'train'").select("vec_id"), "vec_id").select("vec_id", F.posexplode("z").alias("j", "z"))
     return got.groupBy("j").agg(tidy(F.avg("z")).alias("mean"), tidy(F.var_samp("z")).alias("variance"))
 
 

@@ -44,6 +44,9 @@ def test_features_of_loop_and_tables_agree(spark):
         for j, row in zip(near[i], want, strict=True):
             assert np.allclose([got[i, j][f] for f in features.FEATURES], row, atol=1e-7), (i, j)
         assert len(near[i]) > 2 or (want[:, 5:8] == 0).all()
+        for j, row in zip(near[i], want, strict=True):
+            sv = np.linalg.svd(before[i] - after[j], compute_uv=False)
+            assert row[3] == pytest.approx((sv**2).sum() / sv[0] ** 2)
 
 
 def test_margin_sees_a_shift_of_labels():

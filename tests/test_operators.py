@@ -173,6 +173,12 @@ def test_vector_text(spark):
     assert [r.v for r in df.select(reporting.parse_vector(F.col("t")).alias("v")).collect()] == [[0.1, 2.0, 0.3], []]
 
 
+def test_noise_is_standard_normal(spark):
+    zero = spark.range(20_000).select((F.col("id") % 20).cast("int").alias("node_id"), F.floor(F.col("id") / 20).cast("int").alias("c"), F.lit(0.0).alias("v"))
+    v = np.array([r.v for r in attacks.gaussian(zero).select("v").collect()])
+    assert len(v) == 20_000 and abs(v.mean()) < 0.03 and abs(v.std() - 1) < 0.03 and abs((v**3).mean()) < 0.1 and abs((v**4).mean() - 3) < 0.25
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
