@@ -9,7 +9,10 @@ vocabulary is loaded), so no merge crosses such a place whatever surrounds it.
 Where the overlap holds no such place it is doubled, in the end to the text's
 end, and so the count is always the library's own.
 
-Null and empty texts count 0 tokens.
+Null and empty texts count 0 tokens; a null id stays null. Repeated rows are each
+counted; an empty table gives an empty table. Only the id and the text are read,
+so no other column can clash. Of several stable places the first counts. A text
+of any length takes memory for one chunk's pieces at a time.
 """
 
 from __future__ import annotations
