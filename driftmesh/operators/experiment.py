@@ -112,11 +112,11 @@ def theory(spark, samples: DataFrame, fitted: dict[str, Fitted], attacks: list[s
     return reporting.grid(spark, graph=list(fitted)).groupBy("graph").applyInPandas(one, schema)
 
 
-def run_cycle(spark, samples: DataFrame, train: Config, system: Config, graphs: list[str], attacks: list[str], seeds: list[int], algorithms: tuple[str, ...] = simulate.ALGORITHMS, permute: bool = False, grid: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0)) -> dict[str, DataFrame]:
+def run_cycle(spark, samples: DataFrame, train: Config, system: Config, graphs: list[str], attacks: list[str], seeds: list[int], algorithms: tuple[str, ...] = simulate.ALGORITHMS, permute: bool = False, grid: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0), folds: int = 5) -> dict[str, DataFrame]:
     """clf_metrics, sys_sim (of the first seed), sys_metrics and test_accuracy (mean and deviation over seeds); with permute each graph's classifier filters on the next graph."""
     proj = projection_constants(spark, samples, graphs, train)
     edges = labelled_edges(spark, samples, proj, train, tuple(attacks)).cache()
-    fitted = {g: fit(edges.where(F.col("graph") == g), proj[g], system, grid) for g in graphs}
+    fitted = {g: fit(edges.where(F.col("graph") == g), proj[g], system, grid, folds) for g in graphs}
     on = dict(zip(graphs, [*graphs[1:], graphs[0]], strict=True)) if permute else None
     runs = simulate.simulate(reporting.grid(spark, graph=graphs, attack=attacks, seed=seeds, alg=list(algorithms)), samples, {g: (f.filter(), f.proj_const) for g, f in fitted.items()}, system, on)
     rows = [(g, f.proj_const, json.dumps({**f.op_point, **f.metrics}, default=float)) for g, f in fitted.items()]
