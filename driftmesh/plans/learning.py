@@ -728,7 +728,6 @@ def scaled_edges(spark, sf):
     return got.select(*[F.round(c, 4).alias(c) if t == "double" else c for c, t in got.dtypes])
 
 
-@register("leave_one_attack_out")
 def leave_one_attack_out(spark, sf):
     """Each attack is left out of training once and tested on."""
     samples, out = base.frame(spark, sf), []
@@ -758,21 +757,17 @@ def _rounded(df):
     return df.select(*[F.round(c, 4).alias(c) if t == "double" else c for c, t in df.dtypes])
 
 
-@register("clf_metrics")
 def clf_metrics(spark, sf):
     return _rounded(_cycle(spark, sf)["clf_metrics"])
 
 
-@register("sys_sim")
 def sys_sim(spark, sf):
     return _rounded(_cycle(spark, sf)["sys_sim"])
 
 
-@register("sys_metrics")
 def sys_metrics(spark, sf):
     return _rounded(_cycle(spark, sf)["sys_metrics"])
 
 
-@register("test_accuracy")
 def test_accuracy(spark, sf):
     return _rounded(_cycle(spark, sf)["test_accuracy"])

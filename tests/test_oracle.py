@@ -44,8 +44,8 @@ def test_same_rows(spark, sf, duck, name):
                 assert x == y or abs(float(x) - float(y)) < 2e-5
 
 
-#: Minutes of model fitting each; tests/test_experiment.py runs a whole cycle on small data.
-LONG = {"model_table", "clf_metrics", "sys_sim", "sys_metrics", "test_accuracy", "leave_one_attack_out"}
+#: Minutes of model fitting.
+LONG = {"model_table"}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL) - LONG))
