@@ -151,6 +151,24 @@ def test_runs_learn_and_filtering_helps(spark):
     assert simulate.simulate(grid, samples, rounds=3, n=8, b=2).count() == 6
 
 
+def test_a_grid_of_runs_is_one_small_table_and_a_task_for_each_run(spark):
+    grid = reporting.grid(spark, graph=["complete", "random_regular"], attack=["sign_flip"], seed=[0, 1], alg=["median", "filtered"])
+    assert sorted(map(tuple, grid.collect())) == sorted((g, "sign_flip", s, a) for g in ("complete", "random_regular") for s in (0, 1) for a in ("median", "filtered"))
+    assert grid.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    rng = np.random.default_rng(6)
+    samples = spark.createDataFrame([(i, i % 3, rng.standard_normal(4).tolist()) for i in range(120)], "vec_id long, label int, x array<double>")
+    got = simulate.simulate(grid, samples, rounds=2, n=8, b=2)
+    assert got.rdd.getNumPartitions() == 8
+    rows = samples.orderBy("vec_id").toPandas()
+    x, y = np.column_stack([np.stack(rows["x"].to_numpy()), np.ones(120)]), rows["label"].to_numpy()
+    want = {r[:5]: r[5:16] for g, a, s, alg in map(tuple, grid.collect()) for r in simulate.run_one(g, a, s, alg, x, y, rounds=2, n=8, b=2)}
+    seen = {tuple(r)[:5]: tuple(r)[5:16] for r in got.collect()}
+    assert seen.keys() == want.keys() and all(np.allclose(seen[k], want[k]) for k in want)
+    s = simulate.State(simulate.Config(n=8, b=2, pi=tuple(np.arange(1, 9) / 36)), "complete", 0, x, y, np.zeros(8), 2)
+    for pi, theta in zip((np.full(6, 1 / 6), s.pi), s.goals(), strict=True):
+        assert np.abs(sum(p * simulate.softmax_gradient(*s.shard(i), theta, 0.01)[1] for p, i in zip(pi, s.honest, strict=True))).max() < 1e-9
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a", 1, 0.5), ("b", 2, None)], "graph string, k int, acc double")
     for name in ("one", "two"):
