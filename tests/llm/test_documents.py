@@ -707,6 +707,41 @@ def test_mixed_buckets_are_finished(monkeypatch, frame, small):
     assert len({got[2 * g] for g in range(40)}) == 40 and (lost == [] if small == 256 else len(lost) <= 2)
 
 
+def test_split_buckets_lose_no_pair(monkeypatch, frame):
+    monkeypatch.setattr(neardup, "SMALL", 8)
+    # of the last 30 words a pair has 12 in common, never five in a row: nothing but the passage of all gives it a sample
+    shared, rows = prose(999, 70), []
+    for g in range(30):
+        rows += [(2 * g + k, shared + " " + " ".join(f"own{g}x{i}" if i % 5 in (1, 3) else f"new{g}x{k}x{i}" for i in range(30))) for k in (0, 1)]
+    got = {r.doc_id: r.class_id for r in neardup.classes(frame(*rows)).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
+@pytest.mark.parametrize("levels", [0, 1])
+def test_large_buckets_against_brute_force(spark, monkeypatch, levels):
+    monkeypatch.setattr(neardup, "SMALL", 5)
+    monkeypatch.setattr(neardup, "LEVELS", levels)
+    rng = random.Random(8)
+    texts = [[rng.randrange(1, 30) for _ in range(rng.randrange(1, 40))] for _ in range(25)]
+    for _ in range(75):
+        own = list(rng.choice(texts))
+        for _ in range(rng.randrange(1, 6)):
+            own[rng.randrange(len(own))] = rng.randrange(1, 30)
+        texts.append(own)
+    texts = [list(t) for t in {tuple(t) for t in texts}]
+    words = spark.createDataFrame([(i, np.array(t, np.uint64).tobytes()) for i, t in enumerate(texts)], "fp long, seq binary")
+    links = {(r.a, r.b) for r in neardup.links_of(words.selectExpr("0L AS bucket", "fp"), words, 0.8).collect()}
+    want = linked_pairs(dict(enumerate(texts)))
+    ids = range(len(texts))
+    assert links <= want and roots(ids, links) == roots(ids, want) and len(want) > 50
+
+
+def test_a_repeated_passage_leaves_other_shingles_as_they_are():
+    w = np.arange(1, 101, dtype=np.uint64)
+    once, twice = (set(neardup.shingles(x).tolist()) for x in (w, np.concatenate([w, w[:8]])))
+    assert once <= twice and len(twice) == 104
+
+
 def test_large_buckets_go_on_to_blocks(monkeypatch, frame):
     monkeypatch.setattr(neardup, "SMALL", 4)
     monkeypatch.setattr(neardup, "LEVELS", 0)
