@@ -729,7 +729,7 @@ def test_large_buckets_against_brute_force(spark, monkeypatch, levels):
             own[rng.randrange(len(own))] = rng.randrange(1, 30)
         texts.append(own)
     texts = [list(t) for t in {tuple(t) for t in texts}]
-    words = spark.createDataFrame([(i, np.array(t, np.uint64).tobytes()) for i, t in enumerate(texts)], "fp long, seq binary")
+    words = spark.createDataFrame([(i, np.array(t, np.uint32).tobytes()) for i, t in enumerate(texts)], "fp long, seq binary")
     links = {(r.a, r.b) for r in neardup.links_of(words.selectExpr("0L AS bucket", "fp"), words, 0.8).collect()}
     want = linked_pairs(dict(enumerate(texts)))
     ids = range(len(texts))
