@@ -717,6 +717,14 @@ def test_split_buckets_lose_no_pair(monkeypatch, frame):
     assert got == {i: i - i % 2 for i, _ in rows}
 
 
+def test_the_stage_keeps_one_of_each_pair_of_a_split_bucket(monkeypatch, spark, frame):
+    monkeypatch.setattr(neardup, "SMALL", 8)
+    shared, rows = prose(999, 70), []
+    for g in range(12):
+        rows += [(2 * g + k, shared + " " + " ".join(f"own{g}x{i}" if i % 5 in (1, 3) else f"new{g}x{k}x{i}" for i in range(30))) for k in (0, 1)]
+    assert sorted(r.doc_id for r in neardup.stage(spark, frame(*rows), "").collect()) == list(range(0, 24, 2))
+
+
 @pytest.mark.parametrize("levels", [0, 1])
 def test_large_buckets_against_brute_force(spark, monkeypatch, levels):
     monkeypatch.setattr(neardup, "SMALL", 5)
