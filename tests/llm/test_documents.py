@@ -744,6 +744,48 @@ def test_large_buckets_against_brute_force(spark, monkeypatch, levels):
     assert links <= want and roots(ids, links) == roots(ids, want) and len(want) > 50
 
 
+def test_near_copies_that_share_many_word_pairs_meet_once(spark, monkeypatch):
+    # 40 texts, of no two linked: 60 words of one base, the others their own
+    rng = random.Random(5)
+    base, words = list(range(1, 81)), []
+    for i in range(40):
+        own = list(base)
+        for at in rng.sample(range(80), 20):
+            own[at] = 1000 * (i + 1) + at
+        words.append((i, np.array(own, np.uint32).tobytes()))
+    words = spark.createDataFrame(words, "fp long, seq binary")
+    monkeypatch.setattr(neardup, "FEW", 3)
+    buckets, pairs = neardup.split(words.selectExpr("0L AS bucket", "fp", "fp AS cls"), words, 0.8)
+    met = {(a.fp, b.fp) for x in [buckets.collect()] for a in x for b in x if a.bucket == b.bucket and a.fp < b.fp} | {(r.a, r.b) for r in pairs.collect()}
+    # each text has some 30 shared word pairs among its first, but few buckets are left, and no pair that may be linked is lost
+    assert buckets.count() < 40 * 20
+    seqs = {r.fp: np.frombuffer(r.seq, np.uint32).tolist() for r in words.collect()}
+    for a in range(40):
+        for b in range(a + 1, 40):
+            assert (a, b) in met or edit_distance(seqs[a], seqs[b]) > 16
+
+
+def test_listed_pairs_against_brute_force(monkeypatch, spark):
+    monkeypatch.setattr(neardup, "MOST_BITS", 1 << 13)
+    monkeypatch.setattr(neardup, "MOST_SLOTS", 1 << 10)
+    monkeypatch.setattr(neardup, "MOST_LINKS", 3)
+    monkeypatch.setattr(neardup, "SMALL", 5)
+    rng = random.Random(9)
+    texts = []
+    for g in range(30):
+        own = [rng.randrange(1, 4000) for _ in range(rng.randrange(2, 60))]
+        for _ in range(4):
+            texts.append(list(own))
+            for _ in range(rng.randrange(1, 3 + len(own) // 9)):
+                texts[-1][rng.randrange(len(own))] = rng.randrange(1, 4000)
+    texts = [list(t) for t in {tuple(t) for t in texts}]
+    words = spark.createDataFrame([(i, np.array(t, np.uint32).tobytes()) for i, t in enumerate(texts)], "fp long, seq binary")
+    links = {(r.a, r.b) for r in neardup.links_of(words.selectExpr("0L AS bucket", "fp"), words, 0.8).collect()}
+    want = linked_pairs(dict(enumerate(texts)))
+    ids = range(len(texts))
+    assert links <= want and roots(ids, links) == roots(ids, want) and len(want) > 30
+
+
 def test_a_repeated_passage_leaves_other_shingles_as_they_are():
     w = np.arange(1, 101, dtype=np.uint64)
     once, twice = (set(neardup.shingles(x).tolist()) for x in (w, np.concatenate([w, w[:8]])))
