@@ -287,86 +287,96 @@ class Tagger:
                     self.w[k] -= (rate / (1 + n / 300) * (m[k] / (1 - 0.9**n)) / (np.sqrt(s[k] / (1 - 0.99**n)) + 1e-6)).astype(np.float32)
         return self
 
-    def states(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Outputs (time, 2, batch, hidden) of both ways, as ``one_way`` gives them, without what training needs. Both go on at once; a window's way back starts at its own end."""
+    def emitted(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Scores (time, tags, batch) of both ways, as ``scores`` gives them, without what training needs: a step's outputs are used at once and not kept. Both ways go on at once; a window's way back starts at its own end.
+
+        Gates lie one behind another, so that every operation runs over whole arrays.
+        Cells and outputs are held doubled, which is exact, and the weights behind them halved.
+        """
         h, (steps, batch) = self.hidden, ids.shape
-        table, mix = np.concatenate([self.w["xf"], self.w["xb"]]), np.stack([self.w["hf"], self.w["hb"]])
-        there, back = ids.astype(np.intp), ids[::-1].astype(np.intp) + N_CHARS
-        both = np.concatenate([there[:, None], back[:, None]], axis=1)
-        out = np.empty((steps, 2, batch, h), np.float32)
-        state, cell, z, y, th, part = (np.zeros((2, batch, k), np.float32) for k in (h, h, 4 * h, 4 * h, h, h))
-        i, f, o, g = (z[..., k * h : (k + 1) * h] for k in range(4))
+        gates = lambda w: w.reshape(-1, 4, h).transpose(1, 0, 2)
+        tables = np.concatenate([gates(self.w["xf"]), gates(self.w["xb"])], axis=1)
+        mix = np.stack([gates(self.w["hf"]), gates(self.w["hb"])], axis=1) / 2
+        out = [np.ascontiguousarray(self.w["out"][k * h : (k + 1) * h].T) / 2 for k in (0, 1)]
+        emit = np.empty((steps, N_TAGS, batch), np.float32)
+        emit[:] = self.w["bias"][:, None]
+        state, cell, th, more = (np.zeros((2, batch, h), np.float32) for _ in range(4))
+        z, y, part = np.empty((4, 2, batch, h), np.float32), np.empty((4, 2, batch, h), np.float32), np.empty((N_TAGS, batch), np.float32)
+        i, f, o, g = z
+        at = np.empty((2, batch), np.intp)
         first = steps - int(sizes.min())
         for t in range(steps):
-            table.take(both[t], axis=0, out=z, mode="clip")
+            at[0] = ids[t]
+            np.add(ids[steps - 1 - t], N_CHARS, out=at[1], dtype=np.intp)
+            for table, own in zip(tables, z, strict=True):
+                table.take(at, axis=0, out=own, mode="clip")
             z += np.matmul(state, mix, out=y)
             np.abs(z, out=y)
             y += 1
             z /= y
             # a gate is soft(z) / 2 + 1 / 2
-            np.multiply(cell, f, out=part)
-            cell += part
-            cell += g
-            np.multiply(g, i, out=part)
-            cell += part
+            z[:3] += 1
+            cell *= f
             cell *= 0.5
+            cell += np.multiply(g, i, out=more)
             if t < first:
                 cell[1] *= (sizes > steps - 1 - t)[:, None]
             np.abs(cell, out=th)
-            th += 1
+            th += 2
             np.divide(cell, th, out=th)
-            state = np.multiply(th, o, out=part)
-            state += th
-            state *= 0.5
-            out[t, 0], out[steps - 1 - t, 1] = state
-            state = part.copy()
-        return out
+            np.multiply(th, o, out=state)
+            emit[t] += np.matmul(out[0], state[0].T, out=part)
+            emit[steps - 1 - t] += np.matmul(out[1], state[1].T, out=part)
+        return emit
 
     def decode(self, windows: list[np.ndarray]) -> list[np.ndarray]:
         """The best tags of each window of codes (none empty, at most BATCH of them), by Viterbi."""
         sizes = np.ones(BATCH, np.int64)
         sizes[: len(windows)] = [len(w) for w in windows]
-        ids = np.zeros((int(sizes.max()), BATCH), np.uint8)
-        for j, w in enumerate(windows):
-            ids[: len(w), j] = w
-        steps, h = len(ids), self.hidden
-        both = self.states(ids, sizes)
-        emit = self.w["out"][:h].T @ both[:, 0].reshape(-1, h).T
-        emit += self.w["out"][h:].T @ both[:, 1].reshape(-1, h).T
-        emit += self.w["bias"][:, None]
-        tr = self.w["tr"] + self.barred
-        return self.viterbi(emit.reshape(N_TAGS, steps, BATCH), sizes, tr)[: len(windows)]
+        ids = np.zeros((BATCH, int(sizes.max())), np.uint8)
+        for own, w in zip(ids, windows, strict=False):
+            own[: len(w)] = w
+        emit = self.emitted(np.ascontiguousarray(ids.T), sizes)
+        return self.paths(emit, sizes, self.w["tr"] + self.barred)[: len(windows)]
 
     def viterbi(self, emit: np.ndarray, sizes: np.ndarray, tr: np.ndarray) -> list[np.ndarray]:
-        """emit: (tags, time, batch). No path starts inside a span; an inside follows only its own begin or inside. Of equal ones the smaller label's counts."""
-        _, steps, batch = emit.shape
+        """``paths`` of emit: (tags, time, batch), which stays as it is."""
+        return self.paths(emit.transpose(1, 0, 2).astype(np.float32, order="C"), sizes, tr)
+
+    def paths(self, best: np.ndarray, sizes: np.ndarray, tr: np.ndarray) -> list[np.ndarray]:
+        """The best tags by scores (time, tags, batch), in whose place the best paths' scores are put. No path starts inside a span; an inside follows only its own begin or inside. Of equal ones the smaller label's counts."""
+        steps, _, batch = best.shape
         heads, inner = np.array([0, *range(1, N_TAGS, 2)]), np.arange(2, N_TAGS, 2)
-        best = np.empty((steps, N_TAGS, batch), np.float32)
-        best[0] = emit[:, 0]
         best[0, 2::2] -= 1e4
-        to_head = np.ascontiguousarray(tr[:, heads])[:, :, None].astype(np.float32)
-        from_begin, from_inner = (tr[k, inner][:, None].astype(np.float32) for k in (inner - 1, inner))
-        from_, top, other = np.empty((N_TAGS, len(heads), batch), np.float32), np.empty((len(heads), batch), np.float32), np.empty((len(inner), batch), np.float32)
+        tr = tr.astype(np.float32)
+        to_head = np.ascontiguousarray(tr[:, heads])[:, :, None]
+        from_begin, from_inner = (tr[k, inner][:, None] for k in (inner - 1, inner))
+        from_, top, begun, other = np.empty((N_TAGS, len(heads), batch), np.float32), np.empty((len(heads), batch), np.float32), *np.empty((2, len(inner), batch), np.float32)
+        #: Whether the best path to "outside" comes from a span.
+        left = np.empty((steps, batch), bool)
         for t in range(1, steps):
             before, now = best[t - 1], best[t]
             np.add(before[:, None], to_head, out=from_)
-            np.max(from_, axis=0, out=top)
-            now[0], now[1::2] = top[0], top[1:]
+            np.maximum.reduce(from_, axis=0, out=top)
+            np.not_equal(from_[0, 0], top[0], out=left[t])
             np.add(before[2::2], from_inner, out=other)
-            np.maximum(other, before[1::2] + from_begin, out=now[2::2])
-            now += emit[:, t]
-        cols = np.arange(batch)
-        tags = np.zeros((steps, batch), np.uint8)
-        tag = np.zeros(batch, np.int64)
+            np.maximum(other, np.add(before[1::2], from_begin, out=begun), out=other)
+            now[0] += top[0]
+            now[1::2] += top[1:]
+            now[2::2] += other
+        tags, tag, busy = np.zeros((steps, batch), np.uint8), np.zeros(batch, np.uint8), np.empty(batch, bool)
         last = {int(t) for t in sizes - 1}
         for t in range(steps - 1, -1, -1):
             if t + 1 < steps:
-                tag = (best[t] + tr[:, tag]).argmax(axis=0)
+                # "outside" that comes from "outside" stays
+                at = np.logical_or(tag, left[t + 1], out=busy).nonzero()[0]
+                if len(at):
+                    tag[at] = (best[t].take(at, axis=1) + tr.take(tag[at], axis=1)).argmax(axis=0)
             if t in last:
                 ends = sizes == t + 1
                 tag[ends] = best[t][:, ends].argmax(axis=0)
             tags[t] = tag
-        return [tags[:n, j].copy() for j, n in zip(cols, sizes, strict=True)]
+        return [own[:n].copy() for own, n in zip(tags.T.copy(), sizes, strict=True)]
 
 
 @lru_cache(maxsize=2)
