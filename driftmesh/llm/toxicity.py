@@ -30,8 +30,9 @@ labelled row every score is 0. Repeated rows are each scored.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from math import exp, log
 
 import numpy as np
@@ -59,17 +60,26 @@ AT_ONCE = 1 << 18
 
 def grams(words: Iterable[tuple[str, int]]) -> Iterator[Counter]:
     """Weights of the words' n-grams and of their pasts, in whole millionths, so that sums don't depend on their order."""
-    out: Counter = Counter()
+    tri: dict[str, int] = defaultdict(int)
     for word, n in words:
         w, x = f"^^{word}$", round(1e6 * (1 + log(n)))
-        for i in range(2, len(w)):
-            for k in range(3):
-                out[w[i - k : i + 1]] += x
-                out[w[i - k : i] + "\0"] += x
-        if len(out) >= AT_ONCE:
-            yield out
-            out = Counter()
-    yield out
+        for i in range(len(w) - 2):
+            tri[w[i : i + 3]] += x
+        if len(tri) >= AT_ONCE:
+            yield shorter(tri)
+            tri.clear()
+    yield shorter(tri)
+
+
+def shorter(tri: dict[str, int]) -> Counter:
+    """Sums of trigrams, and from them those of what they end in and of the pasts of all."""
+    out = Counter(tri)
+    for g, x in tri.items():
+        for k in range(3):
+            if k < 2:
+                out[g[2 - k :]] += x
+            out[g[2 - k : 2] + "\0"] += x
+    return out
 
 
 def counted(docs: DataFrame, text_col: str = "text") -> Counter:
@@ -90,7 +100,7 @@ def counted(docs: DataFrame, text_col: str = "text") -> Counter:
         yield batch_of(seen, "word")
 
     def parts(batches):
-        pairs = ((w.as_py(), n.as_py()) for batch in batches for w, n in zip(batch.column(0), batch.column(1), strict=True))
+        pairs = (x for batch in batches for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
         for out in grams(pairs):
             yield batch_of(out, "gram")
 
@@ -104,61 +114,96 @@ class Letters:
 
     def __init__(self, weights: dict[str, int]):
         self.tri = {g: n / 1e6 for g, n in weights.items()}
-        self.known: dict[tuple[str, str], float] = {}
+        #: Minus the log probability of a character after two, by all three.
+        self.known = Costs(self.tri)
 
     def cost(self, before: str, c: str) -> float:
         """Minus the log probability of c after two characters."""
-        key = (before, c)
-        if key not in self.known:
-            p = 1e-4
-            for k in range(3):
-                past = before[2 - k :] if k else ""
-                p = (self.tri.get(past + c, 0.0) + 2.0 * p) / (self.tri.get(past + "\0", 0.0) + 2.0)
-            self.known[key] = -log(p)
-        return self.known[key]
+        return self.known[before + c]
+
+
+class Costs(dict):
+    """Costs by three characters, found when first asked for."""
+
+    def __init__(self, tri: dict[str, float]):
+        super().__init__()
+        self.tri = tri
+
+    def __reduce__(self):
+        return Costs, (self.tri,)
+
+    def __missing__(self, key: str) -> float:
+        p = 1e-4
+        for k in range(3):
+            past = key[2 - k : 2]
+            p = (self.tri.get(past + key[2:], 0.0) + 2.0 * p) / (self.tri.get(past + "\0", 0.0) + 2.0)
+        self[key] = x = -log(p)
+        return x
 
 
 def suspicious(token: str) -> bool:
     """Whether the token's lattice has more than one path."""
-    letters = sum(c.isalpha() for c in token)
-    if not letters or len(token) < 2 or ("@" in token and "." in token[token.index("@") :]):
+    if token.isalpha():
+        return DOUBLED.search(token) is not None
+    if len(token) < 2 or ("@" in token and "." in token[token.index("@") :]):
         return False
-    return letters < len(token) or DOUBLED.search(token) is not None
+    return any(map(str.isalpha, token))
 
 
 def options(token: str, i: int, tripled: set[str]) -> list[tuple[str, float]]:
     """What the token's character at i may stand for, with the channel's costs; a space is a word's end."""
-    c = token[i]
+    edge = not token[:i].strip(EDGES) or not token[i + 1 :].strip(EDGES)
+    return list(readings(token[i], i > 0 and token[i - 1] == token[i], token[i] in tripled, edge))
+
+
+@lru_cache(maxsize=1 << 16)
+def readings(c: str, again: bool, stretched: bool, edge: bool) -> tuple[tuple[str, float], ...]:
+    """``options`` of a character: whether it repeats the one before, stands thrice in a row anywhere, and has nothing but punctuation on one side."""
     if c.isalpha():
-        return [(c, 0.0), *([("", 0.5 if c in tripled else 3.0)] if i and token[i - 1] == c else [])]
+        return ((c, 0.0), ("", 0.5 if stretched else 3.0)) if again else ((c, 0.0),)
     if c == " ":
-        return [("", 0.5), (" ", 1.0)]
-    edge = not token[:i].strip(EDGES) or not token[i + 1 :].strip(EDGES)
+        return ("", 0.5), (" ", 1.0)
     out = [("", 0.5 if edge or c not in LEET else 4.0)] + [(x, 0.7) for x in LEET.get(c, "")]
     if c in "*#%&?-_.":
         out += [(x, 4.0) for x in "aeiou"]
-    return [*out, (" ", 2.0)] if c in BREAKS else out
+    return (*out, (" ", 2.0)) if c in BREAKS else tuple(out)
 
 
 def restore(token: str, letters: Letters) -> str:
     """The likeliest words behind a disguised token, with a space between."""
     token = STRETCHED.sub(r"\1\1\1", token)
     tripled = {m[1] for m in DISGUISED.finditer(token)}
+    known = letters.known
+    # the first and last that is no punctuation
+    lo, hi = len(token) - len(token.lstrip(EDGES)), len(token.rstrip(EDGES))
     # a path is its last letter and the path before it
     best: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}
-    for i in range(len(token)):
-        own = options(token, i, tripled)
+    last = ""
+    for i, c in enumerate(token):
+        own = readings(c, c == last, c in tripled, i <= lo or i + 1 >= hi)
+        last = c
+        if len(own) == 1 and len(best) == 1 and own[0][0]:
+            ((state, (score, out)),) = best.items()
+            emit, price = own[0]
+            key = state + emit
+            best = {key[1:]: (score + price + known[key], (out, emit))}
+            continue
         after: dict[str, tuple[float, tuple | None]] = {}
         for state, (score, out) in best.items():
             for emit, price in own:
-                if emit == " " and state == "^^":
+                if not emit:
+                    to, total = state, score + price
+                elif emit != " ":
+                    key = state + emit
+                    to, total = key[1:], score + price + known[key]
+                elif state != "^^":
+                    to, total = "^^", score + price + known[state + "$"]
+                else:
                     continue
-                to = "^^" if emit == " " else state[1] + emit if emit else state
-                total = score + price + (letters.cost(state, "$" if emit == " " else emit) if emit else 0.0)
                 if to not in after or total < after[to][0]:
                     after[to] = (total, (out, emit) if emit else out)
         best = after
-    ends = [(s + letters.cost(state, "$"), out) for state, (s, out) in best.items()]
+    ends = [(s + known[state + "$"], out) for state, (s, out) in best.items()]
     least = min(s for s, _ in ends)
     return min(spelled(out) for s, out in ends if s == least)
 
@@ -180,8 +225,8 @@ def tokens(text: str) -> set[str]:
 
 
 def plain_words(text: str) -> list[str]:
-    """The distinct words of letters only."""
-    return list({c for t in tokens(text) if (c := t.strip(EDGES)).isalpha() and len(c) > 1})
+    """The distinct words of letters only; runs of letters set apart are none."""
+    return list({c for t in set(text.lower().split()) if (c := t.strip(EDGES)).isalpha() and len(c) > 1})
 
 
 def features_of(word: str) -> list[str]:
@@ -203,9 +248,11 @@ class Model:
 
     def __init__(self, index: dict[str, int], weights: np.ndarray, alone: np.ndarray, bias: float, letters: Letters | None):
         self.index, self.weights, self.alone, self.bias, self.letters = index, weights.tolist(), alone.tolist(), bias, letters
+        #: How features begin: no other word has any.
+        self.stems = {f[:4] for f in index}
 
     def indices(self, token: str) -> tuple[int, ...]:
-        return tuple({self.index[f] for w in words_in(token, self.letters) for f in features_of(w) if f in self.index})
+        return tuple({self.index[f] for w in words_in(token, self.letters) if w[:4] in self.stems for f in features_of(w) if f in self.index})
 
     def score(self, text: str | None, cache: Codes) -> float:
         found: set[int] = set()

@@ -4,6 +4,8 @@ import hashlib
 import itertools
 import random
 import re
+import sys
+import tracemalloc
 from collections import Counter, defaultdict
 from math import exp
 
@@ -312,6 +314,20 @@ def test_tags_depend_on_the_window_alone():
         assert (tagger.viterbi(emit.transpose(2, 0, 1), np.array([len(codes[j])]), tagger.w["tr"] + tagger.barred)[0] == alone[j]).all()
 
 
+def test_a_batch_keeps_no_outputs_of_its_steps():
+    tagger = pii.trained()
+    windows = [np.random.default_rng(k).integers(1, 102, 1024 - k % 3).astype(np.uint8) for k in range(pii.BATCH)]
+    tracemalloc.start()
+    got = tagger.decode(windows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # the tags' scores and little else
+    assert peak < 1.5 * 4 * pii.N_TAGS * 1024 * pii.BATCH
+    for j in (0, 1, 2, 511):
+        emit, _ = tagger.scores(windows[j][:, None].astype(np.int64))
+        assert (tagger.viterbi(emit.transpose(2, 0, 1), np.array([len(windows[j])]), tagger.w["tr"] + tagger.barred)[0] == got[j]).all()
+
+
 @pytest.mark.parametrize("n", [0, 1, 640, 641, 1184, 1185, 5000])
 def test_windows_are_reconciled(n):
     cuts = pii.windows(n)
@@ -409,6 +425,34 @@ def test_viterbi_restores_the_cheapest_path():
             assert toxicity.restore(token, letters) in cheapest(token, letters), token
 
 
+def test_sums_of_trigrams_give_the_shorter_ones():
+    words = [("aab", 3), ("łódź", 1), ("b", 2), ("aaab", 7)]
+    want = Counter()
+    for word, n in words:
+        w, x = f"^^{word}$", round(1e6 * (1 + np.log(n)))
+        for i in range(2, len(w)):
+            for k in range(3):
+                want[w[i - k : i + 1]] += x
+                want[w[i - k : i] + "\0"] += x
+    assert sum(toxicity.grams(words), Counter()) == want
+
+
+def test_characters_without_a_choice_need_few_calls():
+    letters = toxicity.fit(train_rows()[0]).letters
+    token = "understanding" * 20 + "1"
+    toxicity.restore(token, letters)
+    calls = 0
+
+    def count(_, event, __):
+        nonlocal calls
+        calls += event == "call"
+
+    sys.setprofile(count)
+    out = toxicity.restore(token, letters)
+    sys.setprofile(None)
+    assert out.startswith("understanding" * 20) and calls < len(token) / 2
+
+
 def test_edge_signs_spacing_and_doubling():
     rows, words = train_rows()
     rows = [(t + (" ass" if y and i % 2 else ""), y) for i, (t, y) in enumerate(rows)]
